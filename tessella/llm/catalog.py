@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessella.llm import lines, sharding
+from tessella.llm import decontaminate, lines, sharding
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op8_sharding": sharding.op8_sharding,
 }
 
