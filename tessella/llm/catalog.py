@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontaminate, lines, sharding
+from tessella.llm import decontaminate, lines, near_duplicates, sharding
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op6_near_duplicates": near_duplicates.op6_near_duplicates,
     "op8_sharding": sharding.op8_sharding,
 }
 
