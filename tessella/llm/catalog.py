@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontaminate, lines, near_duplicates, sharding
+from tessella.llm import decontaminate, lines, near_duplicates, quality, sentencepiece_codec, sharding, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op10_quality": quality.op10_quality,
     "op6_near_duplicates": near_duplicates.op6_near_duplicates,
     "op8_sharding": sharding.op8_sharding,
 }
