@@ -58,9 +58,9 @@ def drop_boilerplate(docs: DataFrame, sites: int = SITES, min_words: int = MIN_W
     lines = own.where(i.isNotNull() & site.isNotNull()).select(i.alias("id"), site.alias("site"), F.explode(F.split(text, "\n")).alias("line")).where(counted(line, min_words))
     lines = lines.select("id", "site", line_key(line).alias("k")).select("id", "site", "k.a", "k.b")
     drops = line_spread(lines, sites).groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("drops"))
-    drops = staged(drops, "drops")
+    drops = staged(drops, "drops").hint("merge")
     kept = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("drops"), line_key(F.btrim(x, F.lit(BLANKS)))))
-    out = own.join(small(drops, 20_000), i == F.col("id"), "left").withColumn("kept", F.when(F.col("drops").isNotNull() & site.isNotNull(), kept))
+    out = own.join(drops, i == F.col("id"), "left").withColumn("kept", F.when(F.col("drops").isNotNull() & site.isNotNull(), kept))
     clean = F.when(F.col("kept").isNull(), text).otherwise(F.array_join("kept", "\n"))
     gone = F.coalesce(F.size(F.split(text, "\n")) - F.size("kept"), F.lit(0))
     return out.select(*[(clean if c == text_col else F.col(held[c])).alias(c) for c in docs.columns], gone.alias("lines_removed"))
