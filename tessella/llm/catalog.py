@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontaminate, html_text, lines, near_duplicates, quality, sentencepiece_codec, sharding, toxicity
+from tessella.llm import decontaminate, html_text, lines, near_duplicates, quality, sentencepiece_codec, sharding, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -10,9 +10,10 @@ QUERIES = {
     "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
     "op7_toxicity": toxicity.op7_toxicity,
     "op10_quality": quality.op10_quality,
+    "op4_warc": warc.op4_warc,
     "op5_html_text": html_text.op5_html_text,
     "op6_near_duplicates": near_duplicates.op6_near_duplicates,
     "op8_sharding": sharding.op8_sharding,
 }
 
-SQL = {"op1_line_dedup": lines.OP1_SQL}
+SQL = {"op1_line_dedup": lines.OP1_SQL, "op4_warc": warc.OP4_SQL}
