@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontaminate, html_text, lines, near_duplicates, quality, sentencepiece_codec, sharding, toxicity, warc
+from tessella.llm import decontaminate, html_text, lines, near_duplicates, nearest, quality, sentencepiece_codec, sharding, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
     "op7_toxicity": toxicity.op7_toxicity,
     "op10_quality": quality.op10_quality,
+    "op3_nearest": nearest.op3_nearest,
     "op4_warc": warc.op4_warc,
     "op5_html_text": html_text.op5_html_text,
     "op6_near_duplicates": near_duplicates.op6_near_duplicates,
