@@ -1,11 +1,68 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality, boilerplate lines, near duplicates, benchmark items, pieces.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read
+again as the next one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.llm import decontaminate, lines, near_duplicates, quality, sentencepiece_codec
+from tessella.llm.common import read, small, staged
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    model = quality.train(docs, read(spark, sf_dir, "labels"))
+    return quality.scored(docs, model, docs.columns).where(F.col("score") >= quality.THRESHOLD).drop("score")
+
+
+def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without boilerplate lines; those that held nothing else go."""
+    clean = lines.drop_boilerplate(docs).where((F.col("lines_removed") == 0) | F.col("text").rlike(r"\S"))
+    return clean.withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each class; rows with a null id stay."""
+    classes = near_duplicates.near_duplicates(docs)
+    gone = staged(classes.where("doc_id <> class_id").select("doc_id"), "gone")
+    kept = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    count, distinct = docs.where("doc_id is not null").agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if count == distinct:
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"))
+    held = staged(found.select("doc_id").distinct(), "contaminated")
+    return docs.join(small(held), "doc_id", "left_anti").select(*docs.columns)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document's pieces."""
+    return sentencepiece_codec.encode_documents(docs)
+
+
+STAGES = [
+    ("quality", good),
+    ("lines", without_boilerplate),
+    ("near_duplicates", without_copies),
+    ("decontamination", without_benchmark),
+    ("sentencepiece", pieces),
+]
+
+#: SQL can express neither the classifier nor the encoder; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each written and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), name)
     return docs

@@ -136,19 +136,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorisa
 
 
 def scored(docs: DataFrame, model: FactorisationMachine, columns: list[str]) -> DataFrame:
-    """The named columns of docs and a score (double) for every row, from its whole text and n_chars."""
+    """The named columns of docs and, as the last one, a score (double) for every row, from its whole text and n_chars."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at, n = len(columns), len(columns) + 1
+    needed = [*columns, *(c for c in ("text", "n_chars") if c not in columns)]
+    width, text, n = len(columns), needed.index("text"), needed.index("n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets, m = Buckets(), shared.value
         for b in batches:
-            s = [m.score(*features(t.as_py(), c, buckets)) for t, c in zip(b.column(at), b.column(n).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(s, pa.float64())], [*columns, "score"])
+            s = [m.score(*features(t.as_py(), c, buckets)) for t, c in zip(b.column(text), b.column(n).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(s, pa.float64())], [*(f"c{i}" for i in range(width)), "score"])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    own = docs.select(*columns, F.col("text").alias("__text"), F.col("n_chars").cast("long").alias("__n"))
-    return own.mapInArrow(run, f"{schema}, score double")
+    schema = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
+    return docs.select(*needed).mapInArrow(run, f"{schema}, score double").toDF(*columns, "score")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
