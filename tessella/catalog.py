@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from tessella.plans import features, models, preparation  # noqa: F401  each registers its queries
+from tessella.plans.features import flagship
+from tessella.plans.registry import QUERIES, SQL
 
-from tessella.sources.tables import table
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.sum("l_quantity").alias("sum_qty"))
+__all__ = ["QUERIES", "SQL", "flagship"]
