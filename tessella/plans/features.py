@@ -76,7 +76,7 @@ def sc08(spark, d):
     return with_columns(table(spark, d, "events"), ["event_id"], out)
 
 
-@query("sc09_trigonometric", "SELECT event_id, round(sin(2*pi()*coalesce(CASE WHEN event_id%7=0 THEN NULL ELSE value END,0)/50),6) AS v_sin, round(cos(2*pi()*coalesce(CASE WHEN event_id%7=0 THEN NULL ELSE value END,0)/50),6) AS v_cos FROM events")
+@query("sc09_trigonometric", "SELECT event_id, round(sin(2*pi()*coalesce(CASE WHEN event_id%7=0 THEN NULL ELSE value END,0)/50),6)+0.0 AS v_sin, round(cos(2*pi()*coalesce(CASE WHEN event_id%7=0 THEN NULL ELSE value END,0)/50),6)+0.0 AS v_cos FROM events")
 def sc09(spark, d):
     df = table(spark, d, "events").withColumn("v", F.when(F.col("event_id") % 7 != 0, F.col("value")))
     return with_columns(df, ["event_id"], S.trigonometric("v", 50))

@@ -115,7 +115,7 @@ def pp10(spark, d):
     return spark.createDataFrame([("o_totalprice", round(s.params["o_totalprice"], 3))], "column string, lambda double")
 
 
-@query("pp11_chain", f"WITH g AS {GAPS}, s AS (SELECT avg(disc) m FROM g), f AS (SELECT g.*, coalesce(disc,m) x FROM g, s), t AS (SELECT avg(x) a, stddev_pop(x) b FROM f) SELECT {LINE}, round((x-a)/b,6) AS disc FROM f, t")
+@query("pp11_chain", f"WITH g AS {GAPS}, s AS (SELECT avg(disc) m FROM g), f AS (SELECT g.*, coalesce(disc,m) x FROM g, s), t AS (SELECT avg(x) a, stddev_pop(x) b FROM f) SELECT {LINE}, round((x-a)/b,6)+0.0 AS disc FROM f, t")
 def pp11(spark, d):
     df = gaps(spark, d)
     return with_columns(P.Chain(P.Imputer(["disc"]), P.StandardScaler(["disc"])).fit(df).transform(df), KEYS, {"disc": F.col("disc")})
@@ -254,9 +254,9 @@ def ag10(spark, d):
     return R.noise_floor(table(spark, d, "orders"), "o_totalprice", "o_totalprice", "o_orderkey").select(r6("noise_floor").alias("noise_floor"))
 
 
-@query("ag13_percentiles", "SELECT quantile_cont(o_totalprice,.1) AS p10, median(o_totalprice) AS p50, quantile_cont(o_totalprice,.9) AS p90 FROM orders")
+@query("ag13_percentiles", "SELECT round(quantile_cont(o_totalprice,.1),4) AS p10, round(median(o_totalprice),4) AS p50, round(quantile_cont(o_totalprice,.9),4) AS p90 FROM orders")
 def ag13(spark, d):
-    return table(spark, d, "orders").agg(F.percentile("o_totalprice", F.lit(0.1)).alias("p10"), F.median("o_totalprice").alias("p50"), F.percentile("o_totalprice", F.lit(0.9)).alias("p90"))
+    return table(spark, d, "orders").agg(*[F.round(F.percentile("o_totalprice", F.lit(q)), 4).alias(n) for n, q in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9))])
 
 
 @query("ag23_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
