@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a side may have to be broadcast; a few dozen bytes each, so some MB at most.
 BROADCAST_ROWS = 100_000
+#: Bytes of a batch of rows that goes to a Python worker.
+BATCH_BYTES = 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +61,8 @@ def words(text: Column) -> Column:
 
 
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow in batches of BATCH_BYTES at most (but one row), so that long texts don't fill a worker. Sets the session's limit."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(function, schema)
 
 

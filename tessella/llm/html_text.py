@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import read, small, staged
+from tessella.llm.common import map_batches, read, small, staged
 
 #: A template token is on this share of a host's pages, and on so many pages at least.
 SHARE, PAGES = 0.5, 10
@@ -167,7 +167,7 @@ def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, template) from (host, html): each host's equivalence classes, a class its tokens in order."""
-    seen = pages.mapInArrow(occurrences, "host string, token long, n int, first int, page long")
+    seen = map_batches(pages, occurrences, "host string, token long, n int, first int, page long")
     # An occurrence vector's fingerprint: sums of hashes of (page, count), in halves that can't overflow.
     mark = F.xxhash64("page", "n")
     low, high = F.sum(mark.bitwiseAND(F.lit(0xFFFFFFFF))), F.sum(F.shiftright(mark, 32))
@@ -227,7 +227,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     joined = own.join(small(known, 5_000), "host", "left").select("id", "url", "html", "template")
     kind = own.schema["id"].dataType.simpleString()
-    out = joined.mapInArrow(run, f"id {kind}, url string, text string, n_chars long")
+    out = map_batches(joined, run, f"id {kind}, url string, text string, n_chars long")
     return out.withColumnsRenamed({"id": id_col, "url": url_col})
 
 

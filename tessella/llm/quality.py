@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import read, staged, training_fold
+from tessella.llm.common import map_batches, read, staged, training_fold
 
 #: Word buckets; statistics and the bins of each; factors; labelled rows learnt from at most.
 WORD_BITS, STATS, BINS, FACTORS, SAMPLE = 18, 12, 16, 8, 12_000
@@ -130,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorisa
     own = docs.select(F.col("doc_id").alias("id"), "text", F.col("n_chars").cast("long").alias("n"))
     known = own.join(F.broadcast(labelled_sample(labels, "quality", sample)), "id").select("id", "y", "text", "n")
     # The bound above holds for ids; rows that repeat an id are told apart by nothing else and count once.
-    got = known.mapInArrow(sparse, "id long, y double, ids binary, x binary").dropDuplicates(["id"]).orderBy("id").collect()
+    got = map_batches(known, sparse, "id long, y double, ids binary, x binary").dropDuplicates(["id"]).orderBy("id").collect()
     rows = [(np.frombuffer(r.ids, "<i4").astype(np.int64), np.frombuffer(r.x, "<f4")) for r in got]
     return fit(rows, np.array([r.y for r in got]))
 
@@ -148,7 +148,7 @@ def scored(docs: DataFrame, model: FactorisationMachine, columns: list[str]) ->
             yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(s, pa.float64())], [*(f"c{i}" for i in range(width)), "score"])
 
     schema = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
-    return docs.select(*needed).mapInArrow(run, f"{schema}, score double").toDF(*columns, "score")
+    return map_batches(docs.select(*needed), run, f"{schema}, score double").toDF(*columns, "score")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

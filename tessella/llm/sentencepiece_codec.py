@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import read
+from tessella.llm.common import map_batches, read
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -226,7 +226,7 @@ def coded(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
 
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
-    return own.mapInArrow(run, f"id {kind}, ids array<int>, n_tokens int, round_trip boolean").withColumnRenamed("id", id_col)
+    return map_batches(own, run, f"id {kind}, ids array<int>, n_tokens int, round_trip boolean").withColumnRenamed("id", id_col)
 
 
 def encode_documents(docs: DataFrame, path: str = MODEL) -> DataFrame:

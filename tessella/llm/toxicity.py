@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import read, staged, training_fold, words
+from tessella.llm.common import map_batches, read, staged, training_fold, words
 from tessella.llm.quality import labelled_sample
 
 #: Labelled rows learnt from and lexicon words at most; words of prior; significance in standard deviations; drift; clip.
@@ -148,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Toxicity:
             got = [segments(t.as_py(), lexicon) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([n for _, n in got], pa.int64()), pa.array([[s for *_, s in x] for x, _ in got], pa.list_(pa.float64()))], ["id", "y", "n", "s"])
 
-    seen = known.mapInArrow(found, "id long, y double, n long, s array<double>").orderBy("id", "n").collect()
+    seen = map_batches(known, found, "id long, y double, n long, s array<double>").orderBy("id", "n").collect()
     best = [(max(1, r.n), max(r.s, default=0.0)) for r in seen if not r.y]
     model.scale = max(1e-12, len(best) / max(1e-300, sum(n * float(np.exp(-min(700.0, model.decay * s))) for n, s in best)))
     cut = -np.log(-np.log1p(-LEVEL))
@@ -177,7 +177,7 @@ def scored(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: s
 
     own = docs.select(F.col(id_col).alias("id"), text_col)
     kind = own.schema["id"].dataType.simpleString()
-    return own.mapInArrow(run, f"id {kind}, score double, n_words int, passages array<struct<first_word: int, last_word: int, strength: double>>").withColumnRenamed("id", id_col)
+    return map_batches(own, run, f"id {kind}, score double, n_words int, passages array<struct<first_word: int, last_word: int, strength: double>>").withColumnRenamed("id", id_col)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

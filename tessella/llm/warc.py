@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import read, shared_dir, small, staged
+from tessella.llm.common import map_batches, read, shared_dir, small, staged
 
 #: Smallest payload that is stored once; sampled records and the longest of them; dictionary bytes; an archive's compressed bytes.
 REVISIT_BYTES, SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES, ARCHIVE_BYTES, LEVEL = 100, 512, 32_768, 112_640, 16 << 20, 6
@@ -128,7 +128,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
                     yield from close()
         yield from close()
 
-    return staged(pages.select("id", "url", "html", "digest", "refers_to").mapInArrow(run, "name string, records long, bytes long"), "manifest")
+    return staged(map_batches(pages.select("id", "url", "html", "digest", "refers_to"), run, "name string, records long, bytes long"), "manifest")
 
 
 def read_archives(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def read_archives(spark: SparkSession, folder: str, manifest: DataFrame) -> Data
         return spark.createDataFrame([], "id string, url string, html string, payload_bytes long, digest string, record_type string, refers_to string")
     files = spark.read.format("binaryFile").load(folder).withColumn("name", F.regexp_extract("path", "[^/]+$", 0))
     content = files.join(small(manifest.select("name")), "name", "left_semi").select("content")
-    return content.mapInArrow(run, "id string, url string, html string, payload_bytes long, digest string, record_type string, refers_to string")
+    return map_batches(content, run, "id string, url string, html string, payload_bytes long, digest string, record_type string, refers_to string")
 
 
 def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
