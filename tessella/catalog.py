@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.plans import features, models, preparation  # noqa: F401  each registers its queries
+from tessella.plans import features, models, pipelines, preparation  # noqa: F401  each registers its queries
 from tessella.plans.features import flagship
 from tessella.plans.registry import QUERIES, SQL
 
