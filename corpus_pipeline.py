@@ -20,8 +20,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without boilerplate lines; those that held nothing else go."""
-    clean = lines.drop_boilerplate(docs).where((F.col("lines_removed") == 0) | F.col("text").rlike(r"\S"))
+    """Documents without boilerplate lines; every document stays."""
+    clean = lines.drop_boilerplate(docs)
     return clean.withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -46,14 +46,19 @@ def test_same_rows_as_sql(spark, name):
 
 def test_lines_keep_one_holder_and_odd_rows(spark):
     line = "a line on very many sites"
-    texts = [f"own {i}\n{line}\n" for i in range(9)] + [None, "", "\n\n", "short line", "x " * 30_000]
+    texts = [f"own words of page {i} and some more\n{line}\n" for i in range(9)] + [None, "", "\n\n", "short line", "x " * 30_000]
     df = docs(spark, texts, [f"s{i}" for i in range(9)] + ["s1", None, "s2", "s3", "s4"])
     out = {r.doc_id: r for r in lines.drop_boilerplate(df.withColumn("kept", F.lit(1)).withColumn("a", F.lit(2))).collect()}
-    assert out[0].text == texts[0] and all(out[i].text == f"own {i}\n" and out[i].lines_removed == 1 for i in range(1, 9))
+    assert out[0].text == texts[0] and all(out[i].text == f"own words of page {i} and some more\n" and out[i].lines_removed == 1 for i in range(1, 9))
     assert [out[i].text for i in range(9, 14)] == texts[9:] and out[3].kept == 1 and out[3].a == 2
     assert lines.drop_boilerplate(df.limit(0)).count() == 0
 
 
+def test_copies_are_left_whole(spark):
+    df = docs(spark, ["a line on very many sites\nand another line of this text"] * 20, [f"s{i}" for i in range(20)])
+    assert {r.lines_removed for r in lines.drop_boilerplate(df).collect()} == {0}
+
+
 def test_spread_below_the_threshold_stays(spark):
     df = docs(spark, ["a line on seven sites only"] * 30, [f"s{i % 7}" for i in range(30)])
     assert {r.lines_removed for r in lines.drop_boilerplate(df).collect()} == {0}
@@ -238,7 +243,7 @@ def test_classifiers_on_odd_tables(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in quality.scored(df, quality.train(df, none), df.columns).collect()} == {0.5}
     assert {r.score for r in toxicity.scored(df, toxicity.train(df, none)).collect()} == {0.5}
-    assert toxicity.scored(df.limit(0), toxicity.Toxicity({})).count() == 0
+    assert toxicity.scored(df.limit(0), toxicity.Toxicity(toxicity.Lexicon({}))).count() == 0
 
 
 def test_factorisation_identity():
@@ -250,7 +255,7 @@ def test_factorisation_identity():
 
 
 def test_segments_are_maximal():
-    lexicon = {"good": 2.0, "bad": -1.0}
+    lexicon = toxicity.Lexicon({"good": 2.0, "bad": -1.0})
     found, n = toxicity.segments("good x good bad bad bad good", lexicon)
     assert n == 7 and [(a, b) for a, b, _ in found] == [(0, 2), (6, 6)] and np.isclose(found[0][2], 4 - toxicity.DRIFT)
     assert toxicity.segments(None, lexicon) == ([], 0)
