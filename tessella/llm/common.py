@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a side may have to be broadcast; a few dozen bytes each, so some MB at most.
@@ -36,11 +36,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once to the shared folder and read again: lineage ends here, and a lost executor costs nothing already staged."""
+    """``df`` written once to the shared folder and read again: lineage ends here, and a lost executor costs nothing already staged.
+
+    The writer counts the rows on the way, which ``small`` then needs no job for.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_rows = seen.get["rows"]
+    return out
 
 
 def clear_staged(spark: SparkSession) -> None:
@@ -50,8 +56,9 @@ def clear_staged(spark: SparkSession) -> None:
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A staged side of a join: marked for broadcast if it has ``limit`` rows at most, else left to a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """A side of a join: marked for broadcast if it has ``limit`` rows at most, else left to a shuffled join."""
+    rows = getattr(df, "staged_rows", None)
+    return F.broadcast(df) if (df.limit(limit + 1).count() if rows is None else rows) <= limit else df
 
 
 def words(text: Column) -> Column:
