@@ -1,8 +1,9 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Words get log-odds ratios between toxic and other labelled documents under a Dirichlet
-prior that follows their frequency in the whole corpus. Words whose ratio is significant
-form the lexicon; every other word scores a small negative drift. One linear scan finds all
+Words and their longer beginnings get log-odds ratios between toxic and other labelled
+documents under a Dirichlet prior that follows their frequency in the whole corpus. Those
+whose ratio is significant form the lexicon; a word scores by itself or else by its longest
+beginning there, and every other word scores a small negative drift. One linear scan finds all
 maximal scoring segments of a document. Random documents' best segments follow an
 extreme-value law with the usual length correction, whose decay solves the moment equation
 of the background's scores and whose scale is fitted to the documents not labelled toxic.
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import map_batches, read, staged, training_fold, words
@@ -28,12 +29,38 @@ from tessella.llm.quality import labelled_sample
 SAMPLE, LEXICON, PRIOR, SIGNIFICANT, DRIFT, CLIP = 20_000, 20_000, 5_000.0, 3.5, 0.35, 6.0
 #: A passage is toxic if random documents of that length have one as good less often than this.
 LEVEL, THRESHOLD = 0.05, 0.3
+#: Lengths of the beginnings of words that are features too, marked by an asterisk.
+BEGINNINGS = (8, 6)
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
+class Lexicon(dict):
+    """Scores of words and beginnings; ``of`` keeps the scores of words seen lately."""
+
+    def __init__(self, scores: dict[str, float]):
+        super().__init__(scores)
+        self.seen: dict[str, float | None] = {}
+
+    def __reduce__(self):
+        return Lexicon, (dict(self),)
+
+    def of(self, word: str) -> float | None:
+        if word not in self.seen:
+            if len(self.seen) > 300_000:
+                self.seen.clear()
+            keys = [word, *(f"{word[:k]}*" for k in BEGINNINGS if len(word) >= k)]
+            self.seen[word] = next((self[k] for k in keys if k in self), None)
+        return self.seen[word]
+
+
+def beginnings(word: Column) -> list[Column]:
+    """A word's features but itself; NULL for those that it is too short for."""
+    return [F.when(F.length(word) >= k, F.concat(F.substring(word, 1, k), F.lit("*"))) for k in BEGINNINGS]
+
+
 @dataclass
 class Toxicity:
-    lexicon: dict[str, float]
+    lexicon: Lexicon
     decay: float = 1.0
     scale: float = 1.0
     slope: float = 0.0
@@ -50,10 +77,10 @@ class Toxicity:
         return float(1 / (1 + np.exp(-np.clip(self.slope * np.log1p(total) + self.bias, -30, 30))))
 
 
-def segments(text: str | None, lexicon: dict[str, float]) -> tuple[list[tuple[int, int, float]], int]:
+def segments(text: str | None, lexicon: Lexicon) -> tuple[list[tuple[int, int, float]], int]:
     """All maximal scoring segments (first word, last word, score) of a text and its number of words, in linear time."""
     found = WORD.findall((text or "").lower())
-    get = lexicon.get
+    get = lexicon.of
     hits = [(i, s) for i, w in enumerate(found) if (s := get(w)) is not None]
     # Candidates with the sums before (low) and after (high) them; sums fall by the drift between hits.
     stack: list[tuple[int, int, float, float]] = []
@@ -126,27 +153,38 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Toxicity:
     own = docs.select(F.col("doc_id").alias("id"), "text")
     known = staged(own.join(F.broadcast(labelled_sample(labels, "toxic", sample)), "id").select("id", "text", "y"), "labelled")
     bag = known.select((F.col("y") > 0).cast("int").alias("toxic"), F.explode(words(F.col("text"))).alias("word"))
+    bag = bag.select("toxic", F.explode(F.array_compact(F.array("word", *beginnings(F.col("word"))))).alias("word"))
     counts = staged(bag.groupBy("word").agg(F.sum("toxic").alias("c1"), F.sum(1 - F.col("toxic")).alias("c0")), "words")
-    n1, n0 = counts.agg(F.coalesce(F.sum("c1"), F.lit(0)), F.coalesce(F.sum("c0"), F.lit(0))).first()
+    n1, n0 = counts.where(~F.col("word").endswith("*")).agg(F.coalesce(F.sum("c1"), F.lit(0)), F.coalesce(F.sum("c0"), F.lit(0))).first()
     if not n1 or not n0:
-        return Toxicity({})
+        return Toxicity(Lexicon({}))
     # Words worth a closer look, those that differ most first; a flat half count stands for the prior here.
     a, b = F.col("c1") + 0.5, F.col("c0") + 0.5
     z = F.abs(F.log(a / n1) - F.log(b / n0)) / F.sqrt(1 / a + 1 / b)
     near = staged(counts.withColumn("z", z).where("z >= 2").orderBy(F.desc("z"), "word").limit(LEXICON).select("word", "c1", "c0", F.lit(True).alias("near")), "near")
-    everywhere = own.select(F.explode(words(F.col("text"))).alias("word")).join(F.broadcast(near.select("word", "near")), "word", "left")
-    seen = {r[0]: r[1] for r in everywhere.groupBy(F.when(F.col("near"), F.col("word"))).count().collect()}
+    everywhere = own.select(F.explode(words(F.col("text"))).alias("w0"))
+    everywhere = everywhere.withColumns({f"w{i}": c for i, c in enumerate(beginnings(F.col("w0")), 1)})
+    for i in range(1 + len(BEGINNINGS)):
+        everywhere = everywhere.join(F.broadcast(near.select(F.col("word").alias(f"w{i}"), F.col("near").alias(f"near{i}"))), f"w{i}", "left")
+    hit = F.array_compact(F.array(*[F.when(F.col(f"near{i}"), F.col(f"w{i}")) for i in range(1 + len(BEGINNINGS))]))
+    everywhere = everywhere.groupBy(hit.alias("hit")).agg(F.count("*").alias("n")).collect()
+    n_all = sum(r.n for r in everywhere)
+    seen: dict[str, int] = {}
+    for r in everywhere:
+        for k in r.hit:
+            seen[k] = seen.get(k, 0) + r.n
     rows = near.orderBy("word").collect()
-    lexicon = log_odds([(r.word, r.c1, r.c0, seen.get(r.word, 0)) for r in rows], n1, n0, sum(seen.values()))
+    lexicon = Lexicon(log_odds([(r.word, r.c1, r.c0, seen.get(r.word, 0)) for r in rows], n1, n0, n_all))
     model = Toxicity(lexicon)
+    # A word and its beginnings count apart here, which errs on the side of more chance hits.
     other = [(lexicon[r.word], r.c0) for r in rows if r.word in lexicon]
-    scores = np.array([x for x, _ in other] + [-DRIFT])
-    model.decay = decay_rate(scores, np.array([c for _, c in other] + [max(0, n0 - sum(c for _, c in other))], float))
+    model.decay = decay_rate(np.array([s for s, _ in other] + [-DRIFT]), np.array([c for _, c in other] + [max(1, n0 - sum(c for _, c in other))], float))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [segments(t.as_py(), lexicon) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([n for _, n in got], pa.int64()), pa.array([[s for *_, s in x] for x, _ in got], pa.list_(pa.float64()))], ["id", "y", "n", "s"])
+            lists = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([n for _, n in got], pa.int64()), pa.array([[s for *_, s in x] for x, _ in got], lists)], ["id", "y", "n", "s"])
 
     seen = map_batches(known, found, "id long, y double, n long, s array<double>").orderBy("id", "n").collect()
     best = [(max(1, r.n), max(r.s, default=0.0)) for r in seen if not r.y]
