@@ -6,12 +6,11 @@ k-mers and keeps them in text order; nodes with an equal sample are candidates.
 sample agrees with about the width-th power of the alignment similarity.
 
 Candidates are verified in rounds. In each of the first two, a member of a bucket's largest
-class so far, at first of any, meets the members of other classes. Then, where a bucket still holds
-several classes, members of different ones meet: all such pairs where the bucket has ``few`` members at most, else each member
-against two of every other class; buckets with more than ``few`` classes are first divided
-by the other samples that their members share and by length (what is still as mixed then
-meets four members at random). Pairs whose lengths rule a
-link out, or that share one sample only, are left out. The similarity of two nodes is the number
+class so far, at first of any, meets the members of other classes, which only saves work. Then, where a bucket still holds
+several classes, all members of different ones meet: as pairs where the bucket has ``few`` members at most, else in
+blocks by length and salt, any two of which are one task; a task counts the k-mers that each two of its
+texts share and aligns those that share enough and aren't yet in one class. Pairs whose lengths rule a
+link out, or of small buckets that share one sample only, are left out. The similarity of two nodes is the number
 of k-mers that an alignment matches over all k-mers of both less those; links have 0.8 or
 more, and classes are the connected components.
 """
@@ -34,8 +33,8 @@ from tessella.llm.common import map_batches, read, small, staged
 from tessella.llm.components import components
 
 K, SIMILARITY, SAMPLES, WIDTH, FEW = 5, 0.8, 32, 6, 32
-#: How far apart in the ring of samples two may be to divide a bucket.
-NEAR = 4
+#: Members, and their k-mers, that a block of a large bucket holds on average.
+BLOCK, BLOCK_KMERS = 1024, 500_000
 SEED = 20_240_229
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 
@@ -151,7 +150,7 @@ def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys.append(order_minhash(x))
                 sizes.append(len(x))
         flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), SAMPLES)), pa.array(flat), pa.array(np.repeat(np.array(sizes, np.int32), SAMPLES)), pa.array(np.tile(np.arange(SAMPLES, dtype=np.int32), len(ids)))], ["id", "key", "n", "sample"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), SAMPLES)), pa.array(flat), pa.array(np.repeat(np.array(sizes, np.int32), SAMPLES))], ["id", "key", "n"])
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,37 +210,75 @@ def star_pairs(members: DataFrame, seed: int) -> DataFrame:
     return star.select(*pair(F.col("id"), F.col("o.id"))).distinct()
 
 
-def mixed_pairs(members: DataFrame, few: int, divide: bool = True) -> DataFrame:
-    """Candidate pairs of different classes from bucket members (key, id, n, keys, class, and sample to divide by)."""
-    node, own = F.struct("id", "n", "keys"), F.struct("n", "keys")
-    classes = members.groupBy("key", "class").agg(F.count("*").alias("size"), F.min(node).alias("one"), F.min_by(node, F.xxhash64("id", "key")).alias("two"))
-    keys = classes.groupBy("key").agg(F.count("*").alias("classes"), F.sum("size").alias("members"), F.max(F.struct("size", "class"))["class"].alias("main"))
-    keys = staged(keys.where("classes > 1"), "keys")
-    listed = members.join(small(keys.where(F.col("members") <= few).select("key")), "key", "left_semi")
+def mixed_pairs(members: DataFrame, few: int) -> DataFrame:
+    """All candidate pairs of different classes in buckets of ``few`` members at most, from (key, id, n, keys, class)."""
+    own = F.struct("n", "keys")
+    keys = members.groupBy("key").agg(F.count("*").alias("members"), F.min("class").alias("least"), F.max("class").alias("most"))
+    keys = staged(keys.where((F.col("least") != F.col("most")) & (F.col("members") <= few)).select("key"), "keys")
+    listed = members.join(small(keys), "key", "left_semi")
     of = listed.groupBy("key").agg(F.collect_list(F.struct("id", "n", "keys", "class")).alias("others"))
     near = F.filter("others", lambda o: (o["id"] > F.col("id")) & (o["class"] != F.col("class")) & fits(o, own))
-    pairs = [listed.join(of, "key").select("id", F.explode(near).alias("o")).select(*pair(F.col("id"), F.col("o.id")))]
-    some = keys.where((F.col("members") > few) & (F.col("classes") <= few)).select(F.col("key").alias("key2"), "main")
-    wide = members.join(small(some), (F.col("key") == F.col("key2")) & (F.col("class") != F.col("main")))
-    of = classes.join(small(some), F.col("key") == F.col("key2"), "left_semi").groupBy("key").agg(F.collect_list(F.struct("class", F.array("one", "two").alias("ids"))).alias("others"))
-    other = F.flatten(F.transform(F.filter("others", lambda o: o["class"] != F.col("class")), lambda o: o["ids"]))
-    far = F.array_distinct(F.filter(other, lambda o: fits(o, own)))
-    pairs.append(wide.join(of, "key").select("id", F.explode(far).alias("o")).select(*pair(F.col("id"), F.col("o.id"))))
-    many = members.join(small(keys.where((F.col("members") > few) & (F.col("classes") > few)).select("key")), "key", "left_semi")
-    if divide:
-        # Similar texts share several samples, so nearly always two that are NEAR in the ring of samples;
-        # and two texts that fit lie in the same length class or in neighbouring ones.
-        second = many.join(many.select(F.col("key").alias("key2"), F.col("sample").alias("sample2"), "id"), "id").where((F.pmod(F.col("sample2") - F.col("sample"), F.lit(SAMPLES))).between(1, NEAR))
-        level = F.floor(F.log(F.col("n")) / -math.log(SIMILARITY)).cast("int")
-        second = second.select("key", "key2", "id", "n", "keys", "class", F.explode(F.array(level, level + 1)).alias("level"))
-        second = staged(second.select(F.xxhash64("key", "key2", "level").alias("key"), "id", "n", "keys", "class").distinct(), "divided")
-        pairs.append(mixed_pairs(second, few, False))
-    else:
-        node = F.struct("id", "n", "keys", "class")
-        star = many.join(many.groupBy("key").agg(F.array(*[F.min_by(node, F.xxhash64("id", "key", F.lit(i))) for i in range(4)]).alias("o")), "key")
-        star = star.select("id", "n", "keys", "class", F.explode("o").alias("o")).where((F.col("class") != F.col("o.class")) & fits(own, F.col("o")))
-        pairs.append(star.select(*pair(F.col("id"), F.col("o.id"))))
-    return reduce(DataFrame.unionByName, pairs).distinct()
+    return listed.join(of, "key").select("id", F.explode(near).alias("o")).select(*pair(F.col("id"), F.col("o.id"))).distinct()
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of the sets share; a set with itself counts only what others hold too."""
+    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, columns, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rows, columns = rows[held[columns] > 1], columns[held[columns] > 1]
+    columns = np.unique(columns, return_inverse=True)[1]
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(columns[-1]) + 1 if len(columns) else 0, 2048):
+        a, b = np.searchsorted(columns, [at, at + 2048])
+        held = np.zeros((len(sets), 2048), np.float32)
+        held[rows[a:b], columns[a:b] - at] = 1
+        out += held @ held.T
+    return out
+
+
+def block_links(table: pa.Table) -> pa.Table:
+    """Links that join different classes among the rows (id, class, text): all that aren't implied by those before."""
+    ids, classes = table.column("id").to_pylist(), table.column("class").to_pylist()
+    u, v = [], []
+    if len(set(classes)) > 1:
+        hashes = WordHashes()
+        x = [kmers(t.as_py(), hashes) for t in table.column("text")]
+        n = np.array([len(k) for k in x])
+        need = SIMILARITY / (1 + SIMILARITY) * (n[:, None] + n[None, :]) - 1e-6
+        first = {c: k for k, c in reversed(list(enumerate(classes)))}
+        root = [first[c] for c in classes]
+
+        def top(k: int) -> int:
+            while root[k] != k:
+                root[k] = k = root[root[k]]
+            return k
+
+        for i, j in np.argwhere(np.triu(overlaps([labelled(k) for k in x]) >= need, 1)).tolist():
+            a, b = top(i), top(j)
+            if a != b and alignment_similarity(x[i], x[j]):
+                root[max(a, b)] = min(a, b)
+                u.append(min(ids[i], ids[j])), v.append(max(ids[i], ids[j]))
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def wide_links(members: DataFrame, texts: DataFrame, few: int, block: int = BLOCK) -> DataFrame:
+    """The links (u, v) that join the classes of buckets of more than ``few`` members, from (key, id, n, class)."""
+    mixed = [F.count("*").alias("members"), F.sum("n").alias("kmers"), F.min("class").alias("least"), F.max("class").alias("most")]
+    keys = members.groupBy("key").agg(*mixed).where((F.col("least") != F.col("most")) & (F.col("members") > few))
+    wide = members.join(small(staged(keys.select("key"), "keys")), "key", "left_semi")
+    # Two texts that can be linked lie in the same length class or in neighbouring ones.
+    level = F.floor(F.log(F.col("n")) / -math.log(SIMILARITY)).cast("int")
+    wide = wide.select("key", "id", "n", "class", F.explode(F.array(level, level + 1)).alias("level"))
+    wide = staged(wide.select(F.xxhash64("key", "level").alias("key"), "id", "n", "class").distinct(), "wide")
+    keys = wide.groupBy("key").agg(*mixed).where(F.col("least") != F.col("most"))
+    keys = keys.select("key", F.ceil(F.greatest(F.col("members") / block, F.col("kmers") / BLOCK_KMERS)).cast("int").alias("blocks"))
+    own = wide.join(small(staged(keys, "keys")), "key").withColumn("salt", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
+    own = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = own.select("key", F.least("salt", "with").alias("a"), F.greatest("salt", "with").alias("b"), "id", "class")
+    tasks = own.join(texts.select("id", "text"), "id").groupBy("key", "a", "b")
+    return staged(tasks.applyInArrow(block_links, "u long, v long").distinct(), "wide_links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", few: int = FEW) -> DataFrame:
@@ -257,7 +294,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = named.groupBy("a", "b").agg(F.min("id").alias("class"), F.count("*").alias("n")).where("n > 1")
     copies = staged(named.join(groups, ["a", "b"]).where("id <> class").select("id", "class").distinct(), "copies")
     nodes = own.join(small(copies.select("id").distinct()), "id", "left_anti")
-    sketch = staged(map_batches(nodes.where("text is not null"), sketched, "id long, key long, n int, sample int").distinct(), "sketch")
+    sketch = staged(map_batches(nodes.where("text is not null"), sketched, "id long, key long, n int").distinct(), "sketch")
     shared = sketch.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = staged(sketch.join(small(staged(shared.select("key"), "shared")), "key", "left_semi"), "members")
     keys = members.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys"))
@@ -265,7 +302,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = staged(nodes.join(small(members.select("id").distinct()), "id", "left_semi").distinct(), "texts")
     found, tried = [], None
     for seed in (1, 2, None):
-        classed = members.select("key", "id", "n", "keys", "sample", F.col("id").alias("class"))
+        classed = members.select("key", "id", "n", "keys", F.col("id").alias("class"))
         if found:
             classed = classed.drop("class").join(small(near_classes(reduce(DataFrame.unionByName, found))), "id", "left").withColumn("class", F.coalesce("class", "id"))
         classed = staged(classed, "classed")
@@ -273,6 +310,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = staged(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         found.append(verify(pairs, texts).select("u", "v"))
+    found.append(wide_links(classed, texts, few))
     classes = components(reduce(DataFrame.unionByName, [*found, copies.toDF("u", "v")]))
     out = own.select("id").distinct().join(small(classes), "id", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("class", "id").alias("class_id"))

@@ -211,6 +211,20 @@ def test_large_group_of_near_copies_and_a_common_passage(spark):
     assert set(got[:150]) == {0} and got[150:] == list(range(150, 300))
 
 
+def test_large_classes_joined_by_one_link(spark):
+    texts, size = [], 100
+    for g in range(4):
+        one = [f"g{g}w{i}" for i in range(100)]
+        other = one[:10] + [f"g{g}v{i}" for i in range(11)] + one[21:]
+        bridge = one[:10] + other[10:15] + one[15:]
+        edited = lambda b, i: " ".join(b[: 45 + i % 50] + [f"g{g}e{i}"] + b[46 + i % 50 :])
+        texts += [edited(one, i) for i in range(size)] + [" ".join(one), " ".join(bridge)]
+        texts += [edited(other, size + i) for i in range(size)] + [" ".join(other)]
+    got = [r.class_id for r in near_duplicates.near_duplicates(docs(spark, texts)).orderBy("doc_id").collect()]
+    each = 2 * size + 3
+    assert got == [i // each * each for i in range(4 * each)]
+
+
 def test_banded_alignment_is_the_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(60):
