@@ -3,14 +3,17 @@
 Equal texts are one node. A node's k-mers are its runs of five words, each labelled with
 its occurrence. Each of ``samples`` hash functions picks the ``width`` smallest labelled
 k-mers and keeps them in text order; nodes with an equal sample are candidates. Such a
-sample agrees with about the width-th power of the alignment similarity.
+sample agrees with about the width-th power of the alignment similarity. Samples of short
+texts agree less often, so texts of ``SHORT`` k-mers at most meet by single k-mers: of their
+labelled k-mers in the order of a hash, each keeps so many of the first that two with a link
+must share one.
 
 Candidates are verified in rounds. In each of the first two, a member of a bucket's largest
 class so far, at first of any, meets the members of other classes, which only saves work. Then, where a bucket still holds
 several classes, all members of different ones meet: as pairs where the bucket has ``few`` members at most, else in
 blocks by length and salt, any two of which are one task; a task counts the k-mers that each two of its
 texts share and aligns those that share enough and aren't yet in one class. Pairs whose lengths rule a
-link out, or of small buckets that share one sample only, are left out. The similarity of two nodes is the number
+link out are left out. The similarity of two nodes is the number
 of k-mers that an alignment matches over all k-mers of both less those; links have 0.8 or
 more, and classes are the connected components.
 """
@@ -32,7 +35,9 @@ from pyspark.sql import functions as F
 from tessella.llm.common import map_batches, read, small, staged
 from tessella.llm.components import components
 
-K, SIMILARITY, SAMPLES, WIDTH, FEW = 5, 0.8, 32, 6, 32
+K, SIMILARITY, SAMPLES, WIDTH, FEW = 5, 0.8, 24, 4, 32
+#: Texts of up to so many k-mers meet by single k-mers, without loss.
+SHORT = 15
 #: Members, and their k-mers, that a block of a large bucket holds on average.
 BLOCK, BLOCK_KMERS = 1024, 500_000
 SEED = 20_240_229
@@ -94,6 +99,17 @@ def order_minhash(x: np.ndarray, samples: int = SAMPLES, width: int = WIDTH) ->
     return keys
 
 
+def node_keys(x: np.ndarray) -> np.ndarray:
+    """The keys by which texts meet: single k-mers up to SHORT k-mers, samples wherever the other text may be longer."""
+    keys = []
+    if len(x) <= SHORT:
+        single = np.sort((labelled(x) ^ np.uint64(SEED)) * np.uint64(0x9E3779B97F4A7C15))
+        keys.append(single[: len(x) - math.ceil(SIMILARITY * len(x) - 1e-9) + 1])
+    if len(x) > SIMILARITY * SHORT:
+        keys.append(order_minhash(x))
+    return np.concatenate(keys)
+
+
 def aligned(a: list[int], b: list[int], band: int) -> int:
     """Length of the longest common subsequence that stays within ``band`` of the diagonal, bit-parallel."""
     masks: dict[int, int] = {}
@@ -147,10 +163,11 @@ def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             if len(x := kmers(text.as_py(), hashes)):
                 ids.append(i)
-                keys.append(order_minhash(x))
+                keys.append(node_keys(x))
                 sizes.append(len(x))
         flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), SAMPLES)), pa.array(flat), pa.array(np.repeat(np.array(sizes, np.int32), SAMPLES))], ["id", "key", "n"])
+        each = np.array([len(k) for k in keys], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), each)), pa.array(flat), pa.array(np.repeat(np.array(sizes, np.int32), each))], ["id", "key", "n"])
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,27 +214,26 @@ def pair(a, b) -> list:
 
 
 def fits(a, b):
-    """Whether two nodes can be linked: their lengths allow it, and they share two samples."""
-    return (F.least(a["n"], b["n"]) >= SIMILARITY * F.greatest(a["n"], b["n"])) & (F.size(F.array_intersect(a["keys"], b["keys"])) >= 2)
+    """Whether two nodes' lengths allow a link."""
+    return F.least(a["n"], b["n"]) >= SIMILARITY * F.greatest(a["n"], b["n"])
 
 
 def star_pairs(members: DataFrame, seed: int) -> DataFrame:
     """Candidate pairs of one member of each bucket's largest class, drawn by the seed, with the members of other classes."""
-    node = F.struct("id", "n", "class", "keys")
+    node = F.struct("id", "n", "class")
     classes = members.groupBy("key", "class").agg(F.count("*").alias("size"), F.min_by(node, F.xxhash64("id", "key", F.lit(seed))).alias("one"))
     main = classes.groupBy("key").agg(F.max_by("one", F.struct("size", F.xxhash64("class", "key", F.lit(seed)))).alias("o"), F.count("*").alias("classes")).where("classes > 1")
-    star = members.join(small(staged(main.select("key", "o"), "main")), "key").where((F.col("class") != F.col("o.class")) & fits(F.struct("n", "keys"), F.col("o")))
+    star = members.join(small(staged(main.select("key", "o"), "main")), "key").where((F.col("class") != F.col("o.class")) & fits(F.struct("n"), F.col("o")))
     return star.select(*pair(F.col("id"), F.col("o.id"))).distinct()
 
 
 def mixed_pairs(members: DataFrame, few: int) -> DataFrame:
-    """All candidate pairs of different classes in buckets of ``few`` members at most, from (key, id, n, keys, class)."""
-    own = F.struct("n", "keys")
+    """All candidate pairs of different classes in buckets of ``few`` members at most, from (key, id, n, class)."""
     keys = members.groupBy("key").agg(F.count("*").alias("members"), F.min("class").alias("least"), F.max("class").alias("most"))
     keys = staged(keys.where((F.col("least") != F.col("most")) & (F.col("members") <= few)).select("key"), "keys")
     listed = members.join(small(keys), "key", "left_semi")
-    of = listed.groupBy("key").agg(F.collect_list(F.struct("id", "n", "keys", "class")).alias("others"))
-    near = F.filter("others", lambda o: (o["id"] > F.col("id")) & (o["class"] != F.col("class")) & fits(o, own))
+    of = listed.groupBy("key").agg(F.collect_list(F.struct("id", "n", "class")).alias("others"))
+    near = F.filter("others", lambda o: (o["id"] > F.col("id")) & (o["class"] != F.col("class")) & fits(o, F.struct("n")))
     return listed.join(of, "key").select("id", F.explode(near).alias("o")).select(*pair(F.col("id"), F.col("o.id"))).distinct()
 
 
@@ -297,12 +313,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch = staged(map_batches(nodes.where("text is not null"), sketched, "id long, key long, n int").distinct(), "sketch")
     shared = sketch.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = staged(sketch.join(small(staged(shared.select("key"), "shared")), "key", "left_semi"), "members")
-    keys = members.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    members = staged(members.join(keys, "id").where(F.size("keys") >= 2), "members")
     texts = staged(nodes.join(small(members.select("id").distinct()), "id", "left_semi").distinct(), "texts")
     found, tried = [], None
     for seed in (1, 2, None):
-        classed = members.select("key", "id", "n", "keys", F.col("id").alias("class"))
+        classed = members.select("key", "id", "n", F.col("id").alias("class"))
         if found:
             classed = classed.drop("class").join(small(near_classes(reduce(DataFrame.unionByName, found))), "id", "left").withColumn("class", F.coalesce("class", "id"))
         classed = staged(classed, "classed")

@@ -211,6 +211,19 @@ def test_large_group_of_near_copies_and_a_common_passage(spark):
     assert set(got[:150]) == {0} and got[150:] == list(range(150, 300))
 
 
+def test_short_texts_meet(spark):
+    texts = []
+    for n in (8, 9, 10, 13, 16, 19, 24):  # a text, and it without its last word or with another one
+        for i in range(150):
+            text = [f"n{n}t{i}w{k}" for k in range(n)]
+            texts += [" ".join(text), " ".join(text[:-1] if n < 13 else text[:-1] + ["end"])]
+    hashes = near_duplicates.WordHashes()
+    k = [near_duplicates.kmers(t, hashes) for t in texts]
+    alike = [bool(near_duplicates.alignment_similarity(k[i], k[i ^ 1])) for i in range(len(texts))]
+    got = [r.class_id for r in near_duplicates.near_duplicates(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [i - i % 2 if alike[i] else i for i in range(len(texts))] and sum(alike) >= 1500
+
+
 def test_large_classes_joined_by_one_link(spark):
     texts, size = [], 100
     for g in range(4):
