@@ -347,7 +347,7 @@ def grid(space: dict[str, tuple[float, float]], points: int, centre: dict[str, f
 @query("tu03_zoom")
 def tu03(spark, d):
     """Two rounds of trials, the second around the first's best, by holdout error."""
-    df = E.holdout(rows(spark, d).where("l_linenumber <= 2"), "key", 0.3).cache()
+    df = E.holdout(rows(spark, d), "key", 0.3).cache()
     space, centre, spread, log = {"rate": (0.1, 0.9), "depth": (2, 4)}, {"rate": 0.5, "depth": 3}, 1.0, []
     for step in range(2):
         for t in grid(space, 2, centre, spread, step):

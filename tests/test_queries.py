@@ -52,3 +52,18 @@ def test_runs(spark, name):
 
 def test_flagship(spark):
     assert catalog.flagship(spark, SF).count() > 0
+
+
+def test_zoom_tunes_on_the_whole_table(spark, monkeypatch):
+    from tessella.plans import models
+
+    class Stop(Exception):
+        pass
+
+    def counted(df, *_):
+        raise Stop(df.count())
+
+    monkeypatch.setattr(models.E, "holdout", counted)
+    with pytest.raises(Stop) as found:
+        catalog.QUERIES["tu03_zoom"](spark, SF)
+    assert found.value.args[0] == spark.read.parquet(f"{SF}/lineitem.parquet").count()
