@@ -167,7 +167,12 @@ def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, template) from (host, html): each host's equivalence classes, a class its tokens in order."""
-    seen = map_batches(pages, occurrences, "host string, token long, n int, first int, page long")
+    # Copies count once. Only pages that have copies are shuffled.
+    keyed = pages.select("host", "html", F.xxhash64("html").alias("a"), F.xxhash64(F.lit(1), "html").alias("b"))
+    copied = staged(keyed.groupBy("host", "a", "b").count().where("count > 1").select("host", "a", "b"), "copied")
+    single = keyed.join(small(copied), ["host", "a", "b"], "left_anti").select("host", "html")
+    copies = keyed.join(small(copied), ["host", "a", "b"], "left_semi").dropDuplicates(["host", "a", "b"]).select("host", "html")
+    seen = map_batches(single.unionByName(copies), occurrences, "host string, token long, n int, first int, page long")
     # An occurrence vector's fingerprint: sums of hashes of (page, count), in halves that can't overflow.
     mark = F.xxhash64("page", "n")
     low, high = F.sum(mark.bitwiseAND(F.lit(0xFFFFFFFF))), F.sum(F.shiftright(mark, 32))
@@ -211,7 +216,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """One row for each row: id_col, url_col, text, n_chars.
 
     Null and empty pages have an empty text. Pages with a null or odd url share the empty
-    host. Equal pages of a host count as often as they occur; rows with null or repeated
+    host. Equal pages of a host count once in its template; rows with null or repeated
     ids keep their own rows; other columns are ignored.
     """
     name = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))

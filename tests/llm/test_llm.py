@@ -165,6 +165,14 @@ def test_article_without_the_template(spark):
     assert out[100].text == "" and out[101].n_chars == 0 and out[102].text == "plain\nno tags\nx" and len(out) == 44
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    shell = "<html><body><h4>Menu of the site</h4>{}<h5>Foot of the site</h5></body></html>"
+    pages = [shell.format(f"<p>article number {i} alone</p>") for i in range(12)] + [shell.format("<p>the one article that was copied</p>")] * 60
+    rows = [(i, f"http://h.example/{i}", page) for i, page in enumerate(pages)]
+    out = {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[3] == "article number 3 alone" and {out[i] for i in range(12, 72)} == {"the one article that was copied"}
+
+
 def test_valid_classes_come_in_order_and_nest():
     assert html_text.valid_tokens([1, 5, 2, 1, 6, 2], [[1, 2], [5, 6]]) == {0, 2, 3, 5}
     assert html_text.valid_tokens([2, 1], [[1, 2]]) == set()
