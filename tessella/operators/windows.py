@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -43,14 +44,18 @@ def centred(w: WindowSpec, rows: int) -> WindowSpec:
     return w.rowsBetween(-(rows // 2), rows // 2)
 
 
-def ewma(c: str, alpha: float, w: WindowSpec, horizon: int = 400) -> Column:
+def with_ewma(df: DataFrame, out: str, c: str, alpha: float, group: str, order: list[str]) -> DataFrame:
     """Exponentially weighted mean e = alpha x + (1 - alpha) e, starting at the first value; a NULL keeps the last mean.
 
-    The recurrence runs over the last ``horizon`` rows, whose older part weighs less than
-    (1 - alpha)^horizon, so a group's length doesn't matter.
+    The recurrence runs over as many of the last non-NULL values as leave a weight of 1e-18
+    at most to older ones, so a group's length doesn't matter.
     """
-    values = F.collect_list(c).over(w.rowsBetween(-(horizon - 1), 0))
-    return F.aggregate(F.slice(values, 2, horizon), F.element_at(values, 1).cast("double"), lambda e, x: F.lit(alpha) * x + F.lit(1 - alpha) * e)
+    horizon = math.ceil(math.log(1e-18) / math.log1p(-alpha)) if alpha < 1 else 1
+    own = Window.partitionBy(group, F.col(c).isNull()).orderBy(*order).rowsBetween(-(horizon - 1), 0)
+    values = F.collect_list(c).over(own)
+    mean = F.aggregate(F.slice(values, 2, horizon), F.try_element_at(values, F.lit(1)).cast("double"), lambda e, x: F.lit(alpha) * x + F.lit(1 - alpha) * e)
+    before = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(out, mean).withColumn(out, F.last(F.col(f"`{out}`"), ignorenulls=True).over(before))
 
 
 def momentum(c: str, k: int, w: WindowSpec) -> Column:
@@ -78,15 +83,18 @@ PRESETS = {
 
 
 def grouped_time_series(df: DataFrame, group: str, order: list[str], columns: list[str], config: TimeSeriesConfig = TimeSeriesConfig()) -> DataFrame:
-    """All features of each column, per group in the given total order, in one window."""
+    """All features of each column, per group in the given total order, in one window but for weighted means."""
     w = Window.partitionBy(group).orderBy(*order)
     out: dict[str, Column] = {}
+    means = df
     for c in columns:
         out |= {f"{c}_lag_{k}": lag(c, k, w) for k in config.lags}
         out |= {f"{c}_roll_{n}_{s}": rolling(c, s, trailing(w, n), config.min_periods) for n in config.windows for s in config.stats}
-        out |= {f"{c}_ewma_{a:.2f}": ewma(c, a, w) for a in config.alphas}
+        for a in config.alphas:
+            means = with_ewma(means, f"{c}_ewma_{a:.2f}", c, a, group, order)
+            out[f"{c}_ewma_{a:.2f}"] = F.col(f"`{c}_ewma_{a:.2f}`")
         out |= {f"{c}_momentum_{k}": momentum(c, k, w) for k in config.momenta}
-    return df.withColumns(out)
+    return means.withColumns(out).select(*[f"`{c}`" for c in [*(c for c in df.columns if c not in out), *out]])
 
 
 def zscore(c: str, by: WindowSpec) -> Column:

@@ -153,7 +153,7 @@ def ts03(spark, d):
 
 @query("ts04_ewma", f"SELECT event_id, round(list_reduce(list(value) OVER ({W0} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda a, x: 0.3*x+0.7*a),6) AS e FROM events")
 def ts04(spark, d):
-    return with_columns(events(spark, d), ["event_id"], {"e": W.ewma("value", 0.3, own())})
+    return with_columns(W.with_ewma(events(spark, d), "e", "value", 0.3, "user_id", ["ts", "event_id"]), ["event_id"], {"e": F.col("e")})
 
 
 @query("ts05_momentum", f"SELECT event_id, round(CASE WHEN abs(lag(value,1) OVER w) > 1e-10 THEN (value - lag(value,1) OVER w)/lag(value,1) OVER w END,6) AS m1, round(CASE WHEN abs(lag(value,7) OVER w) > 1e-10 THEN (value - lag(value,7) OVER w)/lag(value,7) OVER w END,6) AS m7 FROM events WINDOW w AS ({W0})")

@@ -84,3 +84,18 @@ def test_time_series_splits():
 def test_concat_needs_the_same_columns(spark):
     with pytest.raises(ValueError):
         encoding.concat_binned(frame(spark, [1.0]), frame(spark, [1.0], "k long, z double"))
+
+
+def test_weighted_mean_over_gaps(spark):
+    from tessella.operators import windows
+
+    values = [None] + [float(i % 7) if i % 150 == 0 else None for i in range(1400)]
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "g int, t int, x double")
+    for alpha in (0.1, 0.01):
+        config = windows.TimeSeriesConfig((), (), (), (alpha,), ())
+        got = [r[-1] for r in windows.grouped_time_series(df, "g", ["t"], ["x"], config).orderBy("t").collect()]
+        e, want = None, []
+        for v in values:
+            e = e if v is None else v if e is None else alpha * v + (1 - alpha) * e
+            want.append(e)
+        assert got[0] is None and got[1:] == pytest.approx(want[1:], abs=1e-12)
