@@ -45,12 +45,14 @@ WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, kept for the words seen lately."""
+    """64-bit hashes of words, kept for the words of usual length seen lately: some 12 MB at most."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word.encode())
+        h = xxhash.xxh64_intdigest(word.encode())
+        if len(word) <= 64:
+            if len(self) >= 100_000:
+                self.clear()
+            self[word] = h
         return h
 
 

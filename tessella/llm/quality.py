@@ -28,12 +28,14 @@ KINDS = np.array([UPPER if 65 <= b <= 90 else LOWER if 97 <= b <= 122 else DIGIT
 
 
 class Buckets(dict):
-    """Word buckets, kept for the words seen lately."""
+    """Word buckets, kept for the words of usual length seen lately: some 12 MB at most."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = b = xxhash.xxh64_intdigest(word.encode()) & ((1 << WORD_BITS) - 1)
+        b = xxhash.xxh64_intdigest(word.encode()) & ((1 << WORD_BITS) - 1)
+        if len(word) <= 64:
+            if len(self) >= 100_000:
+                self.clear()
+            self[word] = b
         return b
 
 

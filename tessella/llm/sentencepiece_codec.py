@@ -34,8 +34,8 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: What an unknown character scores below the worst piece.
 UNKNOWN_PENALTY = 10.0
-#: Segments kept in each of two generations.
-SEGMENTS, SEGMENT_CHARS = 600_000, 64
+#: Segments kept in each of two generations, and the characters of a segment that is kept: some 20 MB each.
+SEGMENTS, SEGMENT_CHARS = 100_000, 64
 
 
 def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
