@@ -4,9 +4,7 @@ A line is its text without blanks at either end. For each distinct line a HyperL
 sketch of its sites is built in every task and merged by the aggregation. Where the
 estimate lies within the sketch's error of the threshold, the line's distinct sites are
 counted exactly. Lines on ``sites`` or more sites are boilerplate: the holder with the
-smallest id keeps the line, all others lose it. A document of which eight tenths or more
-would go is a copy and no carrier of boilerplate: it is left whole, for the removal of near
-duplicates to judge.
+smallest id keeps the line, all others lose it, whatever else they hold.
 """
 
 from __future__ import annotations
@@ -18,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import read, small, staged
 
-SITES, MIN_WORDS, WHOLE, PRECISION = 8, 4, 0.8, 12
+SITES, MIN_WORDS, PRECISION = 8, 4, 12
 BLANKS = " \t\r"
 
 
@@ -46,14 +44,13 @@ def line_spread(lines: DataFrame, sites: int, precision: int = PRECISION) -> Dat
     return over.where(F.col("id") != F.col("keeper")).select("a", "b", "id")
 
 
-def drop_boilerplate(docs: DataFrame, sites: int = SITES, min_words: int = MIN_WORDS, whole: float = WHOLE, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """All rows and columns of ``docs`` with cleaned text, and lines_removed (int).
-
-    A row of which ``whole`` or more of the letters in lines would go is left as it is.
+def drop_boilerplate(docs: DataFrame, sites: int = SITES, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", removed_col: str = "lines_removed") -> DataFrame:
+    """All rows and columns of ``docs`` with cleaned text, and removed_col (int), which replaces a column of that name.
 
     Lines of fewer than min_words words stay, as do all lines of rows with a null id or
     null site, which don't count as holders either. Null texts stay null. Rows that share
     an id count as one holder. Other columns pass through, whatever their names.
+    An empty table gives an empty one.
     """
     held = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
     own = docs.toDF(*held.values())
@@ -65,13 +62,10 @@ def drop_boilerplate(docs: DataFrame, sites: int = SITES, min_words: int = MIN_W
     drops = staged(drops, "drops").hint("merge")
     trimmed = lambda x: F.btrim(x, F.lit(BLANKS))
     kept = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("drops"), line_key(trimmed(x))))
-    chars = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda n, x: n + F.length(trimmed(x)))
     out = own.join(drops, i == F.col("id"), "left").withColumn("kept", F.when(F.col("drops").isNotNull() & site.isNotNull(), kept))
-    all_chars = chars(F.split(text, "\n"))
-    out = out.withColumn("kept", F.when(F.col("kept").isNotNull() & ((all_chars - chars(F.col("kept"))) < F.lit(whole) * all_chars), F.col("kept")))
     clean = F.when(F.col("kept").isNull(), text).otherwise(F.array_join("kept", "\n"))
     gone = F.coalesce(F.size(F.split(text, "\n")) - F.size("kept"), F.lit(0))
-    return out.select(*[(clean if c == text_col else F.col(held[c])).alias(c) for c in docs.columns], gone.alias("lines_removed"))
+    return out.select(*[(clean if c == text_col else F.col(held[c])).alias(c) for c in docs.columns if c != removed_col], gone.alias(removed_col))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,10 +85,7 @@ WITH parts AS (
   GROUP BY t HAVING count(DISTINCT source) >= 8
 ), marked AS (
   SELECT l.*, w.t IS NOT NULL AS gone FROM lines l LEFT JOIN wide w ON w.t = l.t AND w.keeper <> l.doc_id
-), kept AS (
-  SELECT doc_id, string_agg(line, chr(10) ORDER BY k) AS whole, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '') AS clean,
-    count(*) FILTER (WHERE gone) AS n, coalesce(sum(length(t)) FILTER (WHERE gone), 0) < 0.8 * sum(length(t)) AS carrier
-  FROM marked GROUP BY doc_id
 )
-SELECT doc_id, CASE WHEN carrier THEN clean ELSE whole END AS text, CAST(CASE WHEN carrier THEN n ELSE 0 END AS INTEGER) AS lines_removed FROM kept
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '') AS text, CAST(count(*) FILTER (WHERE gone) AS INTEGER) AS lines_removed
+FROM marked GROUP BY doc_id
 """

@@ -70,6 +70,8 @@ class FactorisationMachine:
     bias: float
     weights: np.ndarray
     factors: np.ndarray
+    #: Whether both labels were seen.
+    informed: bool = True
 
     def score(self, ids: np.ndarray, x: np.ndarray) -> float:
         v = self.factors[ids] * x[:, None]
@@ -85,7 +87,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
     w, v = np.zeros(WIDTH, np.float32), rng.normal(0, 0.02, (WIDTH, FACTORS)).astype(np.float32)
     model = FactorisationMachine(float(np.log(mean / (1 - mean))), w, v)
     if len(set(labels.tolist())) < 2:
-        model.factors = np.zeros_like(v)
+        model.factors, model.informed = np.zeros_like(v), False
         return model
     gw, gv = np.full(WIDTH, 1e-6, np.float32), np.full((WIDTH, FACTORS), 1e-6, np.float32)
     g0 = 1e-6
@@ -137,8 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorisa
     return fit(rows, np.array([r.y for r in got]))
 
 
-def scored(docs: DataFrame, model: FactorisationMachine, columns: list[str]) -> DataFrame:
-    """The named columns of docs and, as the last one, a score (double) for every row, from its whole text and n_chars."""
+def scored(docs: DataFrame, model: FactorisationMachine, columns: list[str], score_col: str = "score") -> DataFrame:
+    """The named columns of docs and, as the last one, score_col (double) for every row, from its whole text and n_chars."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     needed = [*columns, *(c for c in ("text", "n_chars") if c not in columns)]
     width, text, n = len(columns), needed.index("text"), needed.index("n_chars")
@@ -150,7 +152,7 @@ def scored(docs: DataFrame, model: FactorisationMachine, columns: list[str]) ->
             yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(s, pa.float64())], [*(f"c{i}" for i in range(width)), "score"])
 
     schema = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
-    return map_batches(docs.select(*needed), run, f"{schema}, score double").toDF(*columns, "score")
+    return map_batches(docs.select(*needed), run, f"{schema}, score double").toDF(*columns, score_col)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

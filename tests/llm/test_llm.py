@@ -54,9 +54,16 @@ def test_lines_keep_one_holder_and_odd_rows(spark):
     assert lines.drop_boilerplate(df.limit(0)).count() == 0
 
 
-def test_copies_are_left_whole(spark):
-    df = docs(spark, ["a line on very many sites\nand another line of this text"] * 20, [f"s{i}" for i in range(20)])
-    assert {r.lines_removed for r in lines.drop_boilerplate(df).collect()} == {0}
+def test_short_carriers_and_copies_lose_the_line_too(spark):
+    line = "a line of fifty words, say, on very many sites"
+    df = docs(spark, [f"own {i}\n{line}" for i in range(10)] + [line] * 4, [f"s{i}" for i in range(14)])
+    out = [r.text for r in lines.drop_boilerplate(df).orderBy("doc_id").collect()]
+    assert out == [f"own 0\n{line}"] + [f"own {i}" for i in range(1, 10)] + [""] * 4
+
+
+def test_repeated_ids_are_one_holder(spark):
+    df = docs(spark, ["a line on very many sites"] * 12, [f"s{i}" for i in range(12)]).withColumn("doc_id", F.col("doc_id") % 2)
+    assert sorted((r.doc_id, r.lines_removed) for r in lines.drop_boilerplate(df).collect()) == [(0, 0)] * 6 + [(1, 1)] * 6
 
 
 def test_spread_below_the_threshold_stays(spark):
