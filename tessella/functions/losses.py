@@ -17,13 +17,22 @@ Pair = tuple[Column, Column]
 
 @dataclass(frozen=True)
 class Loss:
-    """gradient and hessian by prediction, and the constant prediction to start from as an aggregate."""
+    """gradient and hessian by raw prediction, the constant to start from as an aggregate, and a row's loss.
+
+    ``value`` takes the raw prediction too. It is what early stopping watches, up to terms
+    that don't depend on the prediction.
+    """
 
     name: str
     pair: Callable[[Column, Column], Pair]
     start: Callable[[Column], Column]
+    value: Callable[[Column, Column], Column]
     link: str = "identity"
 
+    def response(self, raw: Column) -> Column:
+        """The prediction on the target's scale."""
+        return {"identity": lambda x: x, "logit": sigmoid, "log": F.exp}[self.link](raw)
+
 
 def mse(y: Column, p: Column) -> Pair:
     return p - y, F.lit(1.0)
@@ -110,15 +119,52 @@ def log_odds(y: Column) -> Column:
     return F.ln(m / (1 - m))
 
 
+def smape(y: Column, p: Column) -> Pair:
+    """Symmetric percentage error, smoothed: the scale is the mean size of target and prediction, held fixed."""
+    w = 1 / F.greatest((F.abs(y) + F.abs(p)) / 2, F.lit(1e-3))
+    r = (p - y) * w
+    s = 1 + r * r
+    return r / F.sqrt(s) * w, F.greatest(w * w * F.pow(s, F.lit(-1.5)), F.lit(EPS))
+
+
+def clipped(q: Column) -> Column:
+    return F.least(F.greatest(q, F.lit(EPS)), F.lit(1 - EPS))
+
+
+def log_loss_value(y: Column, p: Column) -> Column:
+    q = clipped(sigmoid(p))
+    return -(y * F.ln(q) + (1 - y) * F.ln(1 - q))
+
+
+def focal_value(gamma: float = 2.0, alpha: float = 0.25) -> Callable:
+    def value(y: Column, p: Column) -> Column:
+        q = clipped(sigmoid(p))
+        pt, a = F.when(y > 0.5, q).otherwise(1 - q), F.when(y > 0.5, F.lit(alpha)).otherwise(F.lit(1 - alpha))
+        return -a * F.pow(1 - pt, F.lit(gamma)) * F.ln(pt)
+
+    return value
+
+
+def pinball(tau: float) -> Callable:
+    return lambda y, p: F.greatest(tau * (y - p), (tau - 1) * (y - p))
+
+
+def tweedie_value(power: float = 1.5) -> Callable:
+    return lambda y, p: F.exp((2 - power) * p) / (2 - power) - y * F.exp((1 - power) * p) / (1 - power)
+
+
+#: Losses of a row; beta's is its squared error on the target's scale, since Spark has no log-gamma function.
 LOSSES = {
-    "mse": Loss("mse", mse, F.avg),
-    "pseudo_huber": Loss("pseudo_huber", pseudo_huber(), F.avg),
-    "log_loss": Loss("log_loss", log_loss, log_odds, "logit"),
-    "focal": Loss("focal", focal(), log_odds, "logit"),
-    "quantile": Loss("quantile", quantile(0.5), F.median),
-    "mape": Loss("mape", mape, F.median),
-    "tweedie": Loss("tweedie", tweedie(), lambda y: F.ln(F.greatest(F.avg(y), F.lit(1e-6))), "log"),
-    "beta": Loss("beta", beta(), log_odds, "logit"),
+    "mse": Loss("mse", mse, F.avg, lambda y, p: (y - p) * (y - p)),
+    "pseudo_huber": Loss("pseudo_huber", pseudo_huber(), F.avg, lambda y, p: F.sqrt(1 + (y - p) * (y - p)) - 1),
+    "log_loss": Loss("log_loss", log_loss, log_odds, log_loss_value, "logit"),
+    "focal": Loss("focal", focal(), log_odds, focal_value(), "logit"),
+    "quantile": Loss("quantile", quantile(0.5), F.median, pinball(0.5)),
+    "quantile_90": Loss("quantile_90", quantile(0.9), lambda y: F.percentile(y, F.lit(0.9)), pinball(0.9)),
+    "mape": Loss("mape", mape, F.median, lambda y, p: F.abs(y - p) / F.greatest(F.abs(y), F.lit(1e-3))),
+    "smape": Loss("smape", smape, F.median, lambda y, p: 2 * F.abs(y - p) / F.greatest(F.abs(y) + F.abs(p), F.lit(2e-3))),
+    "tweedie": Loss("tweedie", tweedie(), lambda y: F.ln(F.greatest(F.avg(y), F.lit(1e-6))), tweedie_value(), "log"),
+    "beta": Loss("beta", beta(), log_odds, lambda y, p: (y - sigmoid(p)) * (y - sigmoid(p)), "logit"),
 }
 
 

@@ -80,7 +80,11 @@ class Universal:
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         df = self.trees.predict(df, out)
-        return df.withColumn(out, F.col(out) + self.linear.column()) if self.linear else df
+        if not self.linear:
+            return df
+        # The interval is around the whole prediction: its bounds move with the linear part.
+        moved = [out, f"{out}_low", f"{out}_high"][: 1 if self.trees.interval is None else 3]
+        return df.withColumns({c: F.col(c) + self.linear.column() for c in moved})
 
     def update(self, df: DataFrame, rounds: int) -> Universal:
         """Adds trees fitted to what the model leaves of a new batch."""

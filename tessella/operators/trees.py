@@ -11,8 +11,8 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.losses import LOSSES, Loss
-from tessella.functions.scalar import sigmoid, softmax
+from tessella.functions.losses import LOSSES, Loss, entropy2
+from tessella.functions.scalar import softmax
 from tessella.operators.encoding import binned, boundaries
 
 
@@ -55,6 +55,10 @@ def era_splits(hist: DataFrame, lam: float = 1.0) -> DataFrame:
     return agg.where("a = b and a <> 0").select("feature", "bin", "gain", F.col("a").cast("int").alias("direction"))
 
 
+#: Rounds after which predictions become data again.
+REFRESH = 5
+
+
 @dataclass
 class Node:
     feature: int = -1
@@ -85,6 +89,10 @@ class TreeConfig:
     goss: tuple[float, float] | None = None
     prune: float = 0.0
     monotone: dict[str, int] = field(default_factory=dict)
+    #: Features that may meet on one path; none means any.
+    groups: list[list[str]] = field(default_factory=list)
+    #: Weight of a binary target's information gain beside the gradient gain.
+    entropy: float = 0.0
     forest: bool = False
     seed: int = 42
     patience: int = 0
@@ -108,61 +116,143 @@ def poisson(u: Column) -> Column:
     return out
 
 
-def choose(rows: list, cfg: TreeConfig, features: list[str], allowed: set[int]) -> dict[int, tuple]:
-    """Each node's best split over its collected histogram, with the direction of missing values."""
-    by: dict[int, dict[int, dict[int, tuple]]] = {}
+Histogram = dict[int, dict[int, tuple[float, float, int]]]
+
+
+def collected(rows: list) -> dict[int, Histogram]:
+    """Histogram rows by node, feature and bin."""
+    by: dict[int, Histogram] = {}
     for r in rows:
         by.setdefault(r.node, {}).setdefault(r.feature, {})[r.bin] = (r.g, r.h, r.n)
-    found = {}
+    return by
+
+
+def sibling(parent: Histogram, child: Histogram) -> Histogram:
+    """What the parent holds and the child doesn't: the other child's histogram, without another pass."""
+    out: Histogram = {}
+    for f, bins in parent.items():
+        own = child.get(f, {})
+        out[f] = {b: tuple(x - y for x, y in zip(v, own.get(b, (0.0, 0.0, 0)))) for b, v in bins.items() if v[2] > own.get(b, (0, 0, 0))[2]}
+    return out
+
+
+def totals(feats: Histogram) -> tuple[float, float, int]:
+    return tuple(sum(x[i] for x in next(iter(feats.values())).values()) for i in range(3))
+
+
+def best_split(feats: Histogram, cfg: TreeConfig, features: list[str], allowed: set[int], only: set[tuple[int, int]] | None = None) -> tuple | None:
+    """A node's best split: (gain, feature, bin, direction of missing values, left sums, right sums).
+
+    With ``only``, splits (feature, bin) outside it are passed over, and missing values go left.
+    """
+    G, H, N = totals(feats)
+    best = None
+    for f in sorted(set(feats) & allowed):
+        bins = feats[f]
+        mg, mh, mn = bins.get(0, (0.0, 0.0, 0))
+        for missing_left in (True, False) if mn and only is None else (True,):
+            g, h, n = (mg, mh, mn) if missing_left else (0.0, 0.0, 0)
+            for b in sorted(bins):
+                if b:
+                    g, h, n = g + bins[b][0], h + bins[b][1], n + bins[b][2]
+                if (only is not None and (f, b) not in only) or (not missing_left and not b) or n < cfg.least_rows or N - n < cfg.least_rows or h < cfg.least_hessian or H - h < cfg.least_hessian:
+                    continue
+                wl, wr = -g / (h + cfg.lam), -(G - g) / (H - h + cfg.lam)
+                if (wr - wl) * cfg.monotone.get(features[f], 0) < 0:
+                    continue
+                gain = 0.5 * (g * g / (h + cfg.lam) + (G - g) ** 2 / (H - h + cfg.lam) - G * G / (H + cfg.lam))
+                if cfg.entropy and N:
+                    gain += cfg.entropy * information(g, h, n, G, H, N)
+                if gain >= cfg.least_gain and (best is None or gain > best[0]) and gain > 0:
+                    best = (gain, f, b, missing_left, (g, h, n), (G - g, H - h, N - n))
+    return best
+
+
+def information(g: float, h: float, n: int, G: float, H: float, N: int) -> float:
+    """Bits that a split tells of a binary target, from the mean gradients' shares of the hessians' range."""
+    share = lambda g, n: min(1.0, max(0.0, 0.5 - g / n / 2)) if n else 0.0
+    return entropy2(share(G, N)) - n / N * entropy2(share(g, n)) - (N - n) / N * entropy2(share(G - g, N - n))
+
+
+def consistent(rows: list, cfg: TreeConfig) -> dict[int, set[tuple[int, int]]]:
+    """By node, the splits (feature, bin) that send the same side up in every era, from rows keyed by node and era."""
+    by: dict[int, dict[int, dict[int, dict[int, tuple[float, float]]]]] = {}
+    for r in rows:
+        by.setdefault(r.node, {}).setdefault(r.feature, {}).setdefault(r.era, {})[r.bin] = (r.g, r.h)
+    kept: dict[int, set[tuple[int, int]]] = {}
     for node, feats in by.items():
-        any_feature = next(iter(feats.values()))
-        G, H, N = (sum(x[i] for x in any_feature.values()) for i in range(3))
-        best = None
-        for f in sorted(feats):
-            if f not in allowed:
-                continue
-            bins = feats[f]
-            mg, mh, mn = bins.get(0, (0.0, 0.0, 0))
-            for missing_left in (True, False) if mn else (True,):
-                g, h, n = (mg, mh, mn) if missing_left else (0.0, 0.0, 0)
-                for b in sorted(bins):
-                    if b:
-                        g, h, n = g + bins[b][0], h + bins[b][1], n + bins[b][2]
-                    if (not missing_left and not b) or n < cfg.least_rows or N - n < cfg.least_rows or h < cfg.least_hessian or H - h < cfg.least_hessian:
-                        continue
-                    wl, wr = -g / (h + cfg.lam), -(G - g) / (H - h + cfg.lam)
-                    if (wr - wl) * cfg.monotone.get(features[f], 0) < 0:
-                        continue
-                    gain = 0.5 * (g * g / (h + cfg.lam) + (G - g) ** 2 / (H - h + cfg.lam) - G * G / (H + cfg.lam))
-                    if gain >= cfg.least_gain and (best is None or gain > best[0]) and gain > 0:
-                        best = (gain, f, b, missing_left, (g, h, n), (G - g, H - h, N - n))
-        found[node] = (best, (G, H, N))
-    return found
-
-
-def grow(df: DataFrame, bins: dict[str, Column], g: Column, h: Column, cfg: TreeConfig, allowed: set[int]) -> list[Node]:
-    """Best-first growth: levels are histogrammed one job each, then the frontier is replayed by gain."""
+        for f, eras in feats.items():
+            for b in sorted({b for x in eras.values() for b in x}):
+                ways = set()
+                for bins in eras.values():
+                    G, H = (sum(v[i] for v in bins.values()) for i in (0, 1))
+                    g, h = (sum(v[i] for k, v in bins.items() if k <= b) for i in (0, 1))
+                    x = (G - g) / (H - h + cfg.lam) - g / (h + cfg.lam)
+                    ways.add((x > 0) - (x < 0))
+                if len(ways) == 1 and 0 not in ways:
+                    kept.setdefault(node, set()).add((f, b))
+    return kept
+
+
+def grow(df: DataFrame, bins: dict[str, Column], g: Column, h: Column, cfg: TreeConfig, allowed: set[int], era: Column | None = None) -> list[Node]:
+    """Best-first growth: levels are histogrammed one job each, then the frontier is replayed by gain.
+
+    Of two children only the smaller one's rows are read; the other's histogram is what the
+    parent's leaves. A row finds its node by nested conditions, one for each level. With an
+    era column only splits that point the same way in every era are taken; then both
+    children are read, since their histograms are kept by era. With ``cfg.groups`` a path
+    may only split on features of one group together.
+    """
     features = list(bins)
-    candidates: dict[int, tuple] = {}
-    where: dict[int, Column] = {}
-    level = [1]
-    node = F.lit(1)
-    for depth in range(cfg.depth):
-        hist = histogram(df, bins, g, h, node.alias("node")).where(F.col("node").isin(level)).collect()
-        found = choose(hist, cfg, features, allowed)
-        candidates |= found
-        level, nxt = [], node
-        for k, (best, _) in sorted(found.items()):
-            if best and depth + 1 <= cfg.depth:
-                _, f, b, missing_left, *_ = best
-                x = bins[features[f]]
-                goes = F.when(x == 0, F.lit(missing_left)).otherwise(x <= b)
-                where[k] = goes
-                nxt = F.when(node == k, F.when(goes, 2 * k).otherwise(2 * k + 1)).otherwise(nxt)
-                level += [2 * k, 2 * k + 1]
-        node = nxt
-        if not level:
+    group_sets = [{features.index(f) for f in group if f in bins} for group in cfg.groups]
+    splits: dict[int, tuple] = {}
+    sums: dict[int, tuple] = {}
+    hists: dict[int, Histogram] = {}
+    used: dict[int, frozenset[int]] = {1: frozenset()}
+
+    def place(k: int = 1) -> Column:
+        if k not in splits:
+            return F.lit(k)
+        _, f, b, missing_left, *_ = splits[k]
+        x = bins[features[f]]
+        goes = (x <= b) if missing_left else (x <= b) & (x > 0)
+        return F.when(goes, place(2 * k)).otherwise(place(2 * k + 1))
+
+    read, derived = [1], []
+    for _ in range(cfg.depth):
+        rows = df.withColumn("__node", place()).where(F.col("__node").isin(read))
+        if era is None:
+            found, only = collected(histogram(rows, bins, g, h, F.col("__node").alias("node")).collect()), None
+        else:
+            each = histogram(rows, bins, g, h, F.col("__node").alias("node"), era.alias("era")).collect()
+            only = consistent(each, cfg)
+            found = {}
+            for r in each:
+                x = found.setdefault(r.node, {}).setdefault(r.feature, {})
+                a = x.get(r.bin, (0.0, 0.0, 0))
+                x[r.bin] = (a[0] + r.g, a[1] + r.h, a[2] + r.n)
+        hists |= found
+        for k in derived:
+            hists[k] = sibling(hists[k // 2], hists.get(k ^ 1, {}))
+        read, derived, level = [], [], sorted([*found, *derived])
+        for k in level:
+            if not any(hists[k].values()):
+                continue
+            sums[k] = totals(hists[k])
+            may = allowed
+            if group_sets and used[k]:
+                may = allowed & set().union(*[s for s in group_sets if used[k] <= s])
+            best = best_split(hists[k], cfg, features, may, None if only is None else only.get(k, set()))
+            if best:
+                splits[k] = best
+                used[2 * k] = used[2 * k + 1] = used[k] | {best[1]}
+                small = 2 * k if best[4][2] <= best[5][2] else 2 * k + 1
+                read.append(small)
+                (derived if era is None else read).append(small ^ 1)
+        hists = {k: v for k, v in hists.items() if 2 * k in used}
+        if not read:
             break
+    candidates = {k: (splits.get(k), s) for k, s in sums.items()}
     tree: list[Node] = []
 
     def leaf(stats: tuple) -> int:
@@ -248,11 +338,14 @@ class GBDT:
         return df.withColumns({f"__b_{f}": b for f, b in self.bins().items()})
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
-        link = LOSSES[self.config.loss].link
-        p = {"identity": lambda x: x, "logit": sigmoid, "log": F.exp}[link](self.raw())
-        df = self.with_bins(df).withColumn(out, p)
+        loss = LOSSES[self.config.loss]
+        df = self.with_bins(df).withColumn(out, loss.response(self.raw()))
         if self.interval is not None:
-            df = df.withColumns({f"{out}_low": F.col(out) - self.interval, f"{out}_high": F.col(out) + self.interval})
+            # Bounds stay within what the link can reach.
+            low, high = F.col(out) - self.interval, F.col(out) + self.interval
+            if loss.link != "identity":
+                low = F.greatest(low, F.lit(0.0))
+            df = df.withColumns({f"{out}_low": low, f"{out}_high": F.least(high, F.lit(1.0)) if loss.link == "logit" else high})
         return df.drop(*[f"__b_{f}" for f in self.features])
 
     def attributions(self, df: DataFrame) -> DataFrame:
@@ -287,23 +380,31 @@ def goss_weight(g: Column, key: Column, cut: float, cfg: TreeConfig, salt: int)
     return F.when(F.abs(g) >= cut, F.lit(1.0)).otherwise(F.when(uniform(key, cfg.seed, salt) < b / (1 - a), F.lit((1 - a) / b)).otherwise(F.lit(0.0)))
 
 
-def train_gbdt(df: DataFrame, features: list[str], target: str, key: str, cfg: TreeConfig = TreeConfig(), start: GBDT | None = None) -> GBDT:
+def train_gbdt(df: DataFrame, features: list[str], target: str, key: str, cfg: TreeConfig = TreeConfig(), start: GBDT | None = None, validation: DataFrame | None = None, era: str | None = None, on_round=None) -> GBDT:
     """Trains on rows keyed by ``key``; ``start`` is a model to add trees to.
 
-    The binned table is persisted once; each round's predictions are an expression of it.
+    ``validation`` is a table to stop early by, in place of a share of ``df``. With ``era``,
+    splits must point the same way in every era. After each round ``on_round(round, loss on
+    the validation rows or None)`` is called; training ends where it returns False.
+
+    The binned table is persisted; each round's predictions are an expression of it, and
+    become data again every few rounds so that plans stay short.
     """
     loss: Loss = LOSSES[cfg.loss]
     bounds = start.bounds if start else boundaries(df, features, cfg.bins)
-    rows = df.select(F.col(target).cast("double").alias("y"), F.col(key).alias("key"), *[binned(F.col(f), bounds[f]).cast("short").alias(f"__b_{f}") for f in features])
+    known = lambda t: t.select(F.col(target).cast("double").alias("y"), F.col(key).alias("key"), (F.col(era) if era else F.lit(0)).alias("era"), *[binned(F.col(f), bounds[f]).cast("short").alias(f"__b_{f}") for f in features]).where("y is not null")
     u = uniform(F.col("key"), cfg.seed, 7)
-    rows = rows.where("y is not null").withColumn("part", F.when(u < cfg.calibration, "calibration").when(u < cfg.calibration + cfg.validation, "validation").otherwise("train")).persist()
+    rows = known(df).withColumn("part", F.when(u < cfg.calibration, "calibration").when(u < cfg.calibration + (0 if validation is not None else cfg.validation), "validation").otherwise("train"))
+    if validation is not None:
+        rows = rows.unionByName(known(validation).withColumn("part", F.lit("validation")))
+    held = [rows.persist()]
     try:
         bins = {f: F.col(f"__b_{f}") for f in features}
-        train = rows.where("part = 'train'")
-        base = start.base if start else float(train.agg(loss.start(F.col("y"))).first()[0] or 0.0)
+        base = start.base if start else float(rows.where("part = 'train'").agg(loss.start(F.col("y"))).first()[0] or 0.0)
         model = GBDT(features, bounds, base, list(start.trees) if start else [], cfg)
         best, waited, kept = math.inf, 0, len(model.trees)
-        scored, done = rows.withColumn("pred", F.lit(base) if cfg.forest else model.raw()), len(model.trees)
+        watched = bool(validation is not None or cfg.validation)
+        scored = rows.withColumn("pred", F.lit(base) if cfg.forest else model.raw())
         for r in range(cfg.rounds):
             now = scored.where("part = 'train'")
             g, h = loss.pair(F.col("y"), F.col("pred"))
@@ -316,25 +417,37 @@ def train_gbdt(df: DataFrame, features: list[str], target: str, key: str, cfg: T
             if cfg.subsample < 1:
                 now = now.where(uniform(F.col("key"), cfg.seed, 1000 + r) < cfg.subsample)
             allowed = set(random.Random(cfg.seed * 31 + r).sample(range(len(features)), max(1, math.ceil(cfg.colsample * len(features)))))
-            tree = grow(now.withColumns({"__g": g * w, "__h": h * w}).where("__h > 0"), bins, F.col("__g"), F.col("__h"), cfg, allowed)
+            now = now.select("key", "era", *[f"__b_{f}" for f in features], (g * w).alias("__g"), (h * w).alias("__h")).where("__h > 0")
+            tree = grow(now, bins, F.col("__g"), F.col("__h"), cfg, allowed, F.col("era") if era else None)
             model.trees.append(tree)
             if not cfg.forest:
                 scored = scored.withColumn("pred", F.col("pred") + tree_value(tree, bins))
-                if (r + 1) % 5 == 0:  # predictions become data again, so plans stay short
+                if (r + 1) % REFRESH == 0 and r + 1 < cfg.rounds:
                     scored = scored.persist()
-            if cfg.validation and cfg.patience:
-                loss_now = scored.where("part = 'validation'").agg(F.avg((F.col("y") - F.col("pred")) ** 2)).first()[0] or 0.0
-                if loss_now < best - 1e-12:
-                    best, waited, kept = loss_now, 0, len(model.trees)
+                    scored.count()
+                    for old in held[1:]:
+                        old.unpersist()
+                    held[1:] = [scored]
+            value = None
+            if watched and (cfg.patience or on_round):
+                now = rows.withColumn("pred", model.raw()) if cfg.forest else scored
+                value = now.where("part = 'validation'").agg(F.avg(loss.value(F.col("y"), F.col("pred")))).first()[0]
+            if watched and cfg.patience and value is not None:
+                if value < best - 1e-12:
+                    best, waited, kept = value, 0, len(model.trees)
                 elif (waited := waited + 1) >= cfg.patience:
-                    model = model.truncated(kept)
                     break
+            if on_round and on_round(r, value) is False:
+                break
+        if watched and cfg.patience and best < math.inf:
+            model = model.truncated(kept)
         if cfg.calibration:
-            out = rows.where("part = 'calibration'").withColumn("pred", model.raw())
+            out = rows.where("part = 'calibration'").withColumn("pred", loss.response(model.raw()))
             model.interval = conformal(out, F.abs(F.col("y") - F.col("pred")), cfg.quantile)
         return model
     finally:
-        rows.unpersist()
+        for old in held:
+            old.unpersist()
 
 
 def conformal(df: DataFrame, residual: Column, q: float) -> float | None:
