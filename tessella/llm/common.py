@@ -45,7 +45,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out.staged_rows = seen.get["rows"]
+    out.staged_rows, out.staged_path = seen.get["rows"], path
     return out
 
 
