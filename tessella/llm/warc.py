@@ -94,7 +94,11 @@ def target(url: str) -> tuple[fs.FileSystem, str]:
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Archives of (id, url, html, digest, refers_to), all but html as strings, in ``folder``: their staged manifest (name, records, bytes)."""
     usable = pages.where(F.col("refers_to").isNull() & F.col("html").isNotNull() & (F.octet_length("html") <= SAMPLE_BYTES))
-    sample = usable.orderBy(F.xxhash64("id", "digest")).limit(SAMPLES).select("id", "url", "html", "digest").collect()
+    # Ids first: tasks then send no pages but the chosen ones.
+    chosen = staged(usable.select("id", "digest").orderBy(F.xxhash64("id", "digest"), "id").limit(SAMPLES), "chosen").distinct()
+    same = F.col("id").eqNullSafe(F.col("chosen_id")) & (F.col("digest") == F.col("chosen_digest"))
+    sample = usable.join(F.broadcast(chosen.toDF("chosen_id", "chosen_digest")), same, "left_semi").select("id", "url", "html", "digest")
+    sample = sample.groupBy("id", "digest").agg(F.min(F.struct("url", "html")).alias("x")).select("id", "x.url", "x.html", "digest").orderBy("digest", "id").collect()
     dictionary = train_dictionary([page_record(r.id or "", r.url or "", r.html.encode("utf-8", "replace"), r.digest, None) for r in sample])
     target(folder)[0].create_dir(target(folder)[1], recursive=True)
 
