@@ -1,18 +1,20 @@
 """Main text of web pages by equivalence classes of template tokens.
 
 A page is a sequence of tokens: the start and end tags of its containers and its runs of
-text, each told apart by the containers around it. Over the pages of one host a token has
-an occurrence vector, its count on every page. The vector's fingerprint is a mergeable sum
-over pages, so tokens fall into equivalence classes by an aggregation, without ever
-bringing a host's pages together. Classes whose tokens are on a large share of the host's
-pages are candidates for its template. On a page a class is valid if its tokens come in
-the class's order, round after round, and if it nests: its span lies in one gap of any
-larger class that it meets. Valid classes are the template; a run of text that belongs to
-one is the host's and not the page's, and what lies in the gaps are the slots.
-
-A slot is part of the article if its containers are: inside the article where the page
-marks one, and in no menu, header, footer, sidebar, notice, advert, form, comment thread
-or raw-text element, by tag, role, class or id.
+text, each told apart by the containers around it. Over the distinct pages of one host a
+token has an occurrence vector, its count on every page. The vector's fingerprint is a
+mergeable sum over pages, so tokens fall into equivalence classes by an aggregation, without
+ever bringing a host's pages together. Classes whose tokens are on more than half of the
+host's pages are candidates for its template. On a page a class is valid if its tokens come
+in the class's order, round after round, and if it nests: its span lies in one gap of any
+larger class that it meets. Valid classes are the template, and the gaps between their
+tokens are the slots.
+
+A page's text is what its slots hold: text that belongs to the template is the host's, and
+slots of links are its menus. Where the page itself marks its article, that is the slot,
+and all of it is kept, fixed text too. What lies in a menu, header, footer, sidebar,
+notice, advert, form, comment thread or raw-text element, by tag, role, class or id, is
+outside any slot. A template that would leave nothing of a page isn't that page's.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import map_batches, read, small, staged
 
-#: A template token is on this share of a host's pages, and on so many pages at least.
-SHARE, PAGES = 0.5, 10
+#: A template token is on this share of a host's distinct pages and one more page; it takes so many pages to tell.
+SHARE, PAGES = 0.5, 3
+#: Templates, and tokens in them, that a join may broadcast.
+HOSTS, TOKENS = 5_000, 500_000
 
 # Fixed values of the HTML standard: elements that begin and end a block, void elements,
 # and elements whose content is raw text.
@@ -82,23 +86,27 @@ def traits(tag: str, attr: str) -> tuple[bool, bool, str]:
 CLOSES = {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "option": ("option",), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "tr": ("td", "th", "tr", "p")}
 
 
-def tokens(page: str) -> Iterator[tuple[int, str | None, bool]]:
-    """The page's tokens in order: (hash, None, False) for a container's tag, (hash, text, in the marked article) for a block that isn't outside."""
+def tokens(page: str) -> Iterator[tuple[int, str | None, bool, int]]:
+    """The page's tokens in order: (hash, None, False, 0) for a container's tag, (hash, text, in the marked article, characters in links) for a block that isn't outside."""
     # Each open element: tag, hash of its place, inside the article, outside it (1 by name, 2 by tag).
     stack: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]
     block: list[str] = []
-    at = 0
+    at = linked = 0
+    link = False
 
-    def flush() -> Iterator[tuple[int, str | None, bool]]:
+    def flush() -> Iterator[tuple[int, str | None, bool, int]]:
+        nonlocal linked
         text = " ".join("".join(block).split())
         block.clear()
         if text:
             _, place, inside, _ = stack[-1]
-            yield signed(xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), place)), text, inside
+            yield signed(xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), place)), text, inside, linked
+        linked = 0
 
     for m in TOKEN.finditer(page):
         if m.start() > at and not stack[-1][3]:
             block.append(html.unescape(page[at : m.start()]))
+            linked += link * len(block[-1])
         at = m.end()
         tag = m["tag"]
         if tag is None:
@@ -108,6 +116,8 @@ def tokens(page: str) -> Iterator[tuple[int, str | None, bool]]:
         if tag not in BLOCK and tag not in OUTSIDE and not inline:
             if tag == "br":
                 block.append(" ")
+            elif tag == "a":
+                link = not m["end"]
             continue
         if not inline:
             yield from flush()
@@ -117,7 +127,7 @@ def tokens(page: str) -> Iterator[tuple[int, str | None, bool]]:
                     stack.pop()
                 place = stack.pop()[1]
                 if not inline:
-                    yield signed(place ^ 1), None, False
+                    yield signed(place ^ 1), None, False, 0
             continue
         if tag in VOID:
             continue
@@ -137,7 +147,7 @@ def tokens(page: str) -> Iterator[tuple[int, str | None, bool]]:
         place = xxhash.xxh64_intdigest(f"{tag} {words}", place)
         stack.append((tag, place, inside or article or marks, outside))
         if not inline:
-            yield signed(place), None, False
+            yield signed(place), None, False, 0
     if at < len(page) and not stack[-1][3]:
         block.append(html.unescape(page[at:]))
     yield from flush()
@@ -179,7 +189,7 @@ def templates(pages: DataFrame) -> DataFrame:
     found = seen.groupBy("host", "token").agg(F.count("*").alias("support"), low.alias("low"), high.alias("high"), F.min(F.struct("page", "first"))["first"].alias("first"))
     found = staged(found.where(F.col("support") >= PAGES), "tokens")
     pages_of = found.groupBy("host").agg(F.max("support").alias("pages"))
-    frequent = found.join(pages_of, "host").where(F.col("support") >= SHARE * F.col("pages"))
+    frequent = found.join(pages_of, "host").where(F.col("support") >= SHARE * F.col("pages") + 1)
     classes = frequent.groupBy("host", "support", "low", "high").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "token"))), lambda x: x["token"]).alias("class"))
     return classes.groupBy("host").agg(F.collect_list("class").alias("template"))
 
@@ -207,9 +217,19 @@ def valid_tokens(page: list[int], template: list[list[int]]) -> set[int]:
 def main_text(page: str | None, template: list[list[int]] | None) -> str:
     """The article's blocks, joined by line breaks."""
     found = list(tokens(page or ""))
-    fixed = valid_tokens([h for h, *_ in found], template) if template else ()
-    marked = any(inside for _, text, inside in found if text is not None)
-    return "\n".join(text for at, (_, text, inside) in enumerate(found) if text is not None and at not in fixed and (inside or not marked))
+    if any(inside for _, text, inside, _ in found if text is not None):
+        return "\n".join(text for _, text, inside, _ in found if text is not None and inside)
+    fixed = valid_tokens([h for h, *_ in found], template) if template else set()
+    slots: list[list[int]] = [[]]
+    for at, (_, text, *_) in enumerate(found):
+        if at in fixed:
+            slots.append([])
+        elif text is not None:
+            slots[-1].append(at)
+    if fixed:
+        slots = [s for s in slots if 2 * sum(found[at][3] for at in s) <= sum(len(found[at][1]) for at in s)]
+    kept = [found[at][1] for slot in slots for at in slot]
+    return "\n".join(kept or [text for _, text, *_ in found if text is not None])
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -222,6 +242,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     name = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), name.alias("host"))
     known = staged(templates(own.select("host", "html")), "templates")
+    held = known.agg(F.coalesce(F.sum(F.size(F.flatten("template"))), F.lit(0))).first()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -230,7 +251,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 texts = [main_text(page.as_py(), template.as_py()) for page, template in zip(batch.column(2), batch.column(3))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["id", "url", "text", "n_chars"])
 
-    joined = own.join(small(known, 5_000), "host", "left").select("id", "url", "html", "template")
+    joined = own.join(small(known, HOSTS) if held <= TOKENS else known.hint("merge"), "host", "left").select("id", "url", "html", "template")
     kind = own.schema["id"].dataType.simpleString()
     out = map_batches(joined, run, f"id {kind}, url string, text string, n_chars long")
     return out.withColumnsRenamed({"id": id_col, "url": url_col})

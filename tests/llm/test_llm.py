@@ -132,6 +132,21 @@ def test_nearest_exact_scores_ties_and_odd_vectors(spark):
     assert nearest.nearest(df.limit(0), lambda i: i % 20 == 0).count() == 0
 
 
+def test_nearest_answers_dont_depend_on_the_layout(spark):
+    x = np.random.default_rng(1).normal(size=(1500, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = [sorted(map(tuple, nearest.nearest(df.repartition(n), lambda i: i % 50 == 0, k=10, rerank=0.05, least=20).collect())) for n in (1, 16)]
+    assert found[0] == found[1] and len(found[0]) == 300
+    want = {(q, int(v)) for q in range(0, 1500, 50) for v in [i for i in np.argsort(-(x @ x[q])) if i != q][:10]}
+    assert len(want & {(q, v) for q, _, v, _ in found[0]}) >= 0.9 * len(want)
+
+
+def test_nearest_of_an_id_with_two_vectors(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>").withColumn("ids", F.lit(1))
+    out = [tuple(r) for r in nearest.nearest(df, lambda i: i == 0, k=5).orderBy("rank").collect()]
+    assert out == [(0, 1, 1, 1.0), (0, 2, 2, 0.5), (0, 3, 1, 0.0)]
+
+
 # WARC
 
 
@@ -164,12 +179,50 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script
 <div class="ad">AD</div><aside>side</aside><section class="comments"><article class=comment><p>reader</p></article></section><table><tr><td>a{0}<td>b{0}</table></article></div><aside class=sidebar>S</aside><footer>F</footer></body></html>"""
 
 
-def test_article_without_the_template(spark):
-    rows = [(i, f"http://h.example/{i}", PAGE.format(f"n{i}")) for i in range(40)] + [(100, None, None), (101, "odd", ""), (102, "http://z/", "<p>plain</p>no tags <div>x"), (103, "http://z/", "<" * 5000)]
-    out = {r.page_id: r for r in html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1))).collect()}
-    assert out[7].text == "Title & n7\nSecond <p> é n7\none n7\ntwo n7\nan7\nbn7" or "Read our fixed appeal" not in out[7].text
-    assert "Hello big world line two tail end" in html_text.main_text(rows[0][2], None)
-    assert out[100].text == "" and out[101].n_chars == 0 and out[102].text == "plain\nno tags\nx" and len(out) == 44
+def extracted(spark, pages):
+    rows = [(i, f"http://h.example/{i}", page) for i, page in enumerate(pages)]
+    return [r.text for r in html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_marked_article_is_kept_whole(spark):
+    rows = [(i, f"http://h.example/{i}", PAGE.format(f"n{i}")) for i in range(40)] + [(100, None, None), (101, "odd", ""), (102, "http://z/", "<p>plain</p>no tags <div>x"), (103, "http://z/", "<" * 5000), (3, "http://h.example/3", PAGE.format("n3")), (None, None, "<p>no id")]
+    found = html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1))).collect()
+    out = {r.page_id: r for r in found}
+    assert out[7].text == "Title & n7\nHello big world line two tail end\nSecond <p> é n7\none n7\ntwo n7\nRead our fixed appeal.\nan7\nbn7"
+    assert out[100].text == "" and out[101].n_chars == 0 and out[102].text == "plain\nno tags\nx" and len(found) == 46 and out[None].text == "no id"
+    assert html_text.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_template_decides_what_an_unmarked_page_holds(spark):
+    shell = "<html><body><div><b>The site of everything</b></div><div><ul>{1}</ul></div><div><h1>Title {0}</h1><p>Body of page {0}</p><p>More {0}</p></div><div>Our terms hold</div></body></html>"
+    pages = [shell.format(f"n{i}", "".join(f"<li><a href=/{k}>see {i * k}</a></li>" for k in range(3 + i % 4))) for i in range(8)]
+    want = [f"Title n{i}\nBody of page n{i}\nMore n{i}" for i in range(8)]
+    assert extracted(spark, pages) == want
+    alone = [html_text.main_text(p, None) for p in pages]
+    assert all("Our terms hold" in a and "see" in a and a != w for a, w in zip(alone, want))
+
+
+def test_equal_pages_keep_their_text(spark):
+    page = "<html><body><article><h1>One</h1><p>The whole text.</p></article></body></html>"
+    assert set(extracted(spark, [page] * 12)) == {"One\nThe whole text."}
+    assert set(extracted(spark, [page.replace("article", "div")] * 12)) == {"One\nThe whole text."}
+    few = [f"<html><body><p>fixed</p><!-- {i} --></body></html>" for i in range(6)]
+    assert set(extracted(spark, few)) == {"fixed"}
+
+
+def test_classes_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    pages = [("a" if i % 3 else "b", "<html><body><div>Top</div>" + "".join(f"<p>{'same' if rng.random() < 0.6 else f'own {i} {k}'}</p>" for k in range(rng.integers(1, 4))) + "<ul><li>x</ul><i>foot</i></body></html>") for i in range(24)]
+    got = {r.host: {tuple(c) for c in r.template} for r in html_text.templates(spark.createDataFrame(pages + pages[:9], "host string, html string")).collect()}
+    for host in "ab":
+        seqs = [[h for h, *_ in html_text.tokens(p)] for p in dict.fromkeys(p for h, p in pages if h == host)]
+        classes = collections.defaultdict(set)
+        for t in {t for x in seqs for t in x}:
+            vector = tuple(x.count(t) for x in seqs)
+            if sum(map(bool, vector)) >= len(seqs) / 2 + 1:
+                classes[vector].add(t)
+        assert {frozenset(c) for c in got[host]} == {frozenset(c) for c in classes.values()}
+        assert all([x.index(t) for t in c] == sorted(x.index(t) for t in c) for c in got[host] for x in seqs if set(c) <= set(x) and len({x.count(t) for t in c} | {1}) == 1)
 
 
 def test_copies_of_a_page_are_no_template(spark):
@@ -303,6 +356,35 @@ def test_segments_are_maximal():
     assert toxicity.segments(None, lexicon) == ([], 0)
 
 
+def test_segments_by_brute_force():
+    rng = np.random.default_rng(8)
+    lexicon = toxicity.Lexicon({"p": 1.0, "q": 2.5, "m": -1.5, "n": -0.7})
+    for _ in range(150):
+        found = rng.choice(list("pqmnxyz"), rng.integers(1, 40)).tolist()
+        score = [lexicon.get(w, -toxicity.DRIFT) for w in found]
+
+        def best(a, b):
+            """Maximal segments of a stretch: the best one, shortest first, then those to either side of it."""
+            sums = [(sum(score[i:j]), -(j - i), -i, i, j) for i in range(a, b) for j in range(i + 1, b + 1)]
+            top = max(sums, default=(0,), key=lambda x: (round(x[0], 9), *x[1:3]) if len(x) > 1 else x)
+            if top[0] <= 1e-9:
+                return []
+            i, j = top[3:]
+            return [*best(a, i), (i, j - 1, round(top[0], 6)), *best(j, b)]
+
+        assert [(a, b, round(s, 6)) for a, b, s in toxicity.segments(" ".join(found), lexicon)[0]] == best(0, len(found))
+
+
+def test_near_copies_count_once_in_the_lexicon(spark):
+    texts = [" ".join(["vile"] * (i % 2) + [f"d{i}w{j}" for j in range(30)]) for i in range(400)] + ["vileness copied word for word many times over"] * 50
+    df = docs(spark, texts)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(i, 1) for i in range(400, 450)], "doc_id long, toxic int")
+    model = toxicity.train(df, labels)
+    assert set(model.lexicon) == {"vile"} and model.lexicon["vile"] > 0
+    out = {r.doc_id: r for r in toxicity.scored(df, model).collect()}
+    assert all((out[i].score >= 0.3) == bool(i % 2) for i in range(400))
+
+
 # Sharding
 
 
