@@ -40,6 +40,7 @@ CALIBRATION = 5
 LEVEL, THRESHOLD = 0.05, 0.3
 #: Lengths of the beginnings of words that are features too, marked by an asterisk.
 BEGINNINGS = (4, 5, 6, 7, 8)
+HEAD = min(BEGINNINGS)
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
@@ -53,10 +54,14 @@ def features(word: str) -> list[str]:
 
 
 class Lexicon(dict):
-    """Scores of words and beginnings; ``of`` keeps the scores of words seen lately."""
+    """Scores of words and beginnings; ``of`` keeps the scores of words seen lately.
+
+    ``heads`` are the first letters of all its tokens: other words needn't be looked up.
+    """
 
     def __init__(self, scores: dict[str, float]):
         super().__init__(scores)
+        self.heads = {t[:HEAD] for t in self}
         self.seen: dict[str, float | None] = {}
 
     def __reduce__(self):
@@ -64,11 +69,11 @@ class Lexicon(dict):
 
     def of(self, word: str) -> float | None:
         if word not in self.seen:
-            if len(self.seen) > 100_000:
-                self.seen.clear()
             score = max((self[f] for f in features(word) if f in self), key=abs, default=None)
             if len(word) > 64:
                 return score
+            if len(self.seen) > 100_000:
+                self.seen.clear()
             self.seen[word] = score
         return self.seen[word]
 
@@ -103,8 +108,8 @@ def measures(z: np.ndarray) -> np.ndarray:
 def segments(text: str | None, lexicon: Lexicon) -> tuple[list[tuple[int, int, float]], int]:
     """All maximal scoring segments (first word, last word, score) of a text and its number of words, in linear time."""
     found = found_words(text)
-    get = lexicon.of
-    hits = [(i, s) for i, w in enumerate(found) if (s := get(w)) is not None]
+    get, heads = lexicon.of, lexicon.heads
+    hits = [(i, s) for i, w in enumerate(found) if w[:HEAD] in heads and (s := get(w)) is not None]
     # Candidates with the sums before (low) and after (high) them; sums fall by the drift between hits.
     stack: list[tuple[int, int, float, float]] = []
     total, last = 0.0, -1
@@ -179,27 +184,30 @@ def held_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def corpus_counts(docs: DataFrame, tokens: list[str]) -> tuple[list[int], int]:
-    """How many documents hold each token, and how many different words documents hold in all."""
+    """How many (document, word) pairs bear each token, and how many there are in all."""
     shared = docs.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(tokens)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = shared.value
+        heads = {t[:HEAD] for t in at}
         total = np.zeros(len(at) + 1, np.int64)  # the last is for all words
-        known: dict[str, list[int]] = {}
+
+        def add(counts: Counter) -> None:
+            total[-1] += counts.total()
+            for w, n in counts.items():
+                if w[:HEAD] in heads:
+                    for f in features(w):
+                        if f in at:
+                            total[at[f]] += n
+            counts.clear()
+
+        counts: Counter = Counter()
         for batch in batches:
             for text in batch.column(0):
-                own = set(found_words(text.as_py()))
-                total[-1] += len(own)
-                hits = set()
-                for w in own:
-                    if (k := known.get(w)) is None:
-                        if len(known) > 100_000:
-                            known.clear()
-                        k = [at[f] for f in features(w) if f in at]
-                        if len(w) <= 64:
-                            known[w] = k
-                    hits.update(k)
-                total[list(hits)] += 1
+                counts.update(set(found_words(text.as_py())))
+                if len(counts) > 100_000:
+                    add(counts)
+        add(counts)
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["k", "n"])
 
@@ -243,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Toxicity:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [segments(t.as_py(), lexicon) for t in batch.column(1)]
-            hits = [[] if y else [s for w in found_words(t.as_py()) if (s := lexicon.of(w)) is not None] for t, y in zip(batch.column(1), batch.column(2).to_pylist())]
+            hits = [[] if y else [s for w in found_words(t.as_py()) if w[:HEAD] in lexicon.heads and (s := lexicon.of(w)) is not None] for t, y in zip(batch.column(1), batch.column(2).to_pylist())]
             lists = pa.list_(pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([n for _, n in got], pa.int64()), pa.array([[s for *_, s in x] for x, _ in got], lists), pa.array(hits, lists)], ["id", "y", "n", "s", "hits"])
 
