@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tessella.functions.scalar import sigmoid
 from tessella.operators.encoding import binned, boundaries
-from tessella.operators.trees import GBDT, Node, TreeConfig, train_gbdt, uniform
+from tessella.operators.linear import Linear, fit_linear
+from tessella.operators.trees import GBDT, REFRESH, Node, TreeConfig, train_gbdt, uniform
 
 
 def vector_histogram(df: DataFrame, bins: dict[str, Column], g: list[Column], h: list[Column], node: Column) -> DataFrame:
@@ -25,13 +26,19 @@ def vector_tree(df: DataFrame, bins: dict[str, Column], g: list[Column], h: list
     """One tree for all outputs: splits by the sum of their gains, a value for each output in every leaf."""
     k, lam = len(g), cfg.lam
     tree: list[tuple[Node, list[float]]] = [(Node(), [0.0] * k)]
-    open_nodes, node = {0}, F.lit(0)
+    open_nodes = {0}
+
+    def place(at: int = 0) -> Column:
+        n = tree[at][0]
+        return F.lit(at) if n.left < 0 else F.when(bins[list(bins)[n.feature]] <= n.bin, place(n.left)).otherwise(place(n.right))
+
     for depth in range(cfg.depth + 1):
-        hist = vector_histogram(df, bins, g, h, node).where(F.col("node").isin(sorted(open_nodes))).collect()
+        rows = df.withColumn("__node", place()).where(F.col("__node").isin(sorted(open_nodes)))
+        hist = vector_histogram(rows, bins, g, h, F.col("__node")).collect()
         by: dict[int, dict[int, dict[int, list[float]]]] = {}
         for r in hist:
             by.setdefault(r.node, {}).setdefault(r.feature, {})[r.bin] = [r.n, *(r[f"{s}{i}"] for i in range(k) for s in "gh")]
-        open_nodes, nxt = set(), node
+        open_nodes = set()
         for at in sorted(by):
             total = [sum(c) for c in zip(*next(iter(by[at].values())).values())]
             n = tree[at][0]
@@ -51,9 +58,7 @@ def vector_tree(df: DataFrame, bins: dict[str, Column], g: list[Column], h: list
                 n.gain, n.feature, n.bin = best
                 n.left, n.right = len(tree), len(tree) + 1
                 tree += [(Node(), [0.0] * k), (Node(), [0.0] * k)]
-                nxt = F.when(node == at, F.when(bins[list(bins)[n.feature]] <= n.bin, n.left).otherwise(n.right)).otherwise(nxt)
                 open_nodes |= {n.left, n.right}
-        node = nxt
         if not open_nodes:
             break
     return tree
@@ -66,19 +71,45 @@ def vector_value(tree: list, bins: dict[str, Column], output: int, at: int = 0)
     return F.when(bins[list(bins)[n.feature]] <= n.bin, vector_value(tree, bins, output, n.left)).otherwise(vector_value(tree, bins, output, n.right))
 
 
-def train_multilabel(df: DataFrame, features: list[str], labels: list[str], cfg: TreeConfig) -> tuple[dict, list[float], list]:
-    """(bounds, base log-odds, trees) of vector trees on the log-loss of every label."""
+def train_multilabel(df: DataFrame, features: list[str], labels: list[str], cfg: TreeConfig, offsets: dict[str, Column] | None = None) -> tuple[dict, list[float], list]:
+    """(bounds, base log-odds, trees) of vector trees on the log-loss of every label.
+
+    ``offsets`` are raw scores that the trees add to, in place of the labels' base rates.
+    The binned rows and each round's raw scores are data, so that rounds don't repeat work.
+    """
     bounds = boundaries(df, features, cfg.bins)
     means = df.agg(*[F.avg(y).alias(y) for y in labels]).first()
-    base = [math.log(min(max(means[y], 1e-6), 1 - 1e-6) / (1 - min(max(means[y], 1e-6), 1 - 1e-6))) for y in labels]
-    bins = {f: binned(F.col(f), bounds[f]) for f in features}
+    base = [0.0 if offsets else math.log(min(max(means[y] or 0.0, 1e-6), 1 - 1e-6) / (1 - min(max(means[y] or 0.0, 1e-6), 1 - 1e-6))) for y in labels]
+    start = [offsets[y] if offsets else F.lit(b) for y, b in zip(labels, base)]
+    scored = df.select(*[F.col(y).cast("double").alias(f"__y{k}") for k, y in enumerate(labels)], *[s.cast("double").alias(f"__r{k}") for k, s in enumerate(start)], *[binned(F.col(f), bounds[f]).cast("short").alias(f"__b_{f}") for f in features]).persist()
+    bins = {f: F.col(f"__b_{f}") for f in features}
     trees: list = []
-    for _ in range(cfg.rounds):
-        p = [sigmoid(sum((vector_value(t, bins, k) for t in trees), F.lit(b))) for k, b in enumerate(base)]
-        trees.append(vector_tree(df, bins, [q - F.col(y) for q, y in zip(p, labels)], [F.greatest(q * (1 - q), F.lit(1e-7)) for q in p], cfg))
+    held = scored
+    for r in range(cfg.rounds):
+        p = [sigmoid(F.col(f"__r{k}")) for k in range(len(labels))]
+        trees.append(vector_tree(scored, bins, [q - F.col(f"__y{k}") for k, q in enumerate(p)], [F.greatest(q * (1 - q), F.lit(1e-7)) for q in p], cfg))
+        scored = scored.withColumns({f"__r{k}": F.col(f"__r{k}") + vector_value(trees[-1], bins, k) for k in range(len(labels))})
+        if (r + 1) % REFRESH == 0:
+            scored = scored.persist()
+            scored.count()
+            held.unpersist()
+            held = scored
+    held.unpersist()
     return bounds, base, trees
 
 
+def train_multilabel_linear(df: DataFrame, features: list[str], labels: list[str], cfg: TreeConfig, lam: float = 1.0) -> tuple[dict[str, Linear], tuple]:
+    """Linear then trees for several labels: a ridge for each on its labels as -2 and 2, then vector trees on what they leave."""
+    linear = {y: fit_linear(df.withColumn("__t", 4 * F.col(y) - 2), features, "__t", lam) for y in labels}
+    return linear, train_multilabel(df, features, labels, cfg, {y: m.column() for y, m in linear.items()})
+
+
+def predict_multilabel_linear(df: DataFrame, model: tuple[dict[str, Linear], tuple], labels: list[str]) -> DataFrame:
+    linear, (bounds, _, trees) = model
+    bins = {f: binned(F.col(f), b) for f, b in bounds.items()}
+    return df.withColumns({f"p_{y}": sigmoid(sum((vector_value(t, bins, k) for t in trees), linear[y].column())) for k, y in enumerate(labels)})
+
+
 def predict_multilabel(df: DataFrame, model: tuple[dict, list[float], list], labels: list[str]) -> DataFrame:
     bounds, base, trees = model
     bins = {f: binned(F.col(f), b) for f, b in bounds.items()}

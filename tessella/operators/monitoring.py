@@ -71,6 +71,45 @@ class DriftRule:
         return self.history[-1] - self.history[0] if len(self.history) > 1 else 0.0
 
 
+@dataclass
+class BinDetector:
+    """Shift of bin histograms: a reference table's counts of each feature's bins, and what a new table's differ by.
+
+    Small tables differ by chance, so the limit grows with sqrt((reference + new) / new).
+    """
+
+    counts: dict[str, dict[int, int]]
+    rows: int
+    limit: float = 0.1
+
+    @staticmethod
+    def fit(df: DataFrame, bins: list[str], limit: float = 0.1) -> BinDetector:
+        """From columns of bin numbers: one aggregation over all of them."""
+        counts: dict[str, dict[int, int]] = {c: {} for c in bins}
+        for r in bin_counts(df, bins).collect():
+            counts[r.feature][r.bin] = r.n
+        return BinDetector(counts, max((sum(v.values()) for v in counts.values()), default=0), limit)
+
+    def check(self, df: DataFrame) -> DataFrame:
+        """(feature, psi, limit, shifted) for each feature of the reference."""
+        spark = df.sparkSession
+        known = spark.createDataFrame([(f, b, n) for f, bins in self.counts.items() for b, n in bins.items()], "feature string, bin int, a long")
+        new = bin_counts(df, list(self.counts)).withColumnRenamed("n", "b")
+        both = known.join(new, ["feature", "bin"], "full").fillna(0, ["a", "b"])
+        total = Window.partitionBy("feature")
+        share = lambda c: F.greatest(F.coalesce(F.try_divide(c, F.sum(c).over(total)), F.lit(0.0)), F.lit(EPS))
+        shares = both.select("feature", "b", share("a").alias("p"), share("b").alias("q"))
+        room = F.sqrt((F.lit(self.rows) + F.sum("b")) / F.greatest(F.sum("b"), F.lit(1)))
+        out = shares.groupBy("feature").agg(F.sum(F.least((F.col("q") - F.col("p")) * F.ln(F.col("q") / F.col("p")), F.lit(1.0))).alias("psi"), (room * self.limit).alias("limit"))
+        return out.withColumn("shifted", F.col("psi") > F.col("limit"))
+
+
+def bin_counts(df: DataFrame, bins: list[str]) -> DataFrame:
+    """(feature, bin, n) of columns of bin numbers; missing bins count as bin 0."""
+    long = F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c).cast("int"), F.lit(0)).alias("bin")) for c in bins]))
+    return df.select(long).groupBy("feature", "bin").agg(F.count("*").alias("n"))
+
+
 def gap_trend(df: DataFrame, cv: str, holdout: str, step: str) -> DataFrame:
     """Mean gap between cross-validation and holdout, and the trend of its slope."""
     rows = df.select(F.col(step).cast("double").alias("x"), (F.col(holdout) - F.col(cv)).alias("gap"))

@@ -48,7 +48,8 @@ def drop_reason(name: str, p: dict) -> str | None:
     """Why a column is of no use as a feature."""
     if p["is_constant"]:
         return "constant"
-    if p["n_unique"] == p["rows"] > 10 and (name == "id" or name.endswith(("_id", "id", "key"))):
+    # Distinct counts may be estimates.
+    if p["rows"] > 10 and p["n_unique"] >= 0.85 * p["rows"] and (name == "id" or name.endswith(("_id", "id", "key"))):
         return "id"
     return "text" if p["kind"] == "text" else None
 
@@ -82,10 +83,18 @@ def granularity(df: DataFrame, ts: str) -> DataFrame:
     return mid.select("gap", F.when(g.isNull(), "unknown").when(g <= 1, "daily").when(g <= 10, "weekly").when(g <= 45, "monthly").when(g <= 120, "quarterly").otherwise("yearly").alias("granularity"))
 
 
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson's correlation of the rows that have both; NULL where one doesn't vary, which the built-in makes an error."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, corr) for each pair of columns, from one pass."""
     pairs = list(combinations(columns, 2))
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[correlation(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
     return row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])))
 
 
@@ -98,7 +107,7 @@ def noise_floor(df: DataFrame, feature: str, target: str, tie: str, chunks: int
 
 def select_features(df: DataFrame, originals: list[str], candidates: list[str], target: str, least_variance: float = 0.01, most_corr: float = 0.95, top: int = 50) -> list[str]:
     """Candidates that vary, don't repeat an original, and correlate best with the target."""
-    stats = {f"v:{c}": F.var_pop(c) for c in candidates} | {f"t:{c}": F.corr(c, target) for c in candidates} | {f"{c}:{o}": F.corr(c, o) for c in candidates for o in originals}
+    stats = {f"v:{c}": F.var_pop(c) for c in candidates} | {f"t:{c}": correlation(c, target) for c in candidates} | {f"{c}:{o}": correlation(c, o) for c in candidates for o in originals}
     got = df.agg(*[v.alias(k) for k, v in stats.items()]).first().asDict()
     kept = [c for c in candidates if (got[f"v:{c}"] or 0) >= least_variance and all(abs(got[f"{c}:{o}"] or 0) < most_corr for o in originals)]
     return sorted(kept, key=lambda c: (-abs(got[f"t:{c}"] or 0), c))[:top]
@@ -107,7 +116,7 @@ def select_features(df: DataFrame, originals: list[str], candidates: list[str],
 def drop_collinear(df: DataFrame, columns: list[str], target: str, limit: float = 0.99) -> list[str]:
     """Columns left when of each pair above the limit the one that tells less of the target goes."""
     got = {(r.a, r.b): r["corr"] or 0.0 for r in correlations(df, columns).collect()}
-    row = df.agg(*[F.corr(c, target).alias(c) for c in columns]).first()
+    row = df.agg(*[correlation(c, target).alias(c) for c in columns]).first()
     gone: set[str] = set()
     for (a, b), r in sorted(got.items(), key=lambda x: (-abs(x[1]), x[0])):
         if abs(r) > limit and not gone & {a, b}:

@@ -435,9 +435,10 @@ def train_gbdt(df: DataFrame, features: list[str], target: str, key: str, cfg: T
             if watched and cfg.patience and value is not None:
                 if value < best - 1e-12:
                     best, waited, kept = value, 0, len(model.trees)
-                elif (waited := waited + 1) >= cfg.patience:
-                    break
-            if on_round and on_round(r, value) is False:
+                else:
+                    waited += 1
+            stop = on_round is not None and on_round(r, value) is False
+            if stop or cfg.patience and waited >= cfg.patience:
                 break
         if watched and cfg.patience and best < math.inf:
             model = model.truncated(kept)

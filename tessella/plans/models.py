@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import random
+import math
 
 from pyspark.sql import functions as F
 
 from tessella.functions import losses as L
 from tessella.operators import evaluation as E
+from tessella.operators import auto as A
 from tessella.operators import linear as M
 from tessella.operators import monitoring as D
-from tessella.operators import preprocess as P
-from tessella.operators import profile as R
 from tessella.operators import trees as T
+from tessella.operators import tuning as U
 from tessella.operators.encoding import binned, boundaries
 from tessella.plans.features import KEYS, LINE, line, with_columns
 from tessella.plans.registry import query, r6
@@ -31,11 +31,33 @@ def rows(spark, d):
 
 _Y, _P = "l_quantity/50", "0.3"
 _S = "(1/(1+exp(-0.3)))"
+_FW = f"(CASE WHEN {_Y} > 0.5 THEN 0.25*pow(1-{_S},2) ELSE 0.75*pow({_S},2) END)"
+_T = f"least(greatest({_Y},1e-4),1-1e-4)"
+
+
+def _percentage(scale: str) -> tuple[str, str]:
+    w = f"(1/{scale})"
+    s = f"(1+pow(({_P}-{_Y})*{w},2))"
+    return f"({_P}-{_Y})*{w}/sqrt({s})*{w}", f"greatest({w}*{w}*pow({s},-1.5),1e-7)"
+
+
+def _digamma(x: float) -> float:
+    """For the SQL: from far out, where the asymptotic series is exact to double precision."""
+    shift = sum(1 / (x + i) for i in range(60))
+    x += 60
+    return math.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6) - shift
+
+
 _LOSS_SQL = {
     "mse": (f"{_P}-{_Y}", "1.0"),
     "pseudo_huber": (f"({_P}-{_Y})/sqrt(1+({_P}-{_Y})*({_P}-{_Y}))", f"pow(1+({_P}-{_Y})*({_P}-{_Y}),-1.5)"),
     "log_loss": (f"{_S}-{_Y}", f"{_S}*(1-{_S})"),
     "quantile": (f"1/(1+exp(-({_P}-{_Y})))-0.5", f"greatest(1/(1+exp(-({_P}-{_Y})))*(1-1/(1+exp(-({_P}-{_Y})))),1e-7)"),
+    "focal": (f"{_FW}*({_S}-{_Y})", f"greatest({_FW}*{_S}*(1-{_S}),1e-7)"),
+    "quantile_90": (f"1/(1+exp(-({_P}-{_Y})))-0.9", f"greatest(1/(1+exp(-({_P}-{_Y})))*(1-1/(1+exp(-({_P}-{_Y})))),1e-7)"),
+    "mape": _percentage(f"greatest(abs({_Y}),1e-3)"),
+    "smape": _percentage(f"greatest((abs({_Y})+abs({_P}))/2,1e-3)"),
+    "beta": (f"-10*(ln({_T}/(1-{_T}))-({_digamma(10 / (1 + math.exp(-0.3)))!r})+({_digamma(10 - 10 / (1 + math.exp(-0.3)))!r}))*{_S}*(1-{_S})", f"10*{_S}*(1-{_S})"),
     "tweedie": (f"exp(0.5*{_P})-{_Y}*exp(-0.5*{_P})", f"exp(0.5*{_P})"),
 }
 for _name, _loss in L.LOSSES.items():
@@ -97,10 +119,14 @@ def tr02(spark, d):
     return T.best_splits(T.split_gains(T.histogram(df, bins, g, F.lit(1.0)))).withColumn("gain", F.round("gain", 2))
 
 
-@query("tr05_era_split")
+@query("tr05_era_split", _BINS + """, h AS (SELECT era, feature, bin, sum(g) g, count(*) n FROM long GROUP BY 1,2,3),
+f AS (SELECT e.era, s.feature, s.bin, coalesce(g,0) g, coalesce(n,0) n FROM (SELECT DISTINCT era FROM h) e, (SELECT DISTINCT feature, bin FROM h) s LEFT JOIN h ON h.era = e.era AND h.feature = s.feature AND h.bin = s.bin),
+c AS (SELECT era, feature, bin, sum(g) OVER r gl, sum(n) OVER r nl, sum(g) OVER p gt, sum(n) OVER p nt FROM f WINDOW p AS (PARTITION BY era, feature), r AS (PARTITION BY era, feature ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+u AS (SELECT feature, bin, 0.5*(gl*gl/(nl+1)+(gt-gl)*(gt-gl)/(nt-nl+1)-gt*gt/(nt+1)) gain, sign((gt-gl)/(nt-nl+1)-gl/(nl+1)) up FROM c)
+SELECT CAST(feature AS INT) AS feature, CAST(bin AS INT) AS bin, round(avg(gain),2) AS gain, CAST(min(up) AS INT) AS direction FROM u GROUP BY 1,2 HAVING min(up) = max(up) AND min(up) <> 0""")
 def tr05(spark, d):
     df, bins, g = root(spark, d)
-    return T.era_splits(T.histogram(df, bins, g, F.lit(1.0), F.year("l_shipdate").alias("era")))
+    return T.era_splits(T.histogram(df, bins, g, F.lit(1.0), F.year("l_shipdate").alias("era"))).withColumn("gain", F.round("gain", 2))
 
 
 SMALL = T.TreeConfig(rounds=5, rate=0.3, depth=4, leaves=12, bins=32)
@@ -209,7 +235,12 @@ def es02(spark, d):
     return spark.createDataFrame([(c,) for c in M.hill_climb(df, ["p1", "p2"], "y")], "chosen string")
 
 
-@query("es03_stack")
+_STACK = """WITH r AS (SELECT %s y, l_quantity p1, 10*l_tax p2 FROM lineitem), s AS (SELECT regr_sxx(y,p1)+1 a, regr_sxx(y,p2)+1 b, covar_pop(p1,p2)*count(*) c, covar_pop(p1,y)*count(*) u, covar_pop(p2,y)*count(*) v, avg(y) my, avg(p1) m1, avg(p2) m2 FROM r),
+w AS (SELECT (b*u-c*v)/(a*b-c*c) w1, (a*v-c*u)/(a*b-c*c) w2, my, m1, m2 FROM s)
+SELECT prediction, round(weight,6) AS weight FROM (SELECT '' AS prediction, my-w1*m1-w2*m2 AS weight FROM w UNION ALL SELECT 'p1', greatest(w1,0) FROM w UNION ALL SELECT 'p2', greatest(w2,0) FROM w)""" % TARGET
+
+
+@query("es03_stack", _STACK)
 def es03(spark, d):
     df = rows(spark, d).select("y", F.col("l_quantity").alias("p1"), (10 * F.col("l_tax")).alias("p2"))
     m = M.stack(df, ["p1", "p2"], "y")
@@ -315,7 +346,14 @@ def mo03(spark, d):
     return D.jsd(*halves(spark, d), "l_extendedprice").select(r6("jsd").alias("jsd"))
 
 
-@query("mo05_gate")
+def _gate() -> str:
+    levels = " UNION ALL ".join(f"SELECT '{f}' AS feature, (SELECT psi FROM ({_shares(False).replace('l_extendedprice', f)} SELECT sum(least((greatest(q,1e-10)-greatest(p,1e-10))*ln(greatest(q,1e-10)/greatest(p,1e-10)),1.0)) AS psi FROM z)) AS psi" for f in FEATURES)
+    return f"""WITH l AS ({levels}), n AS (SELECT sqrt(count(*)*1.0/count(*) FILTER (WHERE l_shipdate >= {_CUT})) room FROM lineitem),
+v AS (SELECT feature, CASE WHEN psi >= 0.25*room THEN 'critical' WHEN psi >= 0.1*room THEN 'warning' ELSE 'none' END AS level FROM l, n), s AS (SELECT avg(CAST(level = 'critical' AS INT)) s FROM v)
+SELECT feature, level, CASE WHEN s >= 0.5 THEN 'retrain' WHEN s > 0.1 THEN 'update_with_care' ELSE 'update' END AS recommendation FROM v, s"""
+
+
+@query("mo05_gate", _gate())
 def mo05(spark, d):
     a, b = halves(spark, d)
     rule, n, m = D.DriftRule(), a.count(), b.count()
@@ -330,47 +368,26 @@ def mo06(spark, d):
     return out.select(r6("gap").alias("gap"), r6("slope").alias("slope"), "trend")
 
 
-def grid(space: dict[str, tuple[float, float]], points: int, centre: dict[str, float], spread: float, seed: int, kind: str = "latin") -> list[dict[str, float]]:
-    """Trials around a centre: cartesian, Latin hypercube or random, in a range shrunk by ``spread``."""
-    rng = random.Random(seed)
-    span = {k: (max(a, centre[k] - (b - a) * spread / 2), min(b, centre[k] + (b - a) * spread / 2)) for k, (a, b) in space.items()}
-    if kind == "cartesian":
-        out = [{}]
-        for k, (a, b) in span.items():
-            out = [o | {k: a + (b - a) * i / max(1, points - 1)} for o in out for i in range(points)]
-        return out
-    order = {k: rng.sample(range(points), points) for k in span}
-    place = lambda k, i: (order[k][i] + 0.5) / points if kind == "latin" else rng.random()
-    return [{k: a + (b - a) * place(k, i) for k, (a, b) in span.items()} for i in range(points)]
+SPACE = [U.Parameter("rate", 0.1, 0.9), U.Parameter("depth", 2, 4, whole=True)]
+
+
+def tuned_model(rounds: int = 2):
+    return U.tree_model(FEATURES, "y", "key", T.TreeConfig(rounds=rounds, leaves=8, bins=16))
 
 
 @query("tu03_zoom")
 def tu03(spark, d):
     """Two rounds of trials, the second around the first's best, by holdout error."""
-    df = E.holdout(rows(spark, d), "key", 0.3).cache()
-    space, centre, spread, log = {"rate": (0.1, 0.9), "depth": (2, 4)}, {"rate": 0.5, "depth": 3}, 1.0, []
-    for step in range(2):
-        for t in grid(space, 2, centre, spread, step):
-            cfg = T.TreeConfig(rounds=2, rate=t["rate"], depth=round(t["depth"]), leaves=8, bins=16)
-            out = T.train_gbdt(df.where("split = 'train'"), FEATURES, "y", "key", cfg).predict(df.where("split = 'validation'"))
-            log.append((step, round(t["rate"], 4), round(t["depth"]), out.agg(E.regression_metrics(F.col("y"), F.col("prediction"))["rmse"]).first()[0]))
-        best = min(log, key=lambda x: x[3])
-        centre, spread = {"rate": best[1], "depth": best[2]}, spread / 2
+    df = rows(spark, d).cache()
+    log = U.tune(df, "key", "y", tuned_model(), SPACE, U.TunerConfig(steps=2, points=2))
     df.unpersist()
-    return spark.createDataFrame([(a, b, c, round(e, 6)) for a, b, c, e in log], "step int, rate double, depth int, rmse double")
+    return log.frame(spark).withColumn("value", r6("value"))
 
 
 @query("au01_auto")
 def au01(spark, d):
     """Profile, plan, probe the three modes on a holdout, and score with the best."""
-    df = E.holdout(rows(spark, d), "key", 0.2).cache()
-    plan = P.plan_preprocessing([r.asDict() for r in R.profile(df, FEATURES, exact=False).collect()], linear=True)
-    train, test = df.where("split <> 'validation'"), df.where("split = 'validation'")
-    cfg = T.TreeConfig(rounds=2, rate=0.5, depth=3, leaves=8, bins=32)
-    found = {}
-    for mode in ("trees", "linear_then_trees", "forest"):
-        out = M.train_universal(train, FEATURES, "y", "key", mode, cfg).predict(test)
-        found[mode] = out.agg(E.regression_metrics(F.col("y"), F.col("prediction"))["rmse"]).first()[0]
-    df.unpersist()
-    best = min(found, key=found.get)
-    return spark.createDataFrame([(m, round(e, 6), m == best, len(plan)) for m, e in found.items()], "mode string, rmse double, chosen boolean, steps int")
+    df = rows(spark, d).select("key", "y", *FEATURES, "l_returnflag", "l_shipdate").cache()
+    model = A.build(df, "y", "key", A.AutoConfig(tree=T.TreeConfig(rounds=3, rate=0.5, depth=3, leaves=8, bins=32)))
+    out = model.predict(df).agg(*[r6(c).alias(n) for n, c in E.regression_metrics(F.col("y"), F.col("prediction")).items()])
+    return out.withColumns({"mode": F.lit(model.model.mode), "task": F.lit(model.task), "derived": F.lit(len([f for f in model.encoding.features if f.name not in df.columns]))})

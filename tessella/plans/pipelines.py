@@ -6,14 +6,19 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tessella.operators import auto as A
 from tessella.operators import encoding as N
 from tessella.operators import ensembles as B
 from tessella.operators import evaluation as E
+from tessella.operators import extend as X
 from tessella.operators import linear as M
+from tessella.operators import monitoring as D
 from tessella.operators import pipeline as L
+from tessella.operators import sketch as K
 from tessella.operators import trees as T
+from tessella.operators import tuning as U
 from tessella.plans.features import KEYS, LINE, line
-from tessella.plans.models import FEATURES, rows
+from tessella.plans.models import _BINS, _CUT, FEATURES, rows
 from tessella.plans.registry import query, r6
 from tessella.sources.tables import csv, shared_folder, table
 from tessella.streaming.incremental import IncrementalScaler, run
@@ -100,10 +105,16 @@ def ag20(spark, d):
     return h.select("bin", "n", F.round("g0", 4).alias("g0"), F.round("g1", 4).alias("g1"))
 
 
-@query("ag24_count_sketch", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+_CM = K.CountMin(0.2, 0.9)
+
+
+@query("ag24_count_sketch", f"""WITH v AS (SELECT DISTINCT o_custkey FROM orders), s AS (SELECT o_custkey, r, ('0x'||substr(md5(r||':'||o_custkey),1,12))::BIGINT % {_CM.width} AS slot FROM v, range({_CM.depth}) t(r)),
+n AS (SELECT s.r, s.slot, count(*) AS n FROM orders JOIN s USING (o_custkey) GROUP BY 1,2), h AS (SELECT r, slot, n + n//2 AS n FROM n) SELECT o_custkey, CAST(min(h.n) AS BIGINT) AS estimate FROM s JOIN h ON s.r = h.r AND s.slot = h.slot GROUP BY 1""")
 def ag24(spark, d):
-    """Exact counts, which a count-min sketch bounds from above."""
-    return N.frequency(table(spark, d, "events"), "event_type").select("event_type", F.col("freq").cast("long").alias("n"))
+    """Estimates from a sketch merged with its own half."""
+    df = table(spark, d, "orders")
+    sketch = _CM.add(df, "o_custkey")
+    return _CM.estimate(_CM.merge(sketch, _CM.halve(sketch)), df, "o_custkey")
 
 
 @query("bo03_multilabel")
@@ -115,9 +126,134 @@ def bo03(spark, d):
 
 @query("bo05_early_stop")
 def bo05(spark, d):
-    cfg = T.TreeConfig(rounds=5, rate=0.9, depth=3, leaves=8, bins=32, validation=0.2, patience=1)
-    model = T.train_gbdt(rows(spark, d), FEATURES, "y", "key", cfg)
-    return spark.createDataFrame([(len(model.trees) <= 5,)], "stopped_in_time boolean")
+    """The held-out loss after each round, and whether the round was kept."""
+    cfg = T.TreeConfig(rounds=6, rate=1.0, depth=3, leaves=8, bins=32, loss="log_loss", validation=0.2, patience=1)
+    seen = []
+    model = T.train_gbdt(rows(spark, d).withColumn("b", (F.col("y") > 25).cast("double")), FEATURES, "b", "key", cfg, on_round=lambda r, v: seen.append((r, v)))
+    return spark.createDataFrame([(r, round(v, 6), r < len(model.trees)) for r, v in seen], "round int, loss double, kept boolean")
+
+
+@query("bo04_external_validation")
+def bo04(spark, d):
+    """Trained on the earlier half by splits that hold in every year, stopped by the later half."""
+    df = rows(spark, d).withColumn("era", F.year("l_shipdate"))
+    cfg = T.TreeConfig(rounds=4, rate=0.5, depth=3, leaves=8, bins=16, patience=2)
+    model = T.train_gbdt(df.where("era < 1995"), FEATURES, "y", "key", cfg, validation=df.where("era >= 1995"), era="era")
+    out = model.predict(df.where("era >= 1995"))
+    return out.agg(F.lit(len(model.trees)).alias("trees"), r6(E.regression_metrics(F.col("y"), F.col("prediction"))["r2"]).alias("r2"))
+
+
+@query("un02_multilabel_linear")
+def un02(spark, d):
+    df = rows(spark, d).withColumns({"a": (F.col("y") > 20).cast("double"), "b": (F.col("l_tax") > 0.04).cast("double")})
+    out = B.predict_multilabel_linear(df, B.train_multilabel_linear(df, FEATURES, ["a", "b"], CFG), ["a", "b"])
+    return out.agg(*[r6(F.avg(((F.col(f"p_{y}") >= 0.5).cast("int") == F.col(y)).cast("double"))).alias(f"accuracy_{y}") for y in "ab"])
+
+
+@query("bo08_conformal_level", """WITH r AS (SELECT abs(o_totalprice-150000) r FROM orders), n AS (SELECT count(*) n FROM r), q AS (SELECT r AS level FROM (SELECT r, row_number() OVER (ORDER BY r) k FROM r), n WHERE k = least(n, ceil(0.9*(n+1)-1e-9)))
+SELECT round(level,4) AS level, round(avg(CAST(r <= level AS INT)),6) AS coverage FROM r, q GROUP BY level""")
+def bo08(spark, d):
+    r = F.abs(F.col("o_totalprice") - 150000)
+    df = table(spark, d, "orders")
+    level = U.conformal_level(df, r, 0.9)
+    return df.agg(F.round(F.lit(level), 4).alias("level"), r6(F.avg((r <= level).cast("double"))).alias("coverage"))
+
+
+@query("mo04_bin_detector", """WITH c AS (SELECT CAST(l_shipdate >= timestamp '1995-06-17' AS INT) side, unnest(['line','tens']) AS feature, unnest([l_linenumber, CAST(floor(l_quantity/10) AS INT)]) AS bin FROM lineitem),
+k AS (SELECT feature, bin, count(*) FILTER (WHERE side=0) a, count(*) FILTER (WHERE side=1) b FROM c GROUP BY 1,2), p AS (SELECT feature, b, greatest(a/sum(a) OVER w, 1e-10) p, greatest(b/sum(b) OVER w, 1e-10) q, sum(a) OVER w n FROM k WINDOW w AS (PARTITION BY feature)),
+s AS (SELECT feature, sum(least((q-p)*ln(q/p), 1.0)) psi, 0.1*sqrt((max(n)+sum(b))/sum(b)) AS lim FROM p GROUP BY 1) SELECT feature, round(psi,6) AS psi, round(lim,6) AS "limit", psi > lim AS shifted FROM s""")
+def mo04(spark, d):
+    df = line(spark, d).select("l_shipdate", F.col("l_linenumber").alias("line"), F.floor(F.col("l_quantity") / 10).cast("int").alias("tens"))
+    detector = D.BinDetector.fit(df.where(F.col("l_shipdate") < F.expr(_CUT)), ["line", "tens"])
+    out = detector.check(df.where(F.col("l_shipdate") >= F.expr(_CUT)))
+    return out.withColumns({"psi": r6("psi"), "limit": r6("limit")})
+
+
+@query("bo01_stump", _BINS.replace("quantile_cont", "quantile_disc") + """, h AS (SELECT feature, bin, sum(g) g, count(*) n FROM long GROUP BY 1,2),
+s AS (SELECT feature, bin, sum(g) OVER r gl, sum(n) OVER r nl, sum(g) OVER p gt, sum(n) OVER p nt FROM h WINDOW p AS (PARTITION BY feature), r AS (PARTITION BY feature ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+x AS (SELECT *, 0.5*(gl*gl/(nl+1)+(gt-gl)*(gt-gl)/(nt-nl+1)-gt*gt/(nt+1)) gain FROM s WHERE nl >= 1 AND nt > nl)
+SELECT CAST(feature AS INT) AS feature, CAST(bin AS INT) AS bin, round(-gl/(nl+1)*0.5,6) AS left_value, round(-(gt-gl)/(nt-nl+1)*0.5,6) AS right_value, CAST(nl AS BIGINT) AS left_rows FROM x ORDER BY gain DESC, feature, bin LIMIT 1""")
+def bo01_stump(spark, d):
+    """A boosted round of one split."""
+    model = T.train_gbdt(rows(spark, d), FEATURES, "y", "key", T.TreeConfig(rounds=1, rate=0.5, depth=1, leaves=2, bins=8))
+    top, left, right = model.trees[0]
+    return spark.createDataFrame([(top.feature, top.bin, round(left.value, 6), round(right.value, 6), left.rows)], "feature int, bin int, left_value double, right_value double, left_rows long")
+
+
+@query("tu01_grid", "SELECT CAST(i AS INT) AS trial, round(exp(ln(0.01)+i/4.0*ln(50)),6) AS rate FROM range(5) t(i)")
+def tu01(spark, d):
+    """A cartesian grid of a logarithmic range."""
+    found = U.grid([U.TUNABLE["rate"]], 5, {}, 1.0, 1, "cartesian")
+    return spark.createDataFrame([(i, round(t["rate"], 6)) for i, t in enumerate(found)], "trial int, rate double")
+
+
+@query("tu04_folds")
+def tu04(spark, d):
+    """One setting by holdout, by folds and by conformal width, with the encoding fitted anew on each training part."""
+    df = rows(spark, d).select("key", "y", "l_quantity", "l_tax", "l_returnflag").cache()
+    model = U.realistic(lambda names: U.tree_model(names, "y", "key", T.TreeConfig(rounds=2, leaves=8, bins=16)), L.Pipeline("y", L.PipelineConfig(bins=16)), ["l_quantity", "l_tax", "l_returnflag"])
+    out = [(k, {n: round(v, 6) for n, v in f(df, "key", "y", model, {"rate": 0.8, "depth": 3}).items()}) for k, f in U.EVALUATIONS.items()]
+    df.unpersist()
+    return spark.createDataFrame([(k, v["value"], v.get("deviation"), v.get("coverage")) for k, v in out], "evaluation string, value double, deviation double, coverage double")
+
+
+@query("tu05_linear_then_trees")
+def tu05(spark, d):
+    df = rows(spark, d).cache()
+    _, log = U.tune_linear_then_trees(df, FEATURES, "y", "key", (0.1, 10.0), (1.0, 0.5), (0.3, 0.8), (0.0, 0.1), T.TreeConfig(rounds=1, depth=3, leaves=8, bins=16))
+    df.unpersist()
+    return log.frame(spark).withColumn("value", r6("value"))
+
+
+@query("io14_trials", "SELECT * FROM (VALUES ('trial,step,spread,value,seconds,rate,rmse'), ('0,0,1.0,2.5,0.0,0.1,2.5'), ('1,1,0.5,2.0,0.0,0.2,2.0')) t(value)")
+def io14(spark, d):
+    """The log of trials, written and read again."""
+    path = f"{shared_folder(spark)}/trials-{uuid.uuid4().hex}"
+    U.History([U.Trial(0, {"rate": 0.1}, 2.5, 1.0, metrics={"rmse": 2.5}), U.Trial(1, {"rate": 0.2}, 2.0, 0.5, metrics={"rmse": 2.0})]).write(spark, path)
+    return spark.read.text(f"{path}/trials.csv")
+
+
+@query("sc04_pairs", f"SELECT a, b FROM (SELECT 'l_quantity' a, 'l_extendedprice' b, corr(l_quantity, l_extendedprice) r FROM lineitem UNION ALL SELECT 'l_quantity', 'l_tax', corr(l_quantity, l_tax) FROM lineitem UNION ALL SELECT 'l_extendedprice', 'l_tax', corr(l_extendedprice, l_tax) FROM lineitem) WHERE abs(r) >= 0.5")
+def sc04(spark, d):
+    return spark.createDataFrame(A.choose_pairs(line(spark, d), ["l_quantity", "l_extendedprice", "l_tax"], "correlated", 0.5), "a string, b string")
+
+
+@query("au03_feature_plan")
+def au03(spark, d):
+    df = rows(spark, d).select("y", "l_quantity", "l_extendedprice", "l_tax", "l_shipdate")
+    plan = A.plan_features(df, ["l_quantity", "l_extendedprice", "l_tax"], "y", 0.1)
+    return spark.createDataFrame([(n,) for n in plan.names(df)], "feature string")
+
+
+@query("pr03_subset", "SELECT o_totalprice, o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)")
+def pr03(spark, d):
+    df = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    wanted = table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("o_orderkey"))
+    return X.Selection.by_index(df, [2, 0]).of(df, wanted, "o_orderkey")
+
+
+@query("so06_by_importance", "SELECT r_name, r_regionkey FROM region")
+def so06(spark, d):
+    return X.Selection.by_importance({"r_regionkey": 0.2, "r_name": 0.7}).of(table(spark, d, "region"))
+
+
+@query("pr05_linear_columns", "SELECT unnest(['ps_availqty']) AS feature WHERE false UNION ALL SELECT 'p_size' UNION ALL SELECT 'twice'")
+def pr05(spark, d):
+    """Of a target, an id, a constant, text and two numbers the numbers."""
+    df = table(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_retailprice").withColumns({"same": F.lit(1.0), "twice": F.col("p_size") * 2.0})
+    return spark.createDataFrame([(c,) for c in X.linear_columns(df, "p_retailprice")], "feature string")
+
+
+@query("bn07_representative", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 10.0 WHEN p_size < 20 THEN 10.0 WHEN p_size < 30 THEN 20.0 ELSE 30.0 END::DOUBLE AS value FROM part")
+def bn07(spark, d):
+    bounds = [10.0, 20.0, 30.0]
+    return table(spark, d, "part").select("p_partkey", N.representative(N.binned(F.col("p_size"), bounds), bounds).alias("value"))
+
+
+@query("ud06_generator", "SELECT n_nationkey, n_nationkey * 2 AS doubled FROM nation")
+def ud06(spark, d):
+    X.register_generator("doubled")(lambda df, column: df.withColumn("doubled", F.col(column) * 2))
+    return X.through(table(spark, d, "nation"), [lambda df: df.select("n_nationkey"), lambda df: X.generate(df, "doubled", column="n_nationkey")])
 
 
 @query("tr04_monotone")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import zlib
+from dataclasses import asdict, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators.linear import Linear, LinearTree, Universal
 from tessella.operators.trees import GBDT
 
 
@@ -19,6 +21,9 @@ def load(spark: SparkSession, path: str) -> GBDT:
     return GBDT.from_json(spark.read.text(path, wholetext=False).first()[0])
 
 
+SEGMENT = "n int, kind string, rows long, crc long, payload string"
+
+
 class Journal:
     """A base model and the updates after it, each a segment with its checksum; damaged segments end the replay."""
 
@@ -26,21 +31,26 @@ class Journal:
         self.spark, self.path = spark, path
 
     def append(self, kind: str, payload: str, rows: int) -> int:
+        """Writes the next segment; what stands in its place and can't be read is written over."""
         n = len(self.segments())
         row = [(n, kind, rows, zlib.crc32(payload.encode()), payload)]
-        self.spark.createDataFrame(row, "n int, kind string, rows long, crc long, payload string").coalesce(1).write.parquet(f"{self.path}/segment-{n}", mode="error")
+        self.spark.createDataFrame(row, SEGMENT).coalesce(1).write.parquet(f"{self.path}/segment-{n}", mode="overwrite")
         return n
 
     def segments(self) -> list[dict]:
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(self.path)):
-            return []
-        rows = self.spark.read.option("recursiveFileLookup", "true").parquet(self.path).orderBy("n").collect()
-        out = []
-        for i, r in enumerate(rows):
-            if r.n != i or zlib.crc32(r.payload.encode()) != r.crc:
+        """The segments in order, up to the first that is missing, torn or damaged."""
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        root = jvm.Path(self.path)
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        out: list[dict] = []
+        while files.exists(jvm.Path(root, f"segment-{len(out)}")):
+            try:
+                rows = self.spark.read.schema(SEGMENT).parquet(f"{self.path}/segment-{len(out)}").collect()
+            except Exception:  # a torn file: whatever Spark raises, replay ends here
                 break
-            out.append(r.asDict())
+            if len(rows) != 1 or rows[0].n != len(out) or rows[0].payload is None or zlib.crc32(rows[0].payload.encode()) != rows[0].crc:
+                break
+            out.append(rows[0].asDict())
         return out
 
     def model(self) -> GBDT:
@@ -58,3 +68,32 @@ def write_predictions(df: DataFrame, path: str, key: str, columns: list[str]) ->
 
 def dump_config(config: dict) -> str:
     return json.dumps(config, sort_keys=True, indent=1)
+
+
+def load_config(text: str, kind: type):
+    """A configuration's dataclass from its JSON; settings that it doesn't know are an error, absent ones take their defaults."""
+    x = json.loads(text)
+    unknown = sorted(set(x) - {f.name for f in fields(kind)})
+    if unknown:
+        raise ValueError(f"unknown settings: {', '.join(unknown)}")
+    return kind(**x)
+
+
+def save_universal(spark: SparkSession, model: Universal, path: str) -> None:
+    text = json.dumps({"mode": model.mode, "linear": asdict(model.linear) if model.linear else None, "trees": model.trees.to_json(), "target": model.target, "key": model.key, "history": model.history})
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_universal(spark: SparkSession, path: str) -> Universal:
+    x = json.loads(spark.read.text(path).first()[0])
+    return Universal(x["mode"], Linear(**x["linear"]) if x["linear"] else None, GBDT.from_json(x["trees"]), x["target"], x["key"], x["history"])
+
+
+def save_linear_tree(spark: SparkSession, model: LinearTree, path: str) -> None:
+    text = json.dumps({"base": model.base.to_json(), "leaves": {str(k): v for k, v in model.leaves.items()}})
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_linear_tree(spark: SparkSession, path: str) -> LinearTree:
+    x = json.loads(spark.read.text(path).first()[0])
+    return LinearTree(GBDT.from_json(x["base"]), {int(k): v for k, v in x["leaves"].items()})

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import losses, scalar
-from tessella.operators import encoding, evaluation, linear, monitoring, preprocess, trees
+from tessella.operators import auto, encoding, evaluation, extend, linear, monitoring, preprocess, sketch, trees, tuning
 from tessella.sources import models
 
 
@@ -99,3 +99,190 @@ def test_weighted_mean_over_gaps(spark):
             e = e if v is None else v if e is None else alpha * v + (1 - alpha) * e
             want.append(e)
         assert got[0] is None and got[1:] == pytest.approx(want[1:], abs=1e-12)
+
+
+BINARY = trees.TreeConfig(rounds=6, rate=0.5, depth=6, leaves=31, bins=32)
+
+
+def noisy(spark, n=3000):
+    df = spark.range(n).select(F.col("id").alias("k"), *[(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)) / 1000).alias(f"x{i}") for i in range(4)])
+    noise = F.pmod(F.xxhash64("k", F.lit(9)), F.lit(1000)) / 1000 - 0.5
+    return df.withColumn("y", 3 * F.col("x0") + F.when(F.col("x1") > 0.5, 2.0).otherwise(0.0) * F.col("x2") + noise)
+
+
+FOUR = ["x0", "x1", "x2", "x3"]
+
+
+def brute_tree(rows, features, cfg, level, base):
+    """The leaf value of each row of a tree grown to full depth, every split by direct sums."""
+    out = {}
+
+    def go(part, depth):
+        G, H = sum(p - y for _, y, p in part), len(part)
+        best = None
+        for f in range(len(features)) if depth < cfg.depth else ():
+            for b in sorted({r[f] for r, _, _ in part})[:-1]:
+                left = [x for x in part if x[0][f] <= b]
+                g, h = sum(p - y for _, y, p in left), len(left)
+                gain = 0.5 * (g * g / (h + 1) + (G - g) ** 2 / (H - h + 1) - G * G / (H + 1))
+                if gain > 0 and (best is None or gain > best[0] + 1e-9):
+                    best = (gain, f, b)
+        if best is None:
+            out.update({id(r): -G / (H + 1) * cfg.rate for r, _, _ in part})
+        else:
+            for side in (True, False):
+                go([x for x in part if (x[0][best[1]] <= best[2]) is side], depth + 1)
+
+    go(rows, 0)
+    return out
+
+
+def test_boosting_by_brute_force(spark):
+    df = noisy(spark, 250)
+    cfg = trees.TreeConfig(rounds=2, rate=0.5, depth=3, leaves=8, bins=8)
+    model = trees.train_gbdt(df, FOUR, "y", "k", cfg)
+    got = {r.k: r.prediction for r in model.predict(df).select("k", "prediction").collect()}
+    binned = model.with_bins(df).select("k", "y", *[f"__b_{f}" for f in FOUR]).collect()
+    pred = {r.k: model.base for r in binned}
+    assert math.isclose(model.base, sum(r.y for r in binned) / len(binned))
+    for _ in range(2):
+        rows = [(tuple(r[2:]), r.y, pred[r.k]) for r in binned]
+        value = brute_tree(rows, FOUR, cfg, 0, model.base)
+        pred = {r.k: pred[r.k] + value[id(x[0])] for r, x in zip(binned, rows)}
+    assert all(math.isclose(got[k], pred[k], abs_tol=1e-9) for k in got)
+
+
+def test_depth_six_compiles_and_learns(spark):
+    df = noisy(spark)
+    model = trees.train_gbdt(df, FOUR, "y", "k", BINARY)
+    out = model.predict(df)
+    assert out.agg(evaluation.regression_metrics(F.col("y"), F.col("prediction"))["r2"]).first()[0] > 0.9
+    assert max(len(t) for t in model.trees) > 31
+
+
+@pytest.mark.parametrize("loss", ["mse", "log_loss", "tweedie"])
+def test_intervals_cover_on_the_targets_scale(spark, loss):
+    df = noisy(spark).withColumn("y", F.when(F.lit(loss == "log_loss"), (F.col("y") > 2.5).cast("double")).otherwise(F.abs("y")))
+    cfg = trees.TreeConfig(rounds=4, rate=0.5, depth=3, leaves=8, bins=16, loss=loss, calibration=0.3, quantile=0.9)
+    out = trees.train_gbdt(df, FOUR, "y", "k", cfg).predict(df)
+    inside, width = out.agg(F.avg(F.col("y").between(F.col("prediction_low"), F.col("prediction_high")).cast("double")), F.max(F.col("prediction_high") - F.col("prediction_low"))).first()
+    assert 0.84 < inside <= 1 and width < (1.01 if loss == "log_loss" else 10)
+
+
+def test_intervals_move_with_the_linear_part(spark):
+    df = noisy(spark).withColumn("y", 1000 + 500 * F.col("x0") + F.col("y"))
+    cfg = trees.TreeConfig(rounds=3, rate=0.5, depth=3, leaves=8, bins=16, calibration=0.3, quantile=0.9)
+    out = linear.train_universal(df, FOUR, "y", "k", "linear_then_trees", cfg).predict(df)
+    assert out.agg(F.avg(F.col("y").between(F.col("prediction_low"), F.col("prediction_high")).cast("double"))).first()[0] > 0.84
+
+
+def test_early_stop_keeps_the_best_round_by_the_models_loss(spark):
+    df = noisy(spark).withColumn("b", (F.col("y") > 2.5).cast("double"))
+    seen = []
+    cfg = trees.TreeConfig(rounds=30, rate=2.5, depth=5, leaves=24, bins=32, loss="log_loss", validation=0.3, patience=2)
+    model = trees.train_gbdt(df, FOUR, "b", "k", cfg, on_round=lambda r, v: seen.append(v))
+    assert len(model.trees) == seen.index(min(seen)) + 1 and len(seen) == len(model.trees) + 2 < 30
+    halted = trees.train_gbdt(df, FOUR, "b", "k", cfg, on_round=lambda r, v: r < 1)
+    assert len(halted.trees) <= 2
+
+
+def test_eras_groups_and_outside_validation(spark):
+    df = noisy(spark).withColumn("era", F.col("k") % 3).withColumn("y", F.col("y") + F.when(F.col("era") == 0, 8.0).otherwise(-4.0) * F.col("x3"))
+    cfg = trees.TreeConfig(rounds=3, rate=0.5, depth=3, leaves=8, bins=8, patience=1)
+    model = trees.train_gbdt(df, FOUR, "y", "k", cfg, validation=df.where("k > 2000"), era="era")
+    assert all(n.left < 0 or n.feature != 3 for n in model.trees[0]) and model.trees[0][0].left > 0
+    grouped = trees.train_gbdt(df, FOUR, "y", "k", trees.TreeConfig(rounds=3, rate=0.5, depth=4, leaves=16, bins=8, groups=[["x0", "x1"], ["x2", "x3"]]))
+
+    def paths(tree, at=0, used=frozenset()):
+        n = tree[at]
+        return [used] if n.left < 0 else paths(tree, n.left, used | {n.feature}) + paths(tree, n.right, used | {n.feature})
+
+    assert all(p <= {0, 1} or p <= {2, 3} for t in grouped.trees for p in paths(t))
+
+
+def test_a_torn_segment_ends_the_journal(spark, tmp_path):
+    df = noisy(spark, 200)
+    model = trees.train_gbdt(df, FOUR, "y", "k", trees.TreeConfig(rounds=2, depth=2, bins=4))
+    journal = models.Journal(spark, str(tmp_path / "j"))
+    for kind in ("base", "trees", "trees"):
+        journal.append(kind, model.to_json(), 200)
+    part = next((tmp_path / "j" / "segment-1").glob("part-*"))
+    part.write_bytes(part.read_bytes()[: part.stat().st_size // 2])
+    for crc in (tmp_path / "j" / "segment-1").glob(".part-*"):
+        crc.unlink()
+    assert len(journal.segments()) == 1 and len(journal.model().trees) == 2
+    assert journal.append("trees", model.to_json(), 200) == 1 and len(journal.segments()) == 3
+
+
+def test_saved_models_come_back(spark, tmp_path):
+    df = noisy(spark, 300)
+    cfg = trees.TreeConfig(rounds=1, depth=2, bins=4)
+    both = linear.train_universal(df, FOUR, "y", "k", "linear_then_trees", cfg)
+    models.save_universal(spark, both, str(tmp_path / "u"))
+    one = linear.train_linear_tree(df, FOUR, "y", "k", depth=2, leaves=3)
+    models.save_linear_tree(spark, one, str(tmp_path / "l"))
+    for a, b in ((both, models.load_universal(spark, str(tmp_path / "u"))), (one, models.load_linear_tree(spark, str(tmp_path / "l")))):
+        assert [r.prediction for r in a.predict(df).orderBy("k").collect()] == [r.prediction for r in b.predict(df).orderBy("k").collect()]
+    text = models.dump_config({"rounds": 3, "depth": 2})
+    assert models.load_config(text, trees.TreeConfig) == trees.TreeConfig(rounds=3, depth=2)
+    with pytest.raises(ValueError, match="unknown settings: size"):
+        models.load_config('{"size": 1}', trees.TreeConfig)
+
+
+def test_stages_are_read_again_and_own_ones_register(spark):
+    df = frame(spark, [1.0, 2.0, None, 9.0])
+    chain = preprocess.Chain(preprocess.Imputer(["x"], strategy="median"), preprocess.StandardScaler(["x"])).fit(df)
+    again = extend.chain_from_json(extend.chain_to_json(chain))
+    assert [r.x for r in again.transform(df).collect()] == [r.x for r in chain.transform(df).collect()]
+
+    @extend.register_stage
+    class Doubler(preprocess.Stage):
+        def fit(self, df):
+            return self
+
+        def transform(self, df):
+            return df.withColumns({c: F.col(c) * 2 for c in self.columns})
+
+    assert [r.x for r in extend.stage_from_json(Doubler(["x"]).to_json()).transform(df).collect()] == [2.0, 4.0, None, 18.0]
+    with pytest.raises(ValueError):
+        extend.stage_from_json('{"kind": "Nothing"}')
+
+
+def test_sketch_bounds_counts_from_above(spark):
+    df = spark.range(2000).select((F.col("id") % 37).alias("v"))
+    cm = sketch.CountMin(0.05, 0.9)
+    got = {r.v: r.estimate for r in cm.estimate(cm.add(df, "v"), df.unionByName(spark.range(99, 100).toDF("v")), "v").collect()}
+    true = {v: len(range(v, 2000, 37)) for v in range(37)}
+    assert all(true[v] <= got[v] <= true[v] + 0.05 * 2000 for v in true) and len(got) == 38
+    assert cm.add(df.limit(0), "v").count() == 0 and cm.clear(cm.add(df, "v")).count() == 0
+
+
+def test_tuner_zooms_stops_and_evaluates(spark):
+    df = noisy(spark, 400).cache()
+    model = tuning.tree_model(FOUR, "y", "k", trees.TreeConfig(rounds=2, depth=2, leaves=4, bins=8))
+    log = tuning.tune(df, "k", "y", model, [tuning.Parameter("rate", 0.05, 1.0, log=True)], tuning.TunerConfig(steps=2, points=3))
+    assert log.best().value == min(t.value for t in log.trials) and [t.spread for t in log.trials] == [1.0] * 3 + [0.5] * 3
+    assert log.to_csv().count("\n") == 7 and '"trials": 6' in log.summary()
+    assert len(tuning.tune(df, "k", "y", model, [tuning.TUNABLE["lam"]], tuning.TunerConfig(steps=3, points=2), on_trial=lambda t: False).trials) == 1
+    folds = tuning.evaluate_folds(df, "k", "y", model, {"rate": 0.5})
+    assert folds["value"] > 0 and folds["deviation"] >= 0
+    assert 0.8 < tuning.evaluate_conformal(df, "k", "y", model, {"rate": 0.5})["coverage"] <= 1
+    narrow = tuning.constrained([tuning.Parameter("rate", 0.05, 1.0)], log.trials, 0.34)[0]
+    assert narrow.low <= log.best().params["rate"] <= narrow.high
+    assert [p.at(p.share(v)) for p, v in ((tuning.TUNABLE["rate"], 0.1), (tuning.TUNABLE["depth"], 4))] == pytest.approx([0.1, 4])
+
+
+def test_finite_sample_level(spark):
+    df = spark.range(1, 20).select(F.col("id").cast("double").alias("r"))
+    assert tuning.conformal_level(df, F.col("r"), 0.9) == 18.0 and tuning.conformal_level(df.limit(0), F.col("r"), 0.9) == 0.0
+    assert tuning.conformal_level(df, F.col("r"), 0.99) == 19.0
+
+
+def test_auto_builds_reports_and_updates(spark):
+    df = noisy(spark, 600).withColumns({"c": F.concat(F.lit("c"), F.col("k") % 4), "same": F.lit(1.0), "day": F.expr("date_add(date'2024-01-01', cast(k % 90 as int))")})
+    model = auto.build(df, "y", "k", auto.AutoConfig(tree=trees.TreeConfig(rounds=3, rate=0.5, depth=3, leaves=8, bins=16), modes=("trees", "linear_then_trees")))
+    out = model.predict(df)
+    assert out.agg(evaluation.regression_metrics(F.col("y"), F.col("prediction"))["r2"]).first()[0] > 0.7
+    assert model.dropped["same"] == "constant" and model.task == "regression" and set(model.probes) == {"trees", "linear_then_trees"}
+    assert "mode " in model.report() and '"mode"' in model.config_json()
+    assert len(model.update(df, 2).model.trees.trees) == 5
