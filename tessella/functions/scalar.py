@@ -19,6 +19,18 @@ def clean(c: Column) -> Column:
     return F.when(~F.isnan(d), d)
 
 
+def at_or_below(values: list, x: Column) -> Column:
+    """How many of the sorted values are at or below x: a coarse and a fine search of some sqrt(n) steps each."""
+    if not values:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(values)))
+    table = F.array(*map(F.lit, values))
+    if step < 4:
+        return F.size(F.filter(table, lambda v: v <= x))
+    coarse = F.size(F.filter(F.array(*map(F.lit, values[step - 1 :: step])), lambda v: v <= x)) * step
+    return coarse + F.size(F.filter(F.slice(table, coarse + 1, F.lit(step)), lambda v: v <= x))
+
+
 def polynomial(name: str) -> dict[str, Column]:
     x = F.col(name).cast("double")
     return {f"{name}_sq": x * x, f"{name}_cb": x * x * x, f"{name}_sqrt": F.sqrt(F.abs(x)), f"{name}_log1p": F.log1p(F.abs(x))}

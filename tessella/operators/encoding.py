@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.scalar import clean
+from tessella.functions.scalar import at_or_below, clean
+from tessella.operators.ordering import before, numbered
 
 UNKNOWN = "unknown"
 #: Dictionaries of so many rows at most are broadcast; larger ones are joined by a shuffle.
@@ -31,13 +32,29 @@ def frequency(df: DataFrame, c: str, normalise: bool = False) -> DataFrame:
 
 def labels(df: DataFrame, c: str) -> DataFrame:
     """(c, label): the rank from 0 of each category by its bytes."""
-    return df.where(F.col(c).isNotNull()).select(c).distinct().select(c, (F.row_number().over(Window.orderBy(c)) - 1).alias("label"))
+    return numbered(df.where(F.col(c).isNotNull()).select(c).distinct(), [c], "label")
+
+
+def label_index(df: DataFrame, c: str, dictionary: DataFrame, out: str, unknown: int | None = None, strict: bool = False) -> DataFrame:
+    """Adds each category's label; unknown ones get ``unknown`` (by default the number of labels), or are an error if ``strict``."""
+    default = F.lit(dictionary.count() if unknown is None else unknown).cast("long")
+    known = apply_dictionary(df, dictionary, c, "label", out, F.lit(-1).cast("long"))
+    missing = F.col(out) < 0
+    if strict:
+        problem = F.raise_error(F.concat(F.lit(f"unknown category in {c}: "), F.coalesce(F.col(c).cast("string"), F.lit("NULL"))))
+        return known.withColumn(out, F.when(missing, problem.cast("long")).otherwise(F.col(out)))
+    return known.withColumn(out, F.when(missing, default).otherwise(F.col(out)))
+
+
+def label_inverse(df: DataFrame, label: str, dictionary: DataFrame, c: str, out: str) -> DataFrame:
+    """Adds the category of each label; NULL for labels that there are not."""
+    return apply_dictionary(df, dictionary, "label", c, out, F.lit(None).cast("string")) if label == "label" else apply_dictionary(df.withColumn("label", F.col(label)), dictionary, "label", c, out, F.lit(None).cast("string")).drop("label")
 
 
 def first_seen(df: DataFrame, c: str, order: str) -> DataFrame:
     """(c, label): the rank from 0 of each category by the row in which it first appears."""
     first = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.min(order).alias("at"))
-    return first.select(c, (F.row_number().over(Window.orderBy("at", c)) - 1).alias("label"))
+    return numbered(first, ["at", c], "label").select(c, "label")
 
 
 def one_hot(df: DataFrame, c: str, categories: list[str], prefix: str | None = None, drop_first: bool = False, limit: int = 1000) -> DataFrame:
@@ -48,16 +65,18 @@ def one_hot(df: DataFrame, c: str, categories: list[str], prefix: str | None = N
     return df.withColumns({f"{prefix or c}_{v}": F.coalesce((F.col(c) == F.lit(v)).cast("double"), F.lit(0.0)) for v in kept})
 
 
-def ordered_target(c: str, y: str, order: list[str], smoothing: float = 10.0) -> Column:
-    """Target mean of the category's earlier rows, smoothed towards that of all earlier rows; 0 for the first row.
+def ordered_target(df: DataFrame, c: str, y: str, order: list[str], out: str, smoothing: float = 10.0) -> DataFrame:
+    """Adds the target mean of the category's earlier rows, smoothed towards that of all earlier rows; 0 for the first row.
 
-    The mean of all earlier rows has one order over the whole table, which a single task sorts.
+    The sums of all earlier rows, and of a category's, come from range totals, so neither the
+    table nor a frequent category is sorted in one task.
     """
-    own = Window.partitionBy(c).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    everyone = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    prior = F.coalesce(F.avg(y).over(everyone), F.lit(0.0))
-    n = F.count(y).over(own)
-    return F.when(n > 0, (F.coalesce(F.sum(y).over(own), F.lit(0.0)) + F.lit(smoothing) * prior) / (n + F.lit(smoothing))).otherwise(prior)
+    v = F.col(y).cast("double")
+    sums = {"__n": F.when(v.isNotNull(), F.lit(1)).otherwise(0), "__s": F.coalesce(v, F.lit(0.0))}
+    rows = before(before(df, order, {"__an": sums["__n"], "__as": sums["__s"]}), order, {"__cn": sums["__n"], "__cs": sums["__s"]}, by=c)
+    prior = F.coalesce(F.try_divide("__as", "__an"), F.lit(0.0))
+    mean = F.when(F.col("__cn") > 0, (F.col("__cs") + F.lit(smoothing) * prior) / (F.col("__cn") + F.lit(smoothing))).otherwise(prior)
+    return rows.withColumn(out, mean).drop("__an", "__as", "__cn", "__cs")
 
 
 def target_means(df: DataFrame, c: str, y: str, smoothing: float = 10.0) -> DataFrame:
@@ -88,8 +107,7 @@ def boundaries(df: DataFrame, columns: list[str], bins: int = 255, exact: bool =
 def binned(c: Column, bounds: list[float]) -> Column:
     """Bin 0 for missing and infinite values; else the number of boundaries at or below the value."""
     x = clean(c)
-    array = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
-    return F.when(x.isNull() | (F.abs(x) == float("inf")), F.lit(0)).otherwise(F.size(F.filter(array, lambda b: b <= x)))
+    return F.when(x.isNull() | (F.abs(x) == float("inf")), F.lit(0)).otherwise(at_or_below(list(map(float, bounds)), x))
 
 
 def representative(bin_: Column, bounds: list[float]) -> Column:

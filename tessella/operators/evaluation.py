@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.ordering import before, numbered, tile
 from tessella.operators.trees import poisson, uniform
 
 
@@ -36,17 +37,17 @@ def era_holdout(df: DataFrame, era: str, validation: float) -> DataFrame:
 
 def folds(df: DataFrame, key: str, k: int, order: Column) -> DataFrame:
     """Fold 0 to k - 1 by position in an order; the first folds take the remainder."""
-    return df.withColumn("fold", F.ntile(k).over(Window.orderBy(order, key)) - 1)
+    return numbered(df, [order, key], "fold").withColumn("fold", tile(F.col("fold"), df.count(), k))
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int, order: Column) -> DataFrame:
     """Round robin inside each class."""
-    return df.withColumn("fold", (F.row_number().over(Window.partitionBy(label).orderBy(order, key)) - 1) % k)
+    return numbered(df, [order, key], "fold", label).withColumn("fold", F.col("fold") % k)
 
 
 def group_folds(df: DataFrame, group: str, k: int, order: Column) -> DataFrame:
     """All rows of a group in one fold."""
-    groups = df.select(group).distinct().withColumn("fold", (F.row_number().over(Window.orderBy(order, group)) - 1) % k)
+    groups = numbered(df.select(group).distinct(), [order, group], "fold").withColumn("fold", F.col("fold") % k)
     return df.join(groups, group)
 
 
@@ -75,14 +76,9 @@ def binary_metrics(y: Column, p: Column, cut: float = 0.5) -> dict[str, Column]:
 
 
 def auc(df: DataFrame, y: str, p: str) -> DataFrame:
-    """Area under the ROC curve with ties averaged, from counts by distinct score.
-
-    Cumulative counts over scores need an order over all of them; counts come first, so one
-    task sees a row for each distinct score only.
-    """
+    """Area under the ROC curve with ties averaged, from counts by distinct score and their range totals."""
     by = df.groupBy(p).agg(F.sum(F.col(y)).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = by.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    s = before(by, [p], {"below": F.col("neg")}).withColumn("won", F.col("pos") * (F.col("below") + F.col("neg") / 2))
     return s.agg(F.try_divide(F.sum("won"), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.ordering import before
+
 EPS = 1e-10
 
 
@@ -45,9 +47,12 @@ def ks(ref: DataFrame, new: DataFrame, c: str) -> DataFrame:
     """Kolmogorov-Smirnov statistic with ties counted together, from counts by distinct value."""
     both = ref.select(F.col(c).alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(new.select(F.col(c).alias("x"), F.lit(0).alias("a"), F.lit(1).alias("b"))).where("x is not null")
     counts = both.groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    run, total = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    gap = F.abs(F.sum("a").over(run) / F.sum("a").over(total) - F.sum("b").over(run) / F.sum("b").over(total))
-    return counts.select(gap.alias("g")).agg(F.max("g").alias("ks"))
+    n, m = counts.agg(F.sum("a"), F.sum("b")).first()
+    if not n or not m:
+        return counts.agg(F.lit(0.0).alias("ks"))
+    below = before(counts, ["x"], {"below_a": F.col("a"), "below_b": F.col("b")})
+    gap = F.abs((F.col("below_a") + F.col("a")) / F.lit(n) - (F.col("below_b") + F.col("b")) / F.lit(m))
+    return below.agg(F.coalesce(F.max(gap), F.lit(0.0)).alias("ks"))
 
 
 @dataclass

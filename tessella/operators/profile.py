@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from tessella.operators.ordering import numbered, tile
+
 
 def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, NumericType) and f.name not in exclude]
@@ -100,7 +102,8 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def noise_floor(df: DataFrame, feature: str, target: str, tie: str, chunks: int = 20) -> DataFrame:
     """Mean variance of the target inside equal chunks along a feature, over its whole variance."""
-    rows = df.select(F.col(target).alias("y"), F.ntile(chunks).over(Window.orderBy(feature, tie)).alias("chunk"))
+    rows = df.select(F.col(target).alias("y"), F.col(feature).alias("x"), F.col(tie).alias("tie"))
+    rows = numbered(rows, ["x", "tie"], "at").select("y", tile(F.col("at"), df.count(), chunks).alias("chunk"))
     inside = rows.groupBy("chunk").agg(F.var_pop("y").alias("v")).agg(F.avg("v").alias("inside"))
     return inside.crossJoin(rows.agg(F.var_pop("y").alias("whole"))).select((F.col("inside") / F.col("whole")).alias("noise_floor"))
 

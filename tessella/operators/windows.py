@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tessella.operators.ordering import ranked
+
 EPS = 1e-10
 
 
@@ -114,6 +116,13 @@ def unit_rank(c: str, *by: str) -> Column:
     return F.when(F.col(c).isNotNull(), F.when(n > 1, (rank - 1) / (n - 1)).otherwise(F.lit(0.5)))
 
 
+def whole_rank(df: DataFrame, c: str, out: str) -> DataFrame:
+    """Adds ``unit_rank`` over the whole table, by range totals in place of one sort."""
+    n = df.select(F.count(c)).first()[0]
+    share = (F.col(out) - 1) / F.lit(n - 1) if n > 1 else F.lit(0.5)
+    return ranked(df, c, out).withColumn(out, F.when(F.col(out).isNotNull(), share))
+
+
 def cross_sectional(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
     w = Window.partitionBy(by)
     out: dict[str, Column] = {}

@@ -196,7 +196,7 @@ def xs03(spark, d):
 
 @query("rk01_rank", "SELECT c_custkey, round((rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal)-1)/2.0 - 1)/(count(*) OVER () - 1),6) AS r FROM customer")
 def rk01(spark, d):
-    return with_columns(table(spark, d, "customer"), ["c_custkey"], {"r": W.unit_rank("c_acctbal")})
+    return W.whole_rank(table(spark, d, "customer"), "c_acctbal", "r").select("c_custkey", r6("r").alias("r"))
 
 
 def flagship(spark, d):

@@ -142,7 +142,7 @@ def en03(spark, d):
 WINDOW c AS (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), g AS (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT o_orderkey, round(CASE WHEN n>0 THEN (s+10*m)/(n+10) ELSE m END,4) AS te FROM t""")
 def en04(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", F.round(N.ordered_target("o_orderpriority", "o_totalprice", ["o_orderkey"]), 4).alias("te"))
+    return N.ordered_target(table(spark, d, "orders"), "o_orderpriority", "o_totalprice", ["o_orderkey"], "te").select("o_orderkey", F.round("te", 4).alias("te"))
 
 
 @query("en05_target_map", "WITH m AS (SELECT avg(o_totalprice) m FROM orders) SELECT o_orderpriority, round((sum(o_totalprice)+10*any_value(m))/(count(*)+10),4) AS mean FROM orders, m GROUP BY 1")
