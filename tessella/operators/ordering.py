@@ -7,6 +7,8 @@ range is ordered by itself, and a prefix sum over the few range totals links the
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,3 +74,21 @@ def ranked(df: DataFrame, c: str, out: str) -> DataFrame:
     counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("__x")).agg(F.count("*").alias("__n"))
     ranks = before(counts, ["__x"], {"__less": F.col("__n")}).select("__x", (F.col("__less") + (F.col("__n") + 1) / 2).alias("__rank"))
     return df.join(ranks, F.col(c) == F.col("__x"), "left").select(*df.columns, F.col("__rank").alias(out))
+
+
+def quantiles(df: DataFrame, c: Column, shares: list[float]) -> list[float] | None:
+    """Exact quantiles with linear interpolation, None without values.
+
+    Values are counted, and the range totals of the counts tell which values hold the wanted
+    positions: no task holds all distinct values, and only the values at those positions
+    come to the driver.
+    """
+    counts = df.select(c.cast("double").alias("x")).where("x is not null").groupBy("x").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0]
+    if not total:
+        return None
+    at = [q * (total - 1) for q in shares]
+    wanted = sorted({k for p in at for k in (math.floor(p), math.ceil(p))})
+    found = before(counts, ["x"], {"less": F.col("n")}).where(F.exists(F.array(*[F.lit(k).cast("long") for k in wanted]), lambda k: (k >= F.col("less")) & (k < F.col("less") + F.col("n")))).collect()
+    value = {k: next(r.x for r in found if r.less <= k < r.less + r.n) for k in wanted}
+    return [value[math.floor(p)] + (p - math.floor(p)) * (value[math.ceil(p)] - value[math.floor(p)]) for p in at]

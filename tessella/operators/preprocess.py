@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.scalar import yeo_johnson
+from tessella.operators.ordering import quantiles
 
 TINY = 1e-8
 
@@ -19,6 +20,13 @@ def one_row(df: DataFrame, stats: dict[str, Column]) -> dict:
     return df.agg(*[v.alias(k) for k, v in stats.items()]).first().asDict() if stats else {}
 
 
+def spread(df: DataFrame, columns: list[str], shares: list[float], exact: bool) -> dict[str, list[float] | None]:
+    """Each column's quantiles: exact ones by ranks, or approximate ones of all columns in one pass."""
+    if exact:
+        return {c: quantiles(df, F.col(c), shares) for c in columns}
+    return one_row(df, {c: F.percentile_approx(F.col(c).cast("double"), shares, 10_000) for c in columns})
+
+
 @dataclass
 class Stage:
     """A fitted step: per column its parameters, as plain numbers."""
@@ -87,9 +95,7 @@ class RobustScaler(Stage):
     exact: bool = True
 
     def fit(self, df: DataFrame) -> RobustScaler:
-        q = [0.25, 0.5, 0.75]
-        pick = (lambda c: F.percentile(c, F.array(*map(F.lit, q)))) if self.exact else (lambda c: F.percentile_approx(c, q, 10_000))
-        got = one_row(df, {c: pick(c) for c in self.columns})
+        got = spread(df, self.columns, [0.25, 0.5, 0.75], self.exact)
         for c in self.columns:
             a, m, b = map(float, got[c] or (0.0, 0.0, 1.0))
             self.params[c] = {"median": m, "iqr": b - a if b - a >= TINY else 1.0}
@@ -103,6 +109,7 @@ class RobustScaler(Stage):
 class Imputer(Stage):
     strategy: str = "mean"
     constant: float = 0.0
+    exact: bool = True
 
     def fit(self, df: DataFrame) -> Imputer:
         if self.strategy == "mode":
@@ -110,7 +117,10 @@ class Imputer(Stage):
                 top = df.where(F.col(c).isNotNull()).groupBy(F.round(c, 2).alias("b")).agg(F.count("*").alias("n"), F.min(c).alias("v")).orderBy(F.desc("n"), "b").first()
                 self.params[c] = float(top.v) if top else 0.0
             return self
-        pick = {"mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5)), "constant": lambda c: F.max(F.when(F.col(c).isNotNull(), F.lit(self.constant)))}[self.strategy]
+        if self.strategy == "median":
+            self.params = {c: float(v[0]) if v else 0.0 for c, v in spread(df, self.columns, [0.5], self.exact).items()}
+            return self
+        pick = {"mean": F.avg, "constant": lambda c: F.max(F.when(F.col(c).isNotNull(), F.lit(self.constant)))}[self.strategy]
         got = one_row(df, {c: pick(c) for c in self.columns})
         self.params = {c: float(got[c]) if got[c] is not None else 0.0 for c in self.columns}
         return self
@@ -137,10 +147,11 @@ class MissingIndicator(Stage):
 class Outliers(Stage):
     method: str = "iqr"
     threshold: float = 1.5
+    exact: bool = True
 
     def fit(self, df: DataFrame) -> Outliers:
         if self.method == "iqr":
-            got = one_row(df, {c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))) for c in self.columns} | {f"n_{c}": F.count(c) for c in self.columns})
+            got = one_row(df, {f"n_{c}": F.count(c) for c in self.columns}) | spread(df, self.columns, [0.25, 0.75], self.exact)
             for c in self.columns:
                 if got[f"n_{c}"] < 4:
                     raise ValueError(f"{c}: four values at least are needed")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessella.functions.losses import LOSSES, Loss, entropy2
 from tessella.functions.scalar import softmax
 from tessella.operators.encoding import binned, boundaries
+from tessella.operators.ordering import quantiles
 
 
 def histogram(df: DataFrame, bins: dict[str, Column], g: Column, h: Column, *keys: Column) -> DataFrame:
@@ -453,10 +454,8 @@ def train_gbdt(df: DataFrame, features: list[str], target: str, key: str, cfg: T
 
 def conformal(df: DataFrame, residual: Column, q: float) -> float | None:
     """The residual of rank min(ceil(n q), n - 1) from 0, by a ranking that keeps one row."""
-    n = df.count()
-    if not n:
-        return None
-    return float(df.select(F.percentile(residual, F.lit(min(math.ceil(n * q), n - 1) / max(1, n - 1)))).first()[0])
+    n = df.where(residual.isNotNull()).count()
+    return quantiles(df, residual, [min(math.ceil(n * q), n - 1) / max(1, n - 1)])[0] if n else None
 
 
 def train_multiclass(df: DataFrame, features: list[str], target: str, key: str, classes: int, cfg: TreeConfig) -> list[GBDT]:

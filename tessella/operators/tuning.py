@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators.evaluation import holdout, regression_metrics
 from tessella.operators.linear import Linear, fit_linear
+from tessella.operators.ordering import quantiles
 from tessella.operators.pipeline import Pipeline
 from tessella.operators.trees import GBDT, TreeConfig, train_gbdt, uniform
 
@@ -195,13 +196,12 @@ def evaluate_conformal(df: DataFrame, key: str, target: str, model: Model, param
 def conformal_level(df: DataFrame, residual: Column, coverage: float) -> float:
     """The residual at the finite-sample level coverage * (1 + 1 / n): its rank is ceil(coverage * (n + 1)), n at most.
 
-    The rank is found from counts of residual values, so that equal ones need no order.
     """
     n = df.where(residual.isNotNull()).count()
     if not n:
         return 0.0
     rank = min(n, math.ceil(coverage * (n + 1) - 1e-9))
-    return float(df.select(F.percentile(residual, F.lit((rank - 1) / max(1, n - 1)))).first()[0])
+    return quantiles(df, residual, [(rank - 1) / max(1, n - 1)])[0]
 
 
 EVALUATIONS = {"holdout": evaluate_holdout, "folds": evaluate_folds, "conformal": evaluate_conformal}

@@ -286,3 +286,34 @@ def test_auto_builds_reports_and_updates(spark):
     assert model.dropped["same"] == "constant" and model.task == "regression" and set(model.probes) == {"trees", "linear_then_trees"}
     assert "mode " in model.report() and '"mode"' in model.config_json()
     assert len(model.update(df, 2).model.trees.trees) == 5
+
+
+def test_positions_and_quantiles_from_range_totals(spark):
+    from tessella.operators import ordering
+
+    values = [((i * 7919) % 1009) / 10 for i in range(3000)] + [float("inf"), 5.0, 5.0, None]
+    df = spark.createDataFrame([(i, v, f"g{i % 3}") for i, v in enumerate(values)], "k long, x double, g string")
+    by_key = lambda out: {r.k: r.at for r in out.collect()}
+    order = sorted(range(len(values)), key=lambda i: (values[i] is not None, values[i] or 0.0, i))
+    assert by_key(ordering.numbered(df, ["x", "k"], "at")) == {k: n for n, k in enumerate(order)}
+    inside: dict = {}
+    want = {k: inside.update({k % 3: inside.get(k % 3, -1) + 1}) or inside[k % 3] for k in order}
+    assert by_key(ordering.numbered(df, ["x", "k"], "at", "g")) == want
+    names = spark.createDataFrame([(i, f"{chr(97 + i * 7 % 26)}{i}") for i in range(500)], "k long, x string")
+    assert by_key(ordering.numbered(names, ["x"], "at")) == {k: n for n, (_, k) in enumerate(sorted((f"{chr(97 + i * 7 % 26)}{i}", i) for i in range(500)))}
+    finite = df.where("x < 1000")
+    shares = [0.0, 0.1, 0.25, 0.5, 0.999, 1.0]
+    assert ordering.quantiles(finite, F.col("x"), shares) == pytest.approx(finite.agg(F.percentile("x", F.array(*map(F.lit, shares)))).first()[0])
+    assert ordering.quantiles(df.limit(0), F.col("x"), shares) is None
+    assert [r.t for r in spark.range(7).select(ordering.tile(F.col("id"), 7, 3).alias("t")).collect()] == [0, 0, 0, 1, 1, 2, 2]
+    assert ordering.ranked(df.limit(0), "x", "at").count() == 0
+
+
+def test_labels_invert_and_refuse_unknown_ones(spark):
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("c",)], "c string")
+    d = encoding.labels(df.where("c <> 'c'"), "c")
+    out = encoding.label_index(df, "c", d, "n")
+    assert {r.c: r.n for r in out.collect()} == {"a": 0, "b": 1, "c": 2, None: 2}
+    assert {r.c: r.back for r in encoding.label_inverse(out, "n", d, "c", "back").collect()} == {"a": "a", "b": "b", "c": None, None: None}
+    with pytest.raises(Exception, match="unknown category"):
+        encoding.label_index(df, "c", d, "n", strict=True).collect()
