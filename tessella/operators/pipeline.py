@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.scalar import clean
-from tessella.operators.encoding import UNKNOWN, binned, boundaries
+from tessella.operators.encoding import UNKNOWN, apply_dictionary, binned, boundaries
 from tessella.operators.profile import drop_reason, profile, split_by_type
 
 
@@ -35,7 +35,9 @@ class PipelineConfig:
     least_count: int = 5
     smoothing: float = 10.0
     exact: bool = False
-    most_categories: int = 10_000
+    most_categories: int = 100_000
+    #: Up to so many categories are looked up in a literal, more in a joined table.
+    literal: int = 200
 
 
 @dataclass
@@ -63,7 +65,7 @@ class Pipeline:
             means = {r.k: (r.s + c.smoothing * overall) / (r.n + c.smoothing) for r in found}
             self.features.append(FeatureInfo(name, "categorical", means=means, default=means.get(UNKNOWN, overall)))
         numbers = self.numbers(rows)
-        bounds = boundaries(rows.select(*[v.alias(k) for k, v in numbers.items()]), list(numbers), c.bins, c.exact)
+        bounds = boundaries(self.joined(rows).select(*[v.alias(k) for k, v in numbers.items()]), list(numbers), c.bins, c.exact)
         for f in self.features:
             f.bounds = bounds[f.name]
         return self
@@ -77,6 +79,8 @@ class Pipeline:
         for f in self.features:
             if f.kind == "numeric":
                 out[f.name] = F.coalesce(clean(F.col(f.name)), F.lit(f.impute))
+            elif len(f.means) > self.config.literal:
+                out[f.name] = F.col(f"__mean_{f.name}")
             elif f.means:
                 table = F.create_map(*[x for k, v in f.means.items() for x in (F.lit(k), F.lit(v))])
                 out[f.name] = F.coalesce(F.try_element_at(table, F.col(f.name)), F.lit(f.default))
@@ -84,14 +88,22 @@ class Pipeline:
                 out[f.name] = F.lit(f.default)
         return out
 
+    def joined(self, df: DataFrame) -> DataFrame:
+        """The table with a column of means for each feature of many categories, by a join with its dictionary."""
+        for f in self.features:
+            if len(f.means) > self.config.literal and f.name in df.columns:
+                dictionary = df.sparkSession.createDataFrame(list(f.means.items()), "__k string, mean double")
+                df = apply_dictionary(df.withColumn("__k", F.col(f.name).cast("string")), dictionary, "__k", "mean", f"__mean_{f.name}", F.lit(f.default)).drop("__k")
+        return df
+
     def transform(self, df: DataFrame, keep: list[str] = ()) -> DataFrame:
         """The kept columns, and a bin for each feature in the fitted order; other columns go."""
         of = {f.name: f for f in self.features}
-        return df.select(*keep, *[binned(v, of[k].bounds).alias(f"bin_{k}") for k, v in self.numbers(df).items()])
+        return self.joined(df).select(*keep, *[binned(v, of[k].bounds).alias(f"bin_{k}") for k, v in self.numbers(df).items()])
 
     def encode(self, df: DataFrame, keep: list[str] = ()) -> DataFrame:
         """The kept columns, and each feature as a number."""
-        return df.select(*keep, *[v.alias(k) for k, v in self.numbers(df).items()])
+        return self.joined(df).select(*keep, *[v.alias(k) for k, v in self.numbers(df).items()])
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))
@@ -102,6 +114,13 @@ class Pipeline:
         return Pipeline(x["target"], PipelineConfig(**x["config"]), [FeatureInfo(**f) for f in x["features"]])
 
 
+def binned_table(df: DataFrame, target: str, columns: list[str] | None = None, config: PipelineConfig = PipelineConfig()) -> tuple[DataFrame, Pipeline]:
+    """The target and a bin for each feature, and the fitted pipeline; without a choice all useful columns are features."""
+    chosen = columns or useful_columns(df, target)
+    fitted = Pipeline(target, config).fit(df, chosen)
+    return fitted.transform(df, [target]), fitted
+
+
 def drop_columns(df: DataFrame, names: list[str]) -> DataFrame:
     """Without the named columns; names that there are not change nothing."""
     return df.drop(*names)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -28,14 +28,33 @@ class IncrementalScaler:
 
 @dataclass
 class IncrementalCounts:
-    """Category counts over all batches so far."""
+    """Category counts over all batches so far, as a table in ``folder``, one version for each batch.
 
-    column: str
-    counts: dict[str, int] = field(default_factory=dict)
+    A batch that is run again after a failure finds its version written and adds nothing.
+    """
 
-    def update(self, batch: DataFrame, _: int = 0) -> None:
-        for r in batch.groupBy(self.column).count().collect():
-            self.counts[r[0]] = self.counts.get(r[0], 0) + r["count"]
+    column: str
+    folder: str
+    latest: int = -1
+
+    def path(self, batch_id: int) -> str:
+        return f"{self.folder}/counts-{batch_id}"
+
+    def counts(self, spark: SparkSession) -> DataFrame:
+        """(column, n): the sums of all batches."""
+        if self.latest < 0:
+            return spark.createDataFrame([], "n long").select(F.lit(None).cast("string").alias(self.column), "n")
+        return spark.read.parquet(self.path(self.latest))
+
+    def update(self, batch: DataFrame, batch_id: int = 0) -> None:
+        spark = batch.sparkSession
+        new = spark._jvm.org.apache.hadoop.fs.Path(self.path(batch_id) + "/_SUCCESS")
+        if not new.getFileSystem(spark._jsc.hadoopConfiguration()).exists(new):
+            own = batch.groupBy(self.column).agg(F.count("*").alias("n"))
+            if self.latest >= 0:
+                own = own.unionByName(self.counts(spark)).groupBy(self.column).agg(F.sum("n").alias("n"))
+            own.write.mode("overwrite").parquet(self.path(batch_id))
+        self.latest = batch_id
 
 
 @dataclass

@@ -53,3 +53,26 @@ def test_modes_beat_the_mean(table):
     for mode in ("trees", "linear_then_trees", "forest"):
         out = linear.train_universal(table, ["a"], "y", "k", mode, CFG).predict(table)
         assert out.agg(evaluation.regression_metrics(F.col("y"), F.col("prediction"))["r2"]).first()[0] > 0.3
+
+
+def test_stream_counts_are_a_table_and_batches_count_once(spark, table, tmp_path):
+    table.select("k", "c").repartition(3).write.parquet(str(tmp_path / "in"))
+    counts = incremental.IncrementalCounts("c", str(tmp_path / "counts"))
+    stream = spark.readStream.schema("k long, c string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    incremental.run(stream, counts.update, str(tmp_path / "ck")).awaitTermination()
+    want = {r.c: r["count"] for r in table.groupBy("c").count().collect()}
+    assert {r.c: r.n for r in counts.counts(spark).collect()} == want
+    counts.update(table.limit(9), counts.latest)
+    assert {r.c: r.n for r in counts.counts(spark).collect()} == want
+
+
+def test_many_categories_are_joined(spark, table):
+    df = table.withColumn("c", F.concat(F.lit("c"), F.col("k") % 100))
+    small, large = (pipeline.Pipeline("y", pipeline.PipelineConfig(bins=8, least_count=1, literal=n)).fit(df, ["c"]) for n in (500, 10))
+    rows = lambda p: sorted((r.k, round(r.c, 9)) for r in p.encode(df, ["k"]).collect())
+    assert rows(small) == rows(large) and sorted(map(tuple, small.transform(df, ["k"]).collect())) == sorted(map(tuple, large.transform(df, ["k"]).collect()))
+
+
+def test_frame_to_binned_table(table):
+    out, fitted = pipeline.binned_table(table.drop("k").withColumn("same", F.lit(1)), "y", config=pipeline.PipelineConfig(bins=4))
+    assert out.columns == ["y", "bin_a", "bin_c"] and [f.name for f in fitted.features] == ["a", "c"] and out.count() == 300
