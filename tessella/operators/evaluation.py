@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,6 +76,18 @@ def binary_metrics(y: Column, p: Column, cut: float = 0.5) -> dict[str, Column]:
     return {"log_loss": F.avg(-(y * F.ln(q) + (1 - y) * F.ln(1 - q))), "accuracy": F.avg((hit == y).cast("double")), "f1": F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0))}
 
 
+def multiclass_log_loss(label: Column, probabilities: list[Column]) -> Column:
+    """Mean of minus the logarithm of the label's probability, after scaling each row to a sum of one."""
+    own = F.element_at(F.array(*probabilities), label.cast("int") + 1) / sum(probabilities[1:], probabilities[0])
+    return F.avg(-F.ln(F.least(F.greatest(own, F.lit(1e-15)), F.lit(1 - 1e-15))))
+
+
+def label_thresholds(df: DataFrame, pairs: list[tuple[str, str]], steps: int = 99) -> DataFrame:
+    """(label, threshold, f1): the best threshold of each of several labels, given as (label, probability) columns."""
+    found = [threshold_sweep(df, y, p, steps).select(F.lit(y).alias("label"), "threshold", "f1") for y, p in pairs]
+    return reduce(DataFrame.unionByName, found)
+
+
 def auc(df: DataFrame, y: str, p: str) -> DataFrame:
     """Area under the ROC curve with ties averaged, from counts by distinct score and their range totals."""
     by = df.groupBy(p).agg(F.sum(F.col(y)).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
@@ -93,7 +106,7 @@ def rank_ic(df: DataFrame, y: str, p: str, era: str) -> DataFrame:
     return by.agg(F.avg("ic").alias("rank_ic"), F.count("*").alias("eras"))
 
 
-def threshold_sweep(df: DataFrame, y: str, p: str, steps: int = 19) -> DataFrame:
+def threshold_sweep(df: DataFrame, y: str, p: str, steps: int = 99) -> DataFrame:
     """The threshold of best F1 among steps equal ones, by one aggregation over all thresholds."""
     cuts = [(i + 1) / (steps + 1) for i in range(steps)]
     f1 = lambda c: binary_metrics(F.col(y), F.col(p), c)["f1"]

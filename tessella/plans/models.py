@@ -311,11 +311,26 @@ def me03(spark, d):
     return E.rank_ic(scores(spark, d), "y", "p", "era").select(r6("rank_ic").alias("rank_ic"), "eras")
 
 
-@query("me04_threshold", f"WITH t AS (SELECT unnest(generate_series(1,19))/20.0 t), f AS (SELECT t, 2*sum(CAST(p>=t AS INT)*y)/greatest(sum(CAST(p>=t AS INT))+sum(y),1) f1 FROM {_SC}, t GROUP BY t) SELECT t AS threshold, round(f1,6) AS f1 FROM f ORDER BY f.f1 DESC, t LIMIT 1")
+_F1 = "WITH t AS (SELECT unnest(generate_series(1,99))/100.0 t), f AS (SELECT t, 2*sum(CAST({p}>=t AS INT)*{y})/greatest(sum(CAST({p}>=t AS INT))+sum({y}),1) f1 FROM {table}, t GROUP BY t) SELECT {label}t AS threshold, round(f1,6) AS f1 FROM f ORDER BY f.f1 DESC, t LIMIT 1"
+
+
+@query("me04_threshold", _F1.format(p="p", y="y", table=_SC, label=""))
 def me04(spark, d):
     return E.threshold_sweep(scores(spark, d), "y", "p").select("threshold", r6("f1").alias("f1"))
 
 
+@query("me04_labels", " UNION ALL ".join(f"SELECT * FROM ({_F1.format(p=p, y=y, table=_SC.replace('year(o_orderdate) era', '1-CAST(o_orderstatus=' + chr(39) + 'F' + chr(39) + ' AS INT) z'), label=repr(y) + ' AS label, ')})" for y, p in (("y", "p"), ("z", "(1-p)"))))
+def me04b(spark, d):
+    df = scores(spark, d).withColumns({"z": 1 - F.col("y"), "q": 1 - F.col("p")})
+    return E.label_thresholds(df, [("y", "p"), ("z", "q")]).withColumn("f1", r6("f1"))
+
+
+@query("me01_multiclass", "WITH s AS (SELECT CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END k, [1.0+o_orderkey%3, 2.0, 1.0+o_custkey%2] p FROM orders) SELECT round(avg(-ln(p[k]/list_sum(p))),6) AS log_loss FROM s")
+def me01c(spark, d):
+    label = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+    return table(spark, d, "orders").agg(r6(E.multiclass_log_loss(label, [1.0 + F.col("o_orderkey") % 3, F.lit(2.0), 1.0 + F.col("o_custkey") % 2])).alias("log_loss"))
+
+
 _CUT = "timestamp '1995-06-17'"
 
 

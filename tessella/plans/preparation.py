@@ -177,14 +177,18 @@ def bn02(spark, d):
     return df.select(*KEYS, N.binned(F.when(F.col("l_linenumber") != 1, F.col("l_quantity")), bounds).cast("int").alias("bin"))
 
 
-@query("bn04_category_bin")
+@query("bn04_category_bin", f"""WITH m AS (SELECT avg(p_retailprice) m FROM part), g AS (SELECT p_brand, count(*) n FROM part GROUP BY 1), k AS (SELECT p_partkey, CASE WHEN n >= 5 THEN p_brand ELSE 'unknown' END AS b, p_retailprice FROM part JOIN g USING (p_brand)),
+t AS (SELECT b, (sum(p_retailprice)+10*any_value(m))/(count(*)+10) AS te FROM k, m GROUP BY 1), e AS (SELECT p_partkey, te FROM k JOIN t USING (b)), q AS (SELECT list_distinct(quantile_cont(te, [{', '.join(f'{i}/16.0' for i in range(1, 16))}])) AS c FROM e)
+SELECT p_partkey, CAST(len(list_filter(c, lambda x: x <= te)) AS INT) AS bin FROM e, q""")
 def bn04(spark, d):
     df = N.rare_to_unknown(table(spark, d, "part").select("p_partkey", "p_brand", "p_retailprice"), "p_brand", 5)
     df = N.apply_dictionary(df, N.target_means(df, "p_brand", "p_retailprice"), "p_brand", "mean", "te", F.lit(0.0))
-    return df.select("p_partkey", N.binned(F.col("te"), N.boundaries(df, ["te"], 16)["te"]).alias("bin"))
+    return df.select("p_partkey", N.binned(F.col("te"), N.boundaries(df, ["te"], 16, exact=True)["te"]).alias("bin"))
 
 
-@query("bn06_bundles", "SELECT 'flag_A,flag_R' AS bundle UNION ALL SELECT 'l_tax'")
+@query("bn06_bundles", """WITH r AS (SELECT CAST(l_returnflag='A' AS INT) a, CAST(l_returnflag='R' AS INT) r, CAST(l_tax<>0 AS INT) t FROM lineitem),
+s AS (SELECT avg(a) <= 0.5 AND avg(r) <= 0.5 AND avg(a*r) <= 0.001 AS ar, avg(t) <= 0.5 AS sparse_t FROM r)
+SELECT CASE WHEN ar THEN 'flag_A,flag_R' ELSE 'flag_A' END AS bundle FROM s UNION ALL SELECT 'flag_R' FROM s WHERE NOT ar UNION ALL SELECT CASE WHEN sparse_t THEN 'not expected' ELSE 'l_tax' END FROM s""")
 def bn06(spark, d):
     df = line(spark, d).select((F.col("l_returnflag") == "A").cast("int").alias("flag_A"), (F.col("l_returnflag") == "R").cast("int").alias("flag_R"), "l_tax")
     groups = N.bundle(df, ["flag_A", "flag_R", "l_tax"], {"flag_A": 2, "flag_R": 2, "l_tax": 9})
@@ -215,12 +219,17 @@ def ag02(spark, d):
     return table(spark, d, "orders").agg(r6(F.skewness("o_totalprice")).alias("skewness"), r6(F.kurtosis("o_totalprice")).alias("kurtosis"), r6(F.corr("o_totalprice", "o_custkey")).alias("corr"))
 
 
-@query("ag03_kinds")
+_KINDS = " UNION ALL ".join(f"SELECT '{c}' AS c, count(*) n, count(DISTINCT {c}) u, {'NULL' if num else f'avg(length(CAST({c} AS VARCHAR)))'} l, {num} AS num FROM orders" for c, num in (("o_orderkey", True), ("o_custkey", True), ("o_orderstatus", False), ("o_totalprice", True), ("o_orderdate", False), ("o_orderpriority", False)))
+
+
+@query("ag03_kinds", f"""SELECT c AS "column", CASE WHEN num THEN 'numeric' WHEN (u > 100 AND l > 20) OR (u > 0.9*n AND u > 50 AND l > 15) THEN 'text' ELSE 'categorical' END AS kind FROM ({_KINDS})""")
 def ag03(spark, d):
     return R.profile(table(spark, d, "orders")).select("column", "kind")
 
 
-@query("ag04_task", "SELECT 'o_orderstatus' AS target, 'multiclass' AS task UNION ALL SELECT 'o_totalprice', 'regression'")
+@query("ag04_task", """WITH v AS (SELECT 'o_orderstatus' AS target, CAST(ascii(o_orderstatus) AS DOUBLE) v FROM orders UNION ALL SELECT 'o_totalprice', o_totalprice FROM orders),
+s AS (SELECT target, avg(CAST(abs(v-round(v)) < 0.01 AS INT)) w, count(DISTINCT round(v)) n FROM v GROUP BY 1)
+SELECT target, CASE WHEN w < 0.9 THEN 'regression' WHEN n = 2 THEN 'binary' WHEN n BETWEEN 3 AND 20 THEN 'multiclass' ELSE 'regression' END AS task FROM s""")
 def ag04(spark, d):
     df = table(spark, d, "orders").withColumn("o_orderstatus", F.ascii("o_orderstatus"))
     return spark.createDataFrame([(c, R.task_of(df, c)) for c in ("o_orderstatus", "o_totalprice")], "target string, task string")
@@ -231,7 +240,8 @@ def ag06(spark, d):
     return R.panel_score(table(spark, d, "events"), "user_id").select("groups", "rows", "min_obs", "max_obs", r6("score").alias("score"))
 
 
-@query("ag07_granularity", "SELECT 1 AS gap, 'daily' AS granularity")
+@query("ag07_granularity", """WITH d AS (SELECT DISTINCT CAST(ts AS DATE) d FROM events), g AS (SELECT datediff('day', lag(d) OVER (ORDER BY d), d) gap FROM d), r AS (SELECT gap, row_number() OVER (ORDER BY gap) k, count(*) OVER () n FROM g WHERE gap > 0)
+SELECT CAST(gap AS INT) AS gap, CASE WHEN gap <= 1 THEN 'daily' WHEN gap <= 10 THEN 'weekly' WHEN gap <= 45 THEN 'monthly' WHEN gap <= 120 THEN 'quarterly' ELSE 'yearly' END AS granularity FROM r WHERE k = n//2+1""")
 def ag07(spark, d):
     return R.granularity(table(spark, d, "events"), "ts")
 
@@ -264,13 +274,18 @@ def ag23(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("fs01_select", "SELECT 'l_discount' AS feature UNION ALL SELECT 'l_quantity'")
+@query("fs01_select", """WITH r AS (SELECT l_tax o, l_tax*2 a, l_quantity b, l_discount*100 c, l_quantity-50*l_discount y FROM lineitem),
+s AS (SELECT 'twice' AS feature, var_pop(a) v, corr(a,o) r, corr(a,y) t FROM r UNION ALL SELECT 'l_quantity', var_pop(b), corr(b,o), corr(b,y) FROM r UNION ALL SELECT 'l_discount', var_pop(c), corr(c,o), corr(c,y) FROM r)
+SELECT feature FROM s WHERE v >= 0.01 AND abs(r) < 0.95 ORDER BY abs(t) DESC LIMIT 50""")
 def fs01(spark, d):
     df = line(spark, d).select("l_tax", (F.col("l_tax") * 2).alias("twice"), "l_quantity", (F.col("l_discount") * 100).alias("l_discount"), (F.col("l_quantity") - 50 * F.col("l_discount")).alias("y"))
     return spark.createDataFrame([(f,) for f in R.select_features(df, ["l_tax"], ["twice", "l_quantity", "l_discount"], "y")], "feature string")
 
 
-@query("fs02_collinear", "SELECT 'l_quantity' AS feature UNION ALL SELECT 'l_tax'")
+@query("fs02_collinear", """WITH r AS (SELECT l_quantity a, l_quantity*2+l_tax/10 b, l_tax c, l_quantity y FROM lineitem),
+p AS (SELECT 'l_quantity' AS x, 'near' AS z, corr(a,b) r FROM r UNION ALL SELECT 'l_quantity', 'l_tax', corr(a,c) FROM r UNION ALL SELECT 'near', 'l_tax', corr(b,c) FROM r),
+t AS (SELECT 'l_quantity' AS feature, abs(corr(a,y)) t FROM r UNION ALL SELECT 'near', abs(corr(b,y)) FROM r UNION ALL SELECT 'l_tax', abs(corr(c,y)) FROM r)
+SELECT feature FROM t WHERE feature NOT IN (SELECT CASE WHEN m.t < n.t THEN x ELSE z END FROM p JOIN t m ON m.feature = x JOIN t n ON n.feature = z WHERE abs(r) > 0.99)""")
 def fs02(spark, d):
     df = line(spark, d).select("l_tax", "l_quantity", (F.col("l_quantity") * 2 + F.col("l_tax") / 10).alias("near"), F.col("l_quantity").alias("y"))
     return spark.createDataFrame([(f,) for f in R.drop_collinear(df, ["l_quantity", "near", "l_tax"], "y")], "feature string")
