@@ -449,6 +449,57 @@ def test_contamination_by_brute_force(spark):
 # Pipeline
 
 
+def keyed(rows, *columns):
+    return sorted((tuple(repr(r[c]) for c in columns) for r in rows))
+
+
+def test_pipeline_keeps_odd_rows_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = [f"plain words of document {i} " + " ".join(f"d{i}w{j}" for j in range(30)) for i in range(30)] + [None, "", "x " * 20_000, "!!"]
+    df = docs(spark, texts, [f"s{i % 12}" for i in range(len(texts))])
+    df = df.unionByName(df.where("doc_id in (3, 5)")).unionByName(spark.createDataFrame([(3, "another text of the same id " + words(40), "en", "s1", 9), (None, "no id " + words(30, 900), "en", None, None)], DOCS))
+    for c in ("score", "lines_removed", "class_id", "id", "key", "text_col", "count", "ids"):
+        df = df.withColumn(c, F.lit(c))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, words(25, 2)), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    stages, frame = dict(corpus_pipeline.STAGES), spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert keyed(stages["quality"](spark, frame, str(tmp_path)).collect(), *frame.columns) == keyed(frame.collect(), *frame.columns)
+    assert keyed(stages["lines"](spark, frame, str(tmp_path)).collect(), *frame.columns) == keyed(frame.collect(), *frame.columns)
+    near = stages["near_duplicates"](spark, frame, str(tmp_path))
+    want = {(i, t) for i, t in enumerate(texts)} | {(3, "another text of the same id " + words(40)), (None, "no id " + words(30, 900))}
+    assert near.columns == frame.columns and {(r.doc_id, r.text) for r in near.collect()} == want and near.count() == len(want)
+    clean = stages["decontamination"](spark, frame, str(tmp_path)).collect()
+    assert {r.doc_id for r in clean} == {None, *range(len(texts))} - {3}
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} == {None, *range(len(texts))} - {3}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, frame.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_pipeline_stages_by_plain_versions(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(12)
+    line, item = "this boilerplate line is on very many sites", words(30, 5000)
+    texts = [f"own {i} " + " ".join(f"v{i}x{j}" for j in range(rng.integers(30, 90))) + (f"\n{line}" if i % 2 else "") for i in range(40)]
+    texts += [texts[3].replace("x4 ", "y4 "), texts[6], "before " + item + " after " + words(20, 7000)]
+    frame = docs(spark, texts, [f"s{i % 11}" for i in range(len(texts))])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    lines_out = stages["lines"](spark, frame, str(tmp_path)).orderBy("doc_id").collect()
+    plain = [t if i <= 1 else t.replace(f"\n{line}", "") for i, t in enumerate(texts)]
+    assert [r.text for r in lines_out] == plain and [r.n_chars for r in lines_out] == list(map(len, plain))
+    hashes = near_duplicates.WordHashes()
+    k = [near_duplicates.kmers(t, hashes) for t in texts]
+    copies = {i for i in range(len(texts)) for j in range(i) if near_duplicates.alignment_similarity(k[j], k[i])}
+    assert copies >= {40, 41} and {r.doc_id for r in stages["near_duplicates"](spark, frame, str(tmp_path)).collect()} == set(range(len(texts))) - copies
+    assert {r.doc_id for r in stages["decontamination"](spark, frame, str(tmp_path)).collect()} == set(range(42))
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    assert {r.doc_id: r.ids for r in stages["sentencepiece"](spark, frame, str(tmp_path)).collect()} == {i: library.encode(t) for i, t in enumerate(texts)}
+
+
 @needs_tables
 def test_pipeline_stages(spark):
     import corpus_pipeline
