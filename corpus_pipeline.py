@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, lines, near_duplicates, quality, sentencepiece_codec
-from tessella.llm.common import read, small, staged
+from tessella.llm.common import read, scope, small, staged
 
 
 #: Names for the stages' own columns, which no table is likely to hold.
@@ -94,8 +94,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over the documents, each written and read again; what a stage staged on its way is deleted after it."""
+    docs, last = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        with scope(spark) as paths:
+            docs = staged(stage(spark, docs, sf_dir), name)
+            paths.remove(docs.staged_path)
+            paths += [last] if last else []
+        last = docs.staged_path
     return docs
