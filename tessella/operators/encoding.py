@@ -30,6 +30,13 @@ def frequency(df: DataFrame, c: str, normalise: bool = False) -> DataFrame:
     return counts.select(c, (F.col("n") / F.lit(max(1, total))).alias("freq"))
 
 
+def frequency_encode(df: DataFrame, c: str, dictionary: DataFrame, out: str, unknown: float = 0.0, strict: bool = False) -> DataFrame:
+    """Adds each category's fitted frequency; unknown ones get ``unknown``, or are an error if ``strict``."""
+    known = apply_dictionary(df, dictionary, c, "freq", out, F.lit(None).cast("double"))
+    problem = F.raise_error(F.concat(F.lit(f"unknown category in {c}: "), F.coalesce(F.col(c).cast("string"), F.lit("NULL")))).cast("double")
+    return known.withColumn(out, F.coalesce(out, problem if strict else F.lit(unknown)))
+
+
 def labels(df: DataFrame, c: str) -> DataFrame:
     """(c, label): the rank from 0 of each category by its bytes."""
     return numbered(df.where(F.col(c).isNotNull()).select(c).distinct(), [c], "label")

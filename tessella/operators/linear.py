@@ -26,8 +26,11 @@ def gram(df: DataFrame, columns: list[Column], y: Column, by: Column | None = No
     return out
 
 
-def solve(m: np.ndarray, lam: float = 1.0, l1_ratio: float = 0.0, most: float = 100.0, steps: int = 200) -> np.ndarray:
-    """Intercept and weights of a ridge, lasso or elastic net on standardised columns, from a Gram matrix."""
+def solve(m: np.ndarray, lam: float = 1.0, l1_ratio: float = 0.0, most: float = 100.0, steps: int = 200, start: np.ndarray | None = None) -> np.ndarray:
+    """Intercept and weights of a ridge, lasso or elastic net on standardised columns, from a Gram matrix.
+
+    ``start`` are weights (intercept first) that the descent begins from.
+    """
     k = len(m) - 2
     n = max(m[0, 0], 1.0)
     mean, my = m[0, 1 : k + 1] / n, m[0, -1] / n
@@ -35,7 +38,8 @@ def solve(m: np.ndarray, lam: float = 1.0, l1_ratio: float = 0.0, most: float =
     sd = np.sqrt(np.maximum(np.diag(cov), 0))
     sd = np.where(sd < 1e-8, 1.0, sd)
     a, b = cov / np.outer(sd, sd), (m[1 : k + 1, -1] / n - mean * my) / sd
-    w, l1, l2 = np.zeros(k), lam * l1_ratio / n, lam * (1 - l1_ratio) / n
+    w = np.zeros(k) if start is None else np.asarray(start[1:]) * sd
+    l1, l2 = lam * l1_ratio / n, lam * (1 - l1_ratio) / n
     for _ in range(steps):
         old = w.copy()
         for j in range(k):
@@ -61,10 +65,10 @@ class Linear:
         return (1 - self.damping) * out + F.lit(self.damping * self.mean)
 
 
-def fit_linear(df: DataFrame, features: list[str], target: str, lam: float = 1.0, l1_ratio: float = 0.0, damping: float = 0.0) -> Linear:
+def fit_linear(df: DataFrame, features: list[str], target: str, lam: float = 1.0, l1_ratio: float = 0.0, damping: float = 0.0, start: np.ndarray | None = None) -> Linear:
     m = gram(df, [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features], F.col(target).cast("double"))
     m = m.get(0, np.zeros((len(features) + 2,) * 2))
-    return Linear(features, solve(m, lam, l1_ratio).tolist(), float(m[0, -1] / max(m[0, 0], 1.0)), damping)
+    return Linear(features, solve(m, lam, l1_ratio, start=start).tolist(), float(m[0, -1] / max(m[0, 0], 1.0)), damping)
 
 
 @dataclass
@@ -86,11 +90,21 @@ class Universal:
         moved = [out, f"{out}_low", f"{out}_high"][: 1 if self.trees.interval is None else 3]
         return df.withColumns({c: F.col(c) + self.linear.column() for c in moved})
 
-    def update(self, df: DataFrame, rounds: int) -> Universal:
-        """Adds trees fitted to what the model leaves of a new batch."""
-        left = df.withColumn("__y", F.col(self.target) - self.linear.column()) if self.linear else df.withColumn("__y", F.col(self.target))
+    def update(self, df: DataFrame, rounds: int, blend: float = 0.0) -> Universal:
+        """Adds trees fitted to what the model leaves of a new batch.
+
+        With ``blend`` the linear part first moves that share of the way to a fit of the
+        batch's targets less the trees, which starts from the weights at hand.
+        """
+        linear = self.linear
+        if linear and blend:
+            rest = self.trees.predict(df, "__t").withColumn("__t", F.col(self.target) - F.col("__t"))
+            fresh = fit_linear(rest, linear.features, "__t", start=np.array(linear.weights))
+            mixed = ((1 - blend) * np.array(linear.weights) + blend * np.array(fresh.weights)).tolist()
+            linear = Linear(linear.features, mixed, (1 - blend) * linear.mean + blend * fresh.mean, linear.damping)
+        left = df.withColumn("__y", F.col(self.target) - linear.column()) if linear else df.withColumn("__y", F.col(self.target))
         trees = train_gbdt(left, self.trees.features, "__y", self.key, replace(self.trees.config, rounds=rounds), self.trees)
-        return Universal(self.mode, self.linear, trees, self.target, self.key, [*self.history, f"+{rounds}"])
+        return Universal(self.mode, linear, trees, self.target, self.key, [*self.history, f"+{rounds}"])
 
 
 def train_universal(df: DataFrame, features: list[str], target: str, key: str, mode: str = "trees", cfg: TreeConfig = TreeConfig()) -> Universal:

@@ -179,6 +179,11 @@ class Outliers(Stage):
             df = df.where(~self.out(c))
         return df
 
+    def detect(self, df: DataFrame, key: str) -> DataFrame:
+        """(key, feature, value): every value that lies outside its column's bounds."""
+        each = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"), self.out(c).alias("out")) for c in self.columns])
+        return df.select(key, F.inline(F.filter(each, lambda x: x["out"]))).drop("out")
+
     def counts(self, df: DataFrame) -> DataFrame:
         return df.agg(*[F.count_if(self.out(c)).alias(c) for c in self.columns])
 

@@ -65,6 +65,21 @@ def task_of(df: DataFrame, y: str) -> str:
     return "binary" if n == 2 else "multiclass" if 3 <= n <= 20 else "regression"
 
 
+def discrete_target(df: DataFrame, y: str, most: int = 20) -> DataFrame:
+    """(is_discrete, n): whether the target has few distinct thousandths, over all rows."""
+    n = F.count_distinct(F.floor(F.col(y).cast("double") * 1000))
+    return df.agg((n <= most).alias("is_discrete"), n.alias("n"))
+
+
+def target_transform(df: DataFrame, y: str) -> DataFrame:
+    """(low, high, transform): the target's bounds, fixed at 0 and 1 for shares, and the transform that frees it from them."""
+    v = F.col(y).cast("double")
+    row = df.agg(F.min(v).alias("a"), F.max(v).alias("b"), F.skewness(v).alias("s"))
+    share = (F.col("a") >= 0) & (F.col("b") <= 1)
+    kind = F.when(F.col("a").isNull(), "none").when(share & (F.col("a") < F.col("b")), "logit").when((F.col("a") >= 0) & (F.col("s") > 1), "log1p").otherwise("none")
+    return row.select(F.when(share, 0.0).otherwise(F.col("a")).alias("low"), F.when(share, 1.0).otherwise(F.col("b")).alias("high"), kind.alias("transform"))
+
+
 def panel_score(df: DataFrame, group: str) -> DataFrame:
     """How well a column works as a panel's group: counts by group in one score."""
     g = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"))

@@ -290,6 +290,36 @@ def pruned(tree: list[Node], gamma: float) -> list[Node]:
     return tree
 
 
+def noise_pruned(model: GBDT, df: DataFrame, target: str) -> GBDT:
+    """Collapses splits that don't lower the squared error of later rows, from the bottom; one aggregation for each tree.
+
+    ``df`` is another era than the trees were grown on. Each tree is judged on what the pruned
+    ones before it leave.
+    """
+    loss = LOSSES[model.config.loss]
+    done = GBDT(model.features, model.bounds, model.base, [], model.config, model.interval)
+    bins = {f: F.col(f"__b_{f}") for f in model.features}
+    rows = done.with_bins(df.withColumn("__y", F.col(target).cast("double")).where("__y is not null"))
+    for tree in model.trees:
+        g, h = loss.pair(F.col("__y"), done.raw())
+        leaf = tree_value([Node(n.feature, n.bin, float(i), n.left, n.right, missing_left=n.missing_left) for i, n in enumerate(tree)], bins).cast("int")
+        sums = {r.leaf: (r.g or 0.0, r.h or 0.0) for r in rows.select(leaf.alias("leaf"), g.alias("g"), h.alias("h")).groupBy("leaf").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()}
+        kept = [Node(**asdict(n)) for n in tree]
+        # The change of the loss when a node's rows take its value: g v + h v^2 / 2.
+        change = lambda i, v: sums.get(i, (0.0, 0.0))[0] * v + sums.get(i, (0.0, 0.0))[1] * v * v / 2
+        for i in reversed(range(len(kept))):
+            n = kept[i]
+            if n.left < 0:
+                continue
+            both = [sum(x) for x in zip(sums.get(n.left, (0.0, 0.0)), sums.get(n.right, (0.0, 0.0)))]
+            leaves = kept[n.left].left < 0 and kept[n.right].left < 0
+            if leaves and change(n.left, kept[n.left].value) + change(n.right, kept[n.right].value) >= both[0] * n.value + both[1] * n.value**2 / 2:
+                n.left = n.right = n.feature = -1
+            sums[i] = tuple(both)
+        done = done.appended([kept])
+    return done
+
+
 def tree_value(tree: list[Node], bins: dict[str, Column], at: int = 0) -> Column:
     """The leaf value of a row as nested conditions."""
     n = tree[at]
@@ -363,6 +393,27 @@ class GBDT:
         s = sum(total.values())
         return {f: v / s if s else 0.0 for f, v in total.items()}
 
+    def predict_class(self, df: DataFrame, threshold: float = 0.5, out: str = "predicted") -> DataFrame:
+        """Class 1 where the prediction reaches the threshold, else 0."""
+        return self.predict(df, "__p").withColumn(out, (F.col("__p") >= threshold).cast("int")).drop("__p", "__p_low", "__p_high")
+
+    def predict_raw(self, df: DataFrame, out: str = "raw") -> DataFrame:
+        """The score before the link."""
+        return self.with_bins(df).withColumn(out, self.raw()).drop(*[f"__b_{f}" for f in self.features])
+
+    def residuals(self, df: DataFrame, target: str, out: str = "residual") -> DataFrame:
+        """The target less the prediction."""
+        return self.predict(df, "__p").withColumn(out, F.col(target).cast("double") - F.col("__p")).drop("__p", "__p_low", "__p_high")
+
+    def top_features(self, df: DataFrame, k: int) -> DataFrame:
+        """(feature, attribution): the k features of largest mean absolute attribution over the rows."""
+        means = self.attributions(df).agg(*[F.avg(F.abs(f"attr_{f}")).alias(f) for f in self.features])
+        long = means.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("attribution")) for f in self.features])))
+        return long.orderBy(F.desc("attribution"), "feature").limit(k)
+
+    def appended(self, trees: list[list[Node]]) -> GBDT:
+        return GBDT(self.features, self.bounds, self.base, [*self.trees, *trees], self.config, self.interval)
+
     def truncated(self, rounds: int) -> GBDT:
         return GBDT(self.features, self.bounds, self.base, self.trees[:rounds], self.config, self.interval)
 

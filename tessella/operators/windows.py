@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tessella.operators.ordering import ranked
+from tessella.operators.profile import numeric_columns
 
 EPS = 1e-10
 
@@ -123,9 +124,14 @@ def whole_rank(df: DataFrame, c: str, out: str) -> DataFrame:
     return ranked(df, c, out).withColumn(out, F.when(F.col(out).isNotNull(), share))
 
 
-def cross_sectional(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
+def cross_sectional(df: DataFrame, by: str, columns: list[str] | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """Adds each column's score, distance from the median and rank inside its group.
+
+    Without a choice, all numeric columns but the group and those excluded.
+    """
+    chosen = [c for c in (columns if columns is not None else numeric_columns(df, (by,))) if c not in exclude]
     w = Window.partitionBy(by)
     out: dict[str, Column] = {}
-    for c in columns:
+    for c in chosen:
         out |= {f"{c}_zscore": zscore(c, w), f"{c}_vs_median": versus_median(c, w), f"{c}_rank": unit_rank(c, by)}
-    return df.withColumns(out)
+    return df.withColumns(out) if out else df

@@ -14,11 +14,15 @@ from tessella.operators import extend as X
 from tessella.operators import linear as M
 from tessella.operators import monitoring as D
 from tessella.operators import pipeline as L
+from tessella.operators import preprocess as P
+from tessella.operators import profile as R
 from tessella.operators import sketch as K
 from tessella.operators import trees as T
 from tessella.operators import tuning as U
+from tessella.operators import windows as W
 from tessella.plans.features import KEYS, LINE, line
 from tessella.plans.models import _BINS, _CUT, FEATURES, rows
+from tessella.plans.preparation import _KINDS
 from tessella.plans.registry import query, r6
 from tessella.sources.tables import csv, shared_folder, table
 from tessella.streaming.incremental import IncrementalScaler, run
@@ -63,7 +67,10 @@ def pr02(spark, d):
     return L.ordered_select(table(spark, d, "nation"), ["n_regionkey", "n_nationkey"])
 
 
-@query("pr04_useful_columns")
+_USEFUL = _KINDS.replace(" UNION ALL SELECT 'o_totalprice' AS c, count(*) n, count(DISTINCT o_totalprice) u, NULL l, True AS num FROM orders", "") + " UNION ALL SELECT 'same', count(*), 1, NULL, true FROM orders"
+
+
+@query("pr04_useful_columns", f"SELECT c AS feature FROM ({_USEFUL}) WHERE u > 1 AND NOT (n > 10 AND u >= 0.85*n AND (c LIKE '%id' OR c LIKE '%key')) AND (num OR NOT ((u > 100 AND l > 20) OR (u > 0.9*n AND u > 50 AND l > 15)))")
 def pr04(spark, d):
     df = table(spark, d, "orders").withColumn("same", F.lit(1))
     return spark.createDataFrame([(c,) for c in L.useful_columns(df, "o_totalprice")], "feature string")
@@ -79,10 +86,63 @@ def ag11(spark, d):
     return L.monotonicity(table(spark, d, "orders").withColumn("y", F.col("o_totalprice") * 2), "o_totalprice", "y", "o_orderkey")
 
 
-@query("ag12_discrete_target", "SELECT count(DISTINCT p_size) <= 20 AS is_discrete, count(DISTINCT p_size) AS n FROM part")
+@query("ag12_discrete_target", "SELECT count(DISTINCT floor(p_retailprice*1000)) <= 20 AS is_discrete, count(DISTINCT floor(p_retailprice*1000)) AS n FROM part")
 def ag12(spark, d):
-    n = F.count_distinct("p_size")
-    return table(spark, d, "part").agg((n <= 20).alias("is_discrete"), n.alias("n"))
+    return R.discrete_target(table(spark, d, "part"), "p_retailprice")
+
+
+@query("sc14_target_transform", """SELECT 'l_discount' AS target, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high, 'logit' AS transform FROM lineitem HAVING min(l_discount) >= 0 AND max(l_discount) <= 1
+UNION ALL SELECT 'c_acctbal', min(c_acctbal), max(c_acctbal), 'none' FROM customer HAVING min(c_acctbal) < 0""")
+def sc14b(spark, d):
+    found = [R.target_transform(table(spark, d, t), c).select(F.lit(c).alias("target"), "low", "high", "transform") for t, c in (("lineitem", "l_discount"), ("customer", "c_acctbal"))]
+    return found[0].unionByName(found[1])
+
+
+@query("pp09_detect", "WITH q AS (SELECT quantile_cont(o_totalprice,0.25) a, quantile_cont(o_totalprice,0.75) b FROM orders) SELECT o_orderkey, 'o_totalprice' AS feature, o_totalprice AS value FROM orders, q WHERE o_totalprice < a-0.4*(b-a) OR o_totalprice > b+0.4*(b-a)")
+def pp09(spark, d):
+    df = table(spark, d, "orders")
+    return P.Outliers(["o_totalprice"], threshold=0.4).fit(df).detect(df, "o_orderkey")
+
+
+@query("en01_unknown", "WITH f AS (SELECT o_orderpriority p, count(*) n FROM orders WHERE o_orderpriority <> '1-URGENT' GROUP BY 1) SELECT o_orderkey, coalesce(n, -1)::DOUBLE AS freq FROM orders LEFT JOIN f ON p = o_orderpriority")
+def en01b(spark, d):
+    df = table(spark, d, "orders")
+    return N.frequency_encode(df, "o_orderpriority", N.frequency(df.where("o_orderpriority <> '1-URGENT'"), "o_orderpriority"), "freq", -1.0).select("o_orderkey", "freq")
+
+
+@query("en07_label_index", "WITH k AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand)-1 AS i FROM (SELECT p_brand FROM part GROUP BY 1 HAVING count(*) >= 5 AND p_brand <> 'Brand#11')) SELECT p_partkey, CAST(coalesce(i, (SELECT count(*) FROM k)) AS BIGINT) AS label FROM part LEFT JOIN k USING (p_brand)")
+def en07(spark, d):
+    df = table(spark, d, "part")
+    common = df.groupBy("p_brand").agg(F.count("*").alias("n")).where("n >= 5 and p_brand <> 'Brand#11'")
+    return N.label_index(df, "p_brand", N.labels(common, "p_brand"), "label").select("p_partkey", "label")
+
+
+@query("xs04_selective", "SELECT o_orderkey, round(CASE WHEN stddev_samp(o_totalprice) OVER w > 0 THEN (o_totalprice-avg(o_totalprice) OVER w)/stddev_samp(o_totalprice) OVER w ELSE 0 END,6) AS z FROM orders WINDOW w AS (PARTITION BY o_orderpriority)")
+def xs04(spark, d):
+    df = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice")
+    return W.cross_sectional(df, "o_orderpriority", exclude=("o_orderkey", "o_custkey")).select("o_orderkey", r6("o_totalprice_zscore").alias("z"))
+
+
+@query("ln01_ridge_penalised", "SELECT round(avg(y)-b*avg(l_quantity),4) AS intercept, round(b,4) AS slope FROM (SELECT 3*l_quantity+l_tax AS y, l_quantity FROM lineitem), (SELECT regr_slope(3*l_quantity+l_tax, l_quantity)/(1+5000.0/count(*)) b FROM lineitem) GROUP BY b")
+def ln01_penalised(spark, d):
+    m = M.fit_linear(line(spark, d).withColumn("y", 3 * F.col("l_quantity") + F.col("l_tax")), ["l_quantity"], "y", lam=5000.0)
+    return spark.createDataFrame([(round(m.weights[0], 4), round(m.weights[1], 4))], "intercept double, slope double")
+
+
+@query("so02_top_features")
+def so02(spark, d):
+    df = rows(spark, d)
+    return T.train_gbdt(df, FEATURES, "y", "key", CFG).top_features(df, 2).withColumn("attribution", r6("attribution"))
+
+
+@query("tr05_noise_pruned")
+def tr05_noise(spark, d):
+    """Trees of one half of the years pruned by the other half."""
+    df = rows(spark, d).withColumn("era", F.year("l_shipdate"))
+    model = T.train_gbdt(df.where("era < 1995"), FEATURES, "y", "key", T.TreeConfig(rounds=2, rate=0.5, depth=5, leaves=31, bins=32))
+    pruned = T.noise_pruned(model, df.where("era >= 1995"), "y")
+    leaves = lambda m: sum(n.left < 0 for t in m.trees for n in t)
+    return spark.createDataFrame([(leaves(model), sum(n.left >= 0 for t in pruned.trees for n in t))], "leaves long, splits_kept long")
 
 
 @query("ag15_mode", "SELECT b AS value, n FROM (SELECT min(l_discount) b, count(*) n, round(l_discount,2) k FROM lineitem GROUP BY k ORDER BY n DESC, k LIMIT 1)")

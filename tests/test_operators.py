@@ -317,3 +317,39 @@ def test_labels_invert_and_refuse_unknown_ones(spark):
     assert {r.c: r.back for r in encoding.label_inverse(out, "n", d, "c", "back").collect()} == {"a": "a", "b": "b", "c": None, None: None}
     with pytest.raises(Exception, match="unknown category"):
         encoding.label_index(df, "c", d, "n", strict=True).collect()
+
+
+def test_noise_is_pruned_and_signal_kept(spark):
+    df = noisy(spark, 1500)
+    model = trees.train_gbdt(df.where("k < 700"), FOUR, "y", "k", trees.TreeConfig(rounds=1, rate=1.0, depth=6, leaves=60, bins=32))
+    pruned = trees.noise_pruned(model, df.where("k >= 700"), "y")
+    error = lambda m: m.residuals(df.where("k >= 700"), "y").agg(F.avg(F.col("residual") * F.col("residual"))).first()[0]
+    splits = lambda m: sum(n.left >= 0 for n in m.trees[0])
+    assert 0 < splits(pruned) < splits(model) and error(pruned) < error(model)
+    assert [n.left for n in trees.noise_pruned(model, df.limit(0), "y").trees[0]][0] == -1
+
+
+def test_forms_of_prediction(spark):
+    df = noisy(spark, 600).withColumn("b", (F.col("y") > 2.5).cast("double"))
+    model = trees.train_gbdt(df, FOUR, "b", "k", trees.TreeConfig(rounds=3, rate=0.5, depth=3, leaves=8, bins=16, loss="log_loss"))
+    out = model.predict_raw(model.predict_class(model.predict(df), 0.3)).collect()
+    assert all(math.isclose(r.prediction, 1 / (1 + math.exp(-r.raw))) and r.predicted == (r.prediction >= 0.3) for r in out)
+    assert len(model.appended(model.trees).trees) == 6
+    top = model.top_features(df, 2).collect()
+    assert len(top) == 2 and top[0].attribution >= top[1].attribution > 0
+
+
+def test_linear_part_follows_a_batch(spark):
+    a = noisy(spark, 400).withColumn("y", 5 * F.col("x0"))
+    b = a.withColumn("y", 9 * F.col("x0") + 1)
+    model = linear.train_universal(a, ["x0"], "y", "k", "linear_then_trees", trees.TreeConfig(rounds=1, depth=1, bins=4))
+    slopes = [model.update(b, 1, blend).linear.weights[1] for blend in (0.0, 0.5, 1.0)]
+    assert slopes[0] == model.linear.weights[1] < slopes[1] < slopes[2] < 9.5
+
+
+def test_outliers_are_listed(spark):
+    df = frame(spark, [1.0, 2.0, 2.5, 3.0, 99.0, None])
+    found = preprocess.Outliers(["x"]).fit(df).detect(df, "k").collect()
+    assert [(r.k, r.feature, r.value) for r in found] == [(4, "x", 99.0)]
+    with pytest.raises(Exception, match="unknown category"):
+        encoding.frequency_encode(frame(spark, ["a", "b"], "k long, x string"), "x", encoding.frequency(frame(spark, ["a"], "k long, x string"), "x"), "f", strict=True).collect()
