@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.scalar import at_or_below
 from tessella.operators.ordering import before, numbered, tile
 from tessella.operators.trees import poisson, uniform
 
@@ -107,9 +108,18 @@ def rank_ic(df: DataFrame, y: str, p: str, era: str) -> DataFrame:
 
 
 def threshold_sweep(df: DataFrame, y: str, p: str, steps: int = 99) -> DataFrame:
-    """The threshold of best F1 among steps equal ones, by one aggregation over all thresholds."""
+    """(threshold, f1): the threshold of best F1 among steps equal ones, the lowest of equal ones.
+
+    Rows are counted between the thresholds, so one pass serves all; the rest works on a row
+    for each threshold.
+    """
     cuts = [(i + 1) / (steps + 1) for i in range(steps)]
-    f1 = lambda c: binary_metrics(F.col(y), F.col(p), c)["f1"]
-    row = df.agg(F.array(*[F.struct(f1(c).alias("f1"), F.lit(c).alias("threshold")) for c in cuts]).alias("all"))
-    best = row.select(F.array_max(F.transform("all", lambda x: F.struct(x["f1"].alias("f1"), (-x["threshold"]).alias("minus")))).alias("b"))
-    return best.select((-F.col("b.minus")).alias("threshold"), F.col("b.f1").alias("f1"))
+    counts = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(at_or_below(cuts, F.col(p)).alias("j")).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
+    spine = df.sparkSession.range(steps + 1).select(F.col("id").cast("int").alias("j"))
+    full = spine.join(F.broadcast(counts), "j", "left").fillna(0, ["pos", "neg"])
+    above, total = Window.orderBy(F.desc("j")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
+    tp, fp, all_pos = F.sum("pos").over(above), F.sum("neg").over(above), F.sum("pos").over(total)
+    f1 = F.coalesce(F.try_divide(2 * tp, tp + fp + all_pos), F.lit(0.0))
+    rows = full.select("j", f1.cast("double").alias("f1")).where("j > 0")
+    at = F.element_at(F.array(*map(F.lit, cuts)), F.col("j"))
+    return rows.orderBy(F.desc("f1"), "j").limit(1).select(at.alias("threshold"), "f1")
