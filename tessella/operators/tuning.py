@@ -18,7 +18,7 @@ from dataclasses import asdict, dataclass, field, fields, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators.evaluation import holdout, regression_metrics
+from tessella.operators import evaluation as E
 from tessella.operators.linear import Linear, fit_linear
 from tessella.operators.ordering import quantiles
 from tessella.operators.pipeline import Pipeline
@@ -165,11 +165,11 @@ def realistic(model: Callable[[list[str]], Model], pipeline: Pipeline, columns:
 
 
 def rmse(df: DataFrame, target: str) -> float:
-    return df.agg(regression_metrics(F.col(target), F.col("prediction"))["rmse"]).first()[0] or 0.0
+    return df.agg(E.regression_metrics(F.col(target), F.col("prediction"))["rmse"]).first()[0] or 0.0
 
 
 def evaluate_holdout(df: DataFrame, key: str, target: str, model: Model, params: dict, validation: float = 0.2, metric=rmse) -> dict:
-    rows = holdout(df, key, validation)
+    rows = E.holdout(df, key, validation)
     predict = model(rows.where("split = 'train'").drop("split"), params)
     return {"value": metric(predict(rows.where("split = 'validation'").drop("split")), target)}
 
@@ -186,7 +186,7 @@ def evaluate_folds(df: DataFrame, key: str, target: str, model: Model, params: d
 
 def evaluate_conformal(df: DataFrame, key: str, target: str, model: Model, params: dict, coverage: float = 0.9, **more) -> dict:
     """The mean width of intervals whose level is taken on one half of the held-out rows, and their coverage on the other."""
-    rows = holdout(df, key, 0.25, 0.25)
+    rows = E.holdout(df, key, 0.25, 0.25)
     out = model(rows.where("split = 'train'").drop("split"), params)(rows.where("split <> 'train'"))
     level = conformal_level(out.where("split = 'calibration'"), F.abs(F.col(target) - F.col("prediction")), coverage)
     inside = out.where("split = 'validation'").agg(F.avg((F.abs(F.col(target) - F.col("prediction")) <= level).cast("double"))).first()[0]
@@ -256,7 +256,7 @@ class LinearThenTrees:
 
 def tune_linear_then_trees(df: DataFrame, features: list[str], target: str, key: str, lams=(0.1, 1.0, 10.0), shrinkages=(1.0, 0.7, 0.4), rates=(0.1, 0.3), dampings=(0.0, 0.1), cfg: TreeConfig = TreeConfig()) -> tuple[LinearThenTrees, History]:
     """Linear penalty, then the linear part's shrinkage, then the trees' rate, then the damping, each by the held-out error of what came before."""
-    rows = holdout(df, key, 0.25)
+    rows = E.holdout(df, key, 0.25)
     train, test = rows.where("split = 'train'").drop("split"), rows.where("split = 'validation'").drop("split")
     log = History()
 
