@@ -19,15 +19,22 @@ def clean(c: Column) -> Column:
     return F.when(~F.isnan(d), d)
 
 
+def literals(values: list) -> Column:
+    """An array of constants; finite doubles in one expression, since a call for each is slow."""
+    if all(isinstance(v, float) and math.isfinite(v) for v in values):
+        return F.expr("array(" + ", ".join(f"{v!r}D" for v in values) + ")")
+    return F.array(*map(F.lit, values))
+
+
 def at_or_below(values: list, x: Column) -> Column:
     """How many of the sorted values are at or below x: a coarse and a fine search of some sqrt(n) steps each."""
     if not values:
         return F.lit(0)
     step = max(1, math.isqrt(len(values)))
-    table = F.array(*map(F.lit, values))
+    table = literals(values)
     if step < 4:
         return F.size(F.filter(table, lambda v: v <= x))
-    coarse = F.size(F.filter(F.array(*map(F.lit, values[step - 1 :: step])), lambda v: v <= x)) * step
+    coarse = F.size(F.filter(literals(values[step - 1 :: step]), lambda v: v <= x)) * step
     return coarse + F.size(F.filter(F.slice(table, coarse + 1, F.lit(step)), lambda v: v <= x))
 
 
