@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontaminate, html_text, lines, near_duplicates, nearest, quality, sentencepiece_codec, sharding, toxicity, warc
+from tessella.llm import decontaminate, html_text, lines, near_duplicates, nearest, quality, sentencepiece_codec, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op5_html_text": html_text.op5_html_text,
     "op6_near_duplicates": near_duplicates.op6_near_duplicates,
     "op8_sharding": sharding.op8_sharding,
+    "op11_simhash": simhash.op11_simhash,
 }
 
 SQL = {"op1_line_dedup": lines.OP1_SQL, "op4_warc": warc.OP4_SQL}
