@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontaminate, html_text, lines, near_duplicates, nearest, quality, sentencepiece_codec, sharding, simhash, toxicity, warc
+from tessella.llm import collocations, conversations, decontaminate, html_text, lines, near_duplicates, nearest, quality, sentencepiece_codec, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -16,6 +16,8 @@ QUERIES = {
     "op6_near_duplicates": near_duplicates.op6_near_duplicates,
     "op8_sharding": sharding.op8_sharding,
     "op11_simhash": simhash.op11_simhash,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_conversations": conversations.op13_conversations,
 }
 
-SQL = {"op1_line_dedup": lines.OP1_SQL, "op4_warc": warc.OP4_SQL}
+SQL = {"op1_line_dedup": lines.OP1_SQL, "op4_warc": warc.OP4_SQL, "op12_collocations": collocations.OP12_SQL}
