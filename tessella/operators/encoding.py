@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.scalar import at_or_below, clean
+from tessella.operators.gram import products
 from tessella.operators.ordering import before, numbered
 
 UNKNOWN = "unknown"
@@ -133,16 +135,15 @@ def concat_binned(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def bundle(df: DataFrame, columns: list[str], bins: dict[str, int], conflict: float = 0.001, sparsity: float = 0.5, most: int = 255) -> list[list[str]]:
     """Columns that are almost never non-zero together, in groups of ``most`` bins at most."""
-    from itertools import combinations
-
-    stats = {c: F.avg((F.col(c) != 0).cast("int")) for c in columns}
-    stats |= {f"{a}&{b}": F.avg(((F.col(a) != 0) & (F.col(b) != 0)).cast("int")) for a, b in combinations(columns, 2)}
-    got = df.agg(*[v.alias(k) for k, v in stats.items()]).first().asDict()
+    d = len(columns)
+    sums = products(df, [*((F.col(c) != 0).cast("double") for c in columns), *(F.col(c).isNotNull().cast("double") for c in columns)])
+    both = sums[:d, :d] / np.maximum(1, sums[d:, d:])
+    at = {c: i for i, c in enumerate(columns)}
+    filled = {c: both[at[c], at[c]] for c in columns}
     groups: list[list[str]] = []
-    for c in sorted(columns, key=lambda c: (-(got[c] or 0), c)):
-        sparse = 1 - (got[c] or 0) >= sparsity
-        for g in groups if sparse else []:
-            if all((got.get(f"{a}&{c}", got.get(f"{c}&{a}")) or 0) <= conflict for a in g) and sum(bins[x] for x in [*g, c]) <= most and all(1 - (got[x] or 0) >= sparsity for x in g):
+    for c in sorted(columns, key=lambda c: (-filled[c], c)):
+        for g in groups if 1 - filled[c] >= sparsity else []:
+            if all(both[at[a], at[c]] <= conflict for a in g) and sum(bins[x] for x in [*g, c]) <= most and all(1 - filled[x] >= sparsity for x in g):
                 g.append(c)
                 break
         else:

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.scalar import sigmoid
+from tessella.operators.cohorts import cross_validated
 from tessella.operators.encoding import binned, boundaries
 from tessella.operators.linear import Linear, fit_linear
-from tessella.operators.trees import GBDT, REFRESH, Node, TreeConfig, train_gbdt, uniform
+from tessella.operators.trees import REFRESH, Node, TreeConfig
 
 
 def vector_histogram(df: DataFrame, bins: dict[str, Column], g: list[Column], h: list[Column], node: Column) -> DataFrame:
@@ -116,18 +117,10 @@ def predict_multilabel(df: DataFrame, model: tuple[dict, list[float], list], lab
     return df.withColumns({f"p_{y}": sigmoid(sum((vector_value(t, bins, k) for t in trees), F.lit(b))) for k, (y, b) in enumerate(zip(labels, base))})
 
 
-def out_of_fold(df: DataFrame, features: list[str], target: str, key: str, cfg: TreeConfig, seeds: list[int], folds: int = 3) -> DataFrame:
-    """key, target and a column of out-of-fold predictions for each seed."""
-    df = df.withColumn("__fold", F.floor(uniform(F.col(key), 99) * folds).cast("int"))
-    models: dict[tuple[int, int], GBDT] = {(s, k): train_gbdt(df.where(F.col("__fold") != k), features, target, key, replace(cfg, seed=s, subsample=0.8)) for s in seeds for k in range(folds)}
-    out = None
-    for k in range(folds):
-        part = df.where(F.col("__fold") == k)
-        for s in seeds:
-            part = models[s, k].predict(part, f"oof_{s}")
-        part = part.select(key, target, *[f"oof_{s}" for s in seeds])
-        out = part if out is None else out.unionByName(part)
-    return out
+def out_of_fold(df: DataFrame, features: list[str], target: str, key: str, cfg: TreeConfig, seeds: list[int], folds: int = 3, fold: Column | None = None, share: float = 0.8) -> DataFrame:
+    """key, target and a column of out-of-fold predictions for each seed, which draws its ``share`` of the rows for each tree; all seeds and folds are trained in one pass."""
+    rows, _ = cross_validated(df, features, target, key, [replace(cfg, seed=s, subsample=share) for s in seeds], folds, fold)
+    return rows.select(key, target, *(F.col(f"p_{i}").alias(f"oof_{s}") for i, s in enumerate(seeds)))
 
 
 def uncertainty(probabilities: list[Column]) -> Column:

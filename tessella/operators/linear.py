@@ -8,16 +8,23 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.losses import LOSSES
+from tessella.operators.cohorts import Member, boost
+from tessella.operators.gram import products
 from tessella.operators.trees import GBDT, Node, TreeConfig, train_gbdt, tree_value
 
 
-def gram(df: DataFrame, columns: list[Column], y: Column, by: Column | None = None) -> dict:
-    """n, X'X, X'y and y'y with an intercept, for all rows or for each group: one pass, its result bounded by the columns."""
+def gram(df: DataFrame, columns: list[Column], y: Column, by: Column | None = None, weight: Column | None = None) -> dict:
+    """n, X'X, X'y and y'y with an intercept, for all rows (0) or for each group: one pass, its result bounded by the columns.
+
+    All rows are summed as blocks of a matrix, groups as expressions. With a weight, sums are weighted.
+    """
     xs = [F.lit(1.0), *columns, y]
+    if by is None:
+        return {0: products(df, xs, weight)}
     terms = [F.sum(xs[i] * xs[j]).alias(f"s{i}_{j}") for i in range(len(xs)) for j in range(i, len(xs))]
-    rows = (df.groupBy(by.alias("group")) if by is not None else df.groupBy(F.lit(0).alias("group"))).agg(*terms).collect()
     out = {}
-    for r in rows:
+    for r in df.groupBy(by.alias("group")).agg(*terms).collect():
         m = np.zeros((len(xs), len(xs)))
         for i in range(len(xs)):
             for j in range(i, len(xs)):
@@ -26,16 +33,17 @@ def gram(df: DataFrame, columns: list[Column], y: Column, by: Column | None = No
     return out
 
 
-def solve(m: np.ndarray, lam: float = 1.0, l1_ratio: float = 0.0, most: float = 100.0, steps: int = 200, start: np.ndarray | None = None) -> np.ndarray:
+def solve(m: np.ndarray, lam: float = 1.0, l1_ratio: float = 0.0, most: float = 100.0, steps: int = 200, start: np.ndarray | None = None, scale: np.ndarray | None = None) -> np.ndarray:
     """Intercept and weights of a ridge, lasso or elastic net on standardised columns, from a Gram matrix.
 
-    ``start`` are weights (intercept first) that the descent begins from.
+    ``start`` are weights (intercept first) that the descent begins from; ``scale`` are
+    deviations to standardise by in place of the matrix's own.
     """
     k = len(m) - 2
     n = max(m[0, 0], 1.0)
     mean, my = m[0, 1 : k + 1] / n, m[0, -1] / n
     cov = m[1 : k + 1, 1 : k + 1] / n - np.outer(mean, mean)
-    sd = np.sqrt(np.maximum(np.diag(cov), 0))
+    sd = np.sqrt(np.maximum(np.diag(cov), 0)) if scale is None else scale
     sd = np.where(sd < 1e-8, 1.0, sd)
     a, b = cov / np.outer(sd, sd), (m[1 : k + 1, -1] / n - mean * my) / sd
     w = np.zeros(k) if start is None else np.asarray(start[1:]) * sd
@@ -71,6 +79,54 @@ def fit_linear(df: DataFrame, features: list[str], target: str, lam: float = 1.0
     return Linear(features, solve(m, lam, l1_ratio, start=start).tolist(), float(m[0, -1] / max(m[0, 0], 1.0)), damping)
 
 
+#: Parts of a Newton step that are tried, the first that lowers the penalised loss is taken.
+HALVINGS = (1.0, 0.5, 0.25, 0.0625)
+
+
+def fit_newton(df: DataFrame, features: list[str], target: str, loss: str = "log_loss", lam: float = 1.0, l1_ratio: float = 0.0, start: np.ndarray | None = None, steps: int = 25, tolerance: float = 1e-9) -> Linear:
+    """Elastic net by the loss itself: each step solves a weighted least-squares problem on Newton's working response.
+
+    A step is two passes: the Gram matrix weighted by the hessians, which descent starts on
+    from the weights at hand, and the penalised loss at a few shares of the step. The
+    prediction is on the loss's raw scale (log-odds for ``log_loss``). Columns are
+    standardised by their deviations over all rows; the intercept isn't penalised. Rows
+    without a target take no part; missing features count as 0.
+    """
+    of, y = LOSSES[loss], F.col(target).cast("double")
+    df = df.where(y.isNotNull())
+    xs = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]
+    plain = gram(df, xs, y)[0]
+    n = max(plain[0, 0], 1.0)
+    scale = np.sqrt(np.maximum(plain.diagonal()[1:-1] / n - (plain[0, 1:-1] / n) ** 2, 0))
+    scale = np.where(scale < 1e-8, 1.0, scale)
+    first = df.agg(of.start(y)).first()[0] if start is None and plain[0, 0] else None
+    weights = np.r_[float(first or 0.0), np.zeros(len(features))] if start is None else np.asarray(start, float)
+
+    def penalty(w: np.ndarray) -> float:
+        v = w[1:] * scale
+        return float(lam * (l1_ratio * np.abs(v).sum() + (1 - l1_ratio) * (v @ v) / 2))
+
+    def losses(of_weights: list[np.ndarray]) -> list[float]:
+        row = df.agg(*[F.sum(of.value(y, Linear(features, w.tolist()).column())).alias(f"v{i}") for i, w in enumerate(of_weights)]).first()
+        return [float(v or 0.0) + penalty(w) for v, w in zip(row, of_weights)]
+
+    best = losses([weights])[0]
+    for _ in range(steps):
+        eta = Linear(features, weights.tolist()).column()
+        rows = df.withColumn("__eta", eta)
+        g, h = of.pair(y, F.col("__eta"))
+        step = solve(gram(rows, xs, F.col("__eta") - g / h, weight=h)[0], lam, l1_ratio, start=weights, scale=scale, most=np.inf)
+        ways = [weights + s * (step - weights) for s in HALVINGS]
+        found = losses(ways)
+        k = next((i for i, v in enumerate(found) if v < best), None)
+        if k is None:
+            break
+        gained, weights, best = best - found[k], ways[k], found[k]
+        if gained <= tolerance * max(1.0, abs(best)):
+            break
+    return Linear(features, weights.tolist(), float(plain[0, -1] / n))
+
+
 @dataclass
 class Universal:
     """Trees alone, linear then trees on what it leaves, or a forest."""
@@ -83,6 +139,11 @@ class Universal:
     history: list[str] = field(default_factory=list)
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        loss = LOSSES[self.trees.config.loss]
+        if self.linear and loss.link != "identity":
+            # Both parts are scores before the link.
+            rows = self.trees.with_bins(df)
+            return rows.withColumn(out, loss.response(self.trees.raw() + self.linear.column())).drop(*[f"__b_{f}" for f in self.trees.features])
         df = self.trees.predict(df, out)
         if not self.linear:
             return df
@@ -96,7 +157,14 @@ class Universal:
         With ``blend`` the linear part first moves that share of the way to a fit of the
         batch's targets less the trees, which starts from the weights at hand.
         """
-        linear = self.linear
+        linear, loss = self.linear, LOSSES[self.trees.config.loss]
+        if linear and loss.link != "identity":
+            if blend:
+                fresh = fit_newton(df, linear.features, self.target, loss.name, start=np.array(linear.weights))
+                linear = replace(linear, weights=((1 - blend) * np.array(linear.weights) + blend * np.array(fresh.weights)).tolist())
+            rows, held = self.trees.with_bins(df), self.trees
+            more = boost(rows, held.features, self.key, [Member(replace(held.config, rounds=rounds), self.target)], bounds=held.bounds, offset=held.raw() + linear.column()).models[0]
+            return Universal(self.mode, linear, held.appended(more.trees), self.target, self.key, [*self.history, f"+{rounds}"])
         if linear and blend:
             rest = self.trees.predict(df, "__t").withColumn("__t", F.col(self.target) - F.col("__t"))
             fresh = fit_linear(rest, linear.features, "__t", start=np.array(linear.weights))
@@ -107,13 +175,18 @@ class Universal:
         return Universal(self.mode, linear, trees, self.target, self.key, [*self.history, f"+{rounds}"])
 
 
-def train_universal(df: DataFrame, features: list[str], target: str, key: str, mode: str = "trees", cfg: TreeConfig = TreeConfig()) -> Universal:
+def train_universal(df: DataFrame, features: list[str], target: str, key: str, mode: str = "trees", cfg: TreeConfig = TreeConfig(), on_round=None) -> Universal:
+    """One of the modes by the configuration's loss: with a link, the linear part is a Newton fit and the trees add to its scores."""
+    if mode == "linear_then_trees" and LOSSES[cfg.loss].link != "identity":
+        linear = fit_newton(df, features, target, cfg.loss)
+        trees = boost(df, features, key, [Member(cfg, target)], offset=linear.column(), on_round=None if on_round is None else lambda r, v: on_round(r, v[0])).models[0]
+        return Universal(mode, linear, trees, target, key)
     if mode == "linear_then_trees":
         linear = fit_linear(df, features, target)
         left = df.withColumn("__y", F.col(target) - linear.column())
-        return Universal(mode, linear, train_gbdt(left, features, "__y", key, cfg), target, key)
+        return Universal(mode, linear, train_gbdt(left, features, "__y", key, cfg, on_round=on_round), target, key)
     cfg = replace(cfg, forest=True, rate=1.0) if mode == "forest" else cfg
-    return Universal(mode, None, train_gbdt(df, features, target, key, cfg), target, key)
+    return Universal(mode, None, train_gbdt(df, features, target, key, cfg, on_round=on_round), target, key)
 
 
 @dataclass

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from tessella.operators.gram import pair_sums
 from tessella.operators.ordering import numbered, tile
 
 
@@ -108,11 +111,19 @@ def correlation(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+def correlation_matrix(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs' correlations, 0 where one doesn't vary, and the columns' variances: one pass over blocks, and one for the means."""
+    sums = pair_sums(df, [F.col(c) for c in columns])
+    return np.nan_to_num(sums.correlation()), sums.variance()
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, corr) for each pair of columns, from one pass."""
-    pairs = list(combinations(columns, 2))
-    row = df.agg(*[correlation(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    return row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])))
+    """(a, b, corr) for each pair of columns; NULL where one of them doesn't vary."""
+    found = pair_sums(df, [F.col(c) for c in columns]).correlation()
+    i, j = np.triu_indices(len(columns), 1)
+    names = pa.array(columns, pa.string())
+    pairs = pa.table({"a": names.take(pa.array(i)), "b": names.take(pa.array(j)), "corr": pa.array(found[i, j], mask=np.isnan(found[i, j]))})
+    return df.sparkSession.createDataFrame(pairs) if len(i) else df.sparkSession.createDataFrame([], "a string, b string, corr double")
 
 
 def noise_floor(df: DataFrame, feature: str, target: str, tie: str, chunks: int = 20) -> DataFrame:
@@ -125,18 +136,21 @@ def noise_floor(df: DataFrame, feature: str, target: str, tie: str, chunks: int
 
 def select_features(df: DataFrame, originals: list[str], candidates: list[str], target: str, least_variance: float = 0.01, most_corr: float = 0.95, top: int = 50) -> list[str]:
     """Candidates that vary, don't repeat an original, and correlate best with the target."""
-    stats = {f"v:{c}": F.var_pop(c) for c in candidates} | {f"t:{c}": correlation(c, target) for c in candidates} | {f"{c}:{o}": correlation(c, o) for c in candidates for o in originals}
-    got = df.agg(*[v.alias(k) for k, v in stats.items()]).first().asDict()
-    kept = [c for c in candidates if (got[f"v:{c}"] or 0) >= least_variance and all(abs(got[f"{c}:{o}"] or 0) < most_corr for o in originals)]
-    return sorted(kept, key=lambda c: (-abs(got[f"t:{c}"] or 0), c))[:top]
+    names = list(dict.fromkeys([*originals, *candidates, target]))
+    corr, variance = correlation_matrix(df, names)
+    at = {c: i for i, c in enumerate(names)}
+    kept = [c for c in candidates if variance[at[c]] >= least_variance and all(abs(corr[at[c], at[o]]) < most_corr for o in originals)]
+    return sorted(kept, key=lambda c: (-round(abs(corr[at[c], at[target]]), 12), c))[:top]
 
 
 def drop_collinear(df: DataFrame, columns: list[str], target: str, limit: float = 0.99) -> list[str]:
     """Columns left when of each pair above the limit the one that tells less of the target goes."""
-    got = {(r.a, r.b): r["corr"] or 0.0 for r in correlations(df, columns).collect()}
-    row = df.agg(*[correlation(c, target).alias(c) for c in columns]).first()
+    names = list(dict.fromkeys([*columns, target]))
+    corr, _ = correlation_matrix(df, names)
+    at = {c: i for i, c in enumerate(names)}
+    pairs = [(abs(corr[at[a], at[b]]), a, b) for a, b in combinations(columns, 2) if abs(corr[at[a], at[b]]) > limit]
     gone: set[str] = set()
-    for (a, b), r in sorted(got.items(), key=lambda x: (-abs(x[1]), x[0])):
-        if abs(r) > limit and not gone & {a, b}:
-            gone.add(a if abs(row[a] or 0) < abs(row[b] or 0) else b)
+    for _, a, b in sorted(pairs, key=lambda x: (-round(x[0], 12), x[1:])):
+        if not gone & {a, b}:
+            gone.add(a if abs(corr[at[a], at[target]]) < abs(corr[at[b], at[target]]) else b)
     return [c for c in columns if c not in gone]

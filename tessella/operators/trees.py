@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.losses import LOSSES, Loss, entropy2
-from tessella.functions.scalar import softmax
 from tessella.operators.encoding import binned, boundaries
 from tessella.operators.ordering import quantiles
 
@@ -56,6 +55,8 @@ def era_splits(hist: DataFrame, lam: float = 1.0) -> DataFrame:
     return agg.where("a = b and a <> 0").select("feature", "bin", "gain", F.col("a").cast("int").alias("direction"))
 
 
+#: Gains that differ by less are equal, so that the order of sums doesn't choose a split.
+TIE = 1e-9
 #: Rounds after which predictions become data again.
 REFRESH = 5
 
@@ -164,7 +165,7 @@ def best_split(feats: Histogram, cfg: TreeConfig, features: list[str], allowed:
                 gain = 0.5 * (g * g / (h + cfg.lam) + (G - g) ** 2 / (H - h + cfg.lam) - G * G / (H + cfg.lam))
                 if cfg.entropy and N:
                     gain += cfg.entropy * information(g, h, n, G, H, N)
-                if gain >= cfg.least_gain and (best is None or gain > best[0]) and gain > 0:
+                if gain >= cfg.least_gain and (best is None or gain > best[0] * (1 + TIE)) and gain > 0:
                     best = (gain, f, b, missing_left, (g, h, n), (G - g, H - h, N - n))
     return best
 
@@ -253,6 +254,11 @@ def grow(df: DataFrame, bins: dict[str, Column], g: Column, h: Column, cfg: Tree
         hists = {k: v for k, v in hists.items() if 2 * k in used}
         if not read:
             break
+    return replayed(splits, sums, cfg)
+
+
+def replayed(splits: dict[int, tuple], sums: dict[int, tuple], cfg: TreeConfig) -> list[Node]:
+    """The tree that best-first growth picks from all levels' splits and sums, by heap numbers from 1."""
     candidates = {k: (splits.get(k), s) for k, s in sums.items()}
     tree: list[Node] = []
 
@@ -507,24 +513,3 @@ def conformal(df: DataFrame, residual: Column, q: float) -> float | None:
     """The residual of rank min(ceil(n q), n - 1) from 0, by a ranking that keeps one row."""
     n = df.where(residual.isNotNull()).count()
     return quantiles(df, residual, [min(math.ceil(n * q), n - 1) / max(1, n - 1)])[0] if n else None
-
-
-def train_multiclass(df: DataFrame, features: list[str], target: str, key: str, classes: int, cfg: TreeConfig) -> list[GBDT]:
-    """One ensemble for each class, grown together on the softmax of all."""
-    bounds = boundaries(df, features, cfg.bins)
-    rows = df.select(F.col(target).cast("int").alias("y"), F.col(key).alias("key"), *[binned(F.col(f), bounds[f]).cast("short").alias(f"__b_{f}") for f in features]).persist()
-    bins = {f: F.col(f"__b_{f}") for f in features}
-    freq = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    total = max(1, sum(freq.values()))
-    models = [GBDT(features, bounds, math.log(max(freq.get(k, 0) / total, 1e-6)), [], cfg) for k in range(classes)]
-    for _ in range(cfg.rounds):
-        probs = softmax([m.raw() for m in models])
-        now = rows.withColumns({f"__p{k}": p for k, p in enumerate(probs)})
-        trees = []
-        for k in range(classes):
-            p = F.col(f"__p{k}")
-            trees.append(grow(now, bins, p - (F.col("y") == k).cast("double"), F.greatest(p * (1 - p), F.lit(1e-7)), cfg, set(range(len(features)))))
-        for m, t in zip(models, trees):
-            m.trees.append(t)
-    rows.unpersist()
-    return models

@@ -1,7 +1,8 @@
 """Hyperparameter search: spaces, grids that zoom in, evaluation by folds, and the log of trials.
 
-Trials run one after another, each as Spark jobs over the whole table; only their numbers
-come to the driver.
+The trials of a step and their folds are trained together, in one pass over one binned table
+(``cohorts``); models of other kinds run one trial after another. Only numbers come to the
+driver.
 """
 
 from __future__ import annotations
@@ -12,17 +13,19 @@ import json
 import math
 import random
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, fields, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.losses import LOSSES
 from tessella.operators import evaluation as E
+from tessella.operators.cohorts import Member, boost, fold_of, train_many
 from tessella.operators.linear import Linear, fit_linear
 from tessella.operators.ordering import quantiles
 from tessella.operators.pipeline import Pipeline
-from tessella.operators.trees import GBDT, TreeConfig, train_gbdt, uniform
+from tessella.operators.trees import GBDT, TreeConfig
 
 
 @dataclass(frozen=True)
@@ -80,9 +83,9 @@ def grid(space: list[Parameter], points: int, centre: dict[str, float], spread:
     return [{p.name: at(p, share(p, i)) for p in space} for i in range(points)]
 
 
-def constrained(space: list[Parameter], trials: list[Trial], top: float = 0.25) -> list[Parameter]:
+def constrained(space: list[Parameter], trials: list[Trial], top: float = 0.25, larger: bool = False) -> list[Parameter]:
     """The space cut to what the best share of earlier trials used."""
-    good = sorted(trials, key=lambda t: t.value)[: max(1, math.ceil(top * len(trials)))]
+    good = sorted(trials, key=lambda t: -t.value if larger else t.value)[: max(1, math.ceil(top * len(trials)))]
     out = []
     for p in space:
         seen = [t.params[p.name] for t in good if p.name in t.params]
@@ -107,13 +110,14 @@ class Trial:
 
 @dataclass
 class History:
-    """All trials in order."""
+    """All trials in order; ``larger`` tells that larger values are better."""
 
     trials: list[Trial] = field(default_factory=list)
+    larger: bool = False
 
     def best(self) -> Trial | None:
-        """The trial of least value; of equal ones the first."""
-        return min(self.trials, key=lambda t: t.value, default=None)
+        """The trial of best value; of equal ones the first."""
+        return min(self.trials, key=lambda t: -t.value if self.larger else t.value, default=None)
 
     def to_csv(self) -> str:
         out = io.StringIO()
@@ -142,14 +146,76 @@ class History:
 Model = Callable[[DataFrame, dict], Callable[[DataFrame], DataFrame]]
 
 
-def tree_model(features: list[str], target: str, key: str, base: TreeConfig) -> Model:
-    """Trains a GBDT with the trial's settings and returns its prediction."""
-    known = {f.name for f in fields(TreeConfig)}
+def known_settings(base: TreeConfig, params: dict) -> TreeConfig:
+    names = {f.name for f in fields(TreeConfig)}
+    return replace(base, **{k: v for k, v in params.items() if k in names})
 
-    def fit(train: DataFrame, params: dict) -> Callable[[DataFrame], DataFrame]:
-        return train_gbdt(train, features, target, key, replace(base, **{k: v for k, v in params.items() if k in known})).predict
 
-    return fit
+@dataclass(frozen=True)
+class Metric:
+    """A number of predictions: an aggregate of target and prediction, or else a table's; and whether larger is better."""
+
+    column: Callable[[Column, Column], Column] | None = None
+    table: Callable[[DataFrame, str, str, str | None], DataFrame] | None = None
+    larger: bool = False
+
+
+METRICS = {
+    **{m: Metric(lambda y, p, m=m: E.regression_metrics(y, p)[m], larger=m == "r2") for m in ("mse", "rmse", "mae", "r2")},
+    **{m: Metric(lambda y, p, m=m: E.binary_metrics(y, p)[m], larger=m != "log_loss") for m in ("log_loss", "accuracy", "f1")},
+    "auc": Metric(table=lambda df, y, p, era: E.auc(df, y, p), larger=True),
+    "rank_ic": Metric(table=lambda df, y, p, era: E.rank_ic(df, y, p, era), larger=True),
+}
+
+
+def measured(df: DataFrame, metric: str, y: str, ps: list[str], parts: list[Column], era: str | None = None) -> list[list[float]]:
+    """A metric of each prediction on each part of the rows (a condition): one job where it is an aggregate."""
+    of = METRICS[metric]
+    if of.column:
+        cells = [of.column(F.when(part, F.col(y)), F.when(part, F.col(p))).alias(f"m{i}_{k}") for i, p in enumerate(ps) for k, part in enumerate(parts)]
+        row = df.agg(*cells).first()
+        return [[row[i * len(parts) + k] or 0.0 for k in range(len(parts))] for i in range(len(ps))]
+    return [[of.table(df.where(part), y, p, era).first()[0] or 0.0 for part in parts] for p in ps]
+
+
+@dataclass
+class TreeTrials:
+    """GBDT trials: a trial's settings over a base. Called, it trains one; ``together`` evaluates many in one pass."""
+
+    features: list[str]
+    target: str
+    key: str
+    base: TreeConfig
+
+    def __call__(self, train: DataFrame, params: dict) -> Callable[[DataFrame], DataFrame]:
+        return train_many(train, self.features, self.target, self.key, [known_settings(self.base, params)])[0].predict
+
+    def together(self, df: DataFrame, trials: list[dict], evaluation: str, metric: str = "rmse", validation: float = 0.2, folds: int = 3, era: str | None = None) -> list[dict]:
+        """Each trial's value on held-out rows, by ``holdout``, ``eras`` (the last ones) or ``folds`` (the mean, and how far folds differ).
+
+        Trials with different numbers of bins are trained in as many passes.
+        """
+        if evaluation == "folds":
+            rows, fold, held = df, fold_of(self.key, folds), range(folds)
+        else:
+            rows = E.era_holdout(df, era, validation) if evaluation == "eras" else E.holdout(df, self.key, validation)
+            fold, held = F.when(F.col("split") == "validation", 0).otherwise(1), range(1)
+        found: dict[int, dict] = {}
+        configs = [known_settings(self.base, t) for t in trials]
+        for bins in sorted({c.bins for c in configs}):
+            own = [i for i, c in enumerate(configs) if c.bins == bins]
+            cohort = boost(rows, self.features, self.key, [Member(configs[i], self.target, k) for i in own for k in held], fold=fold, also=[era] if era else [])
+            p = {f"p_{i}": LOSSES[configs[i].loss].response(F.element_at(F.array(*(F.col(f"raw_{n * len(held) + k}") for k in held)), F.col("fold") + 1)) for n, i in enumerate(own)}
+            scored = cohort.scored.where(F.col("fold") < len(held)).withColumns(p)
+            for i, values in zip(own, measured(scored, metric, self.target, list(p), [F.col("fold") == k for k in held], era)):
+                mean = sum(values) / len(values)
+                found[i] = {"value": mean} | ({"deviation": math.sqrt(sum((x - mean) ** 2 for x in values) / len(values))} if evaluation == "folds" else {})
+        return [found[i] for i in range(len(trials))]
+
+
+def tree_model(features: list[str], target: str, key: str, base: TreeConfig) -> TreeTrials:
+    """Trains a GBDT with the trial's settings and returns its prediction."""
+    return TreeTrials(features, target, key, base)
 
 
 def realistic(model: Callable[[list[str]], Model], pipeline: Pipeline, columns: list[str]) -> Model:
@@ -164,8 +230,12 @@ def realistic(model: Callable[[list[str]], Model], pipeline: Pipeline, columns:
     return fit
 
 
-def rmse(df: DataFrame, target: str) -> float:
-    return df.agg(E.regression_metrics(F.col(target), F.col("prediction"))["rmse"]).first()[0] or 0.0
+def metric_of(name: str, era: str | None = None) -> Callable[[DataFrame, str], float]:
+    """A named metric of a table with the column ``prediction``."""
+    return lambda df, target: measured(df, name, target, ["prediction"], [F.lit(True)], era)[0][0]
+
+
+rmse = metric_of("rmse")
 
 
 def evaluate_holdout(df: DataFrame, key: str, target: str, model: Model, params: dict, validation: float = 0.2, metric=rmse) -> dict:
@@ -174,10 +244,17 @@ def evaluate_holdout(df: DataFrame, key: str, target: str, model: Model, params:
     return {"value": metric(predict(rows.where("split = 'validation'").drop("split")), target)}
 
 
+def evaluate_eras(df: DataFrame, key: str, target: str, model: Model, params: dict, era: str, validation: float = 0.2, metric=rmse) -> dict:
+    """On the last eras, by what the others teach."""
+    rows = E.era_holdout(df, era, validation)
+    predict = model(rows.where("split = 'train'").drop("split"), params)
+    return {"value": metric(predict(rows.where("split = 'validation'").drop("split")), target)}
+
+
 def evaluate_folds(df: DataFrame, key: str, target: str, model: Model, params: dict, folds: int = 3, metric=rmse, seed: int = 99) -> dict:
     """The mean over folds by hashed keys, and how far the folds differ."""
     found = []
-    fold = F.floor(uniform(F.col(key), seed) * folds)
+    fold = fold_of(key, folds, seed)
     for k in range(folds):
         found.append(metric(model(df.where(fold != k), params)(df.where(fold == k)), target))
     mean = sum(found) / folds
@@ -204,7 +281,7 @@ def conformal_level(df: DataFrame, residual: Column, coverage: float) -> float:
     return quantiles(df, residual, [(rank - 1) / max(1, n - 1)])[0]
 
 
-EVALUATIONS = {"holdout": evaluate_holdout, "folds": evaluate_folds, "conformal": evaluate_conformal}
+EVALUATIONS = {"holdout": evaluate_holdout, "eras": evaluate_eras, "folds": evaluate_folds, "conformal": evaluate_conformal}
 
 
 @dataclass
@@ -216,6 +293,10 @@ class TunerConfig:
     evaluation: str = "holdout"
     patience: int = 0
     seed: int = 7
+    #: One of METRICS; ``conformal`` has its own.
+    metric: str = "rmse"
+    #: The era column of ``rank_ic`` and of the evaluation ``eras``.
+    era: str | None = None
 
 
 def tune(df: DataFrame, key: str, target: str, model: Model, space: list[Parameter], cfg: TunerConfig = TunerConfig(), on_trial: Callable[[Trial], bool | None] | None = None) -> History:
@@ -224,15 +305,15 @@ def tune(df: DataFrame, key: str, target: str, model: Model, space: list[Paramet
     With ``patience`` the search ends after so many rounds without a better trial; it also
     ends where ``on_trial`` returns False.
     """
-    log, centre, spread, waited = History(), {p.name: 0.5 for p in space}, 1.0, 0
+    larger = cfg.evaluation != "conformal" and METRICS[cfg.metric].larger
+    log, centre, spread, waited = History(larger=larger), {p.name: 0.5 for p in space}, 1.0, 0
     for step in range(cfg.steps):
         before = log.best()
-        for params in grid(space, cfg.points, centre, spread, cfg.seed + step, cfg.kind):
-            if any(t.params == params for t in log.trials):
-                continue
-            start = time.time()
-            got = EVALUATIONS[cfg.evaluation](df, key, target, model, params)
-            log.trials.append(Trial(step, params, got.pop("value"), spread, time.time() - start, got))
+        tried = [t.params for t in log.trials]
+        found = grid(space, cfg.points, centre, spread, cfg.seed + step, cfg.kind)
+        points = [p for i, p in enumerate(found) if p not in tried and p not in found[:i]]
+        for params, got, seconds in evaluated(df, key, target, model, points, cfg):
+            log.trials.append(Trial(step, params, got.pop("value"), spread, seconds, got))
             if on_trial and on_trial(log.trials[-1]) is False:
                 return log
         best = log.best()
@@ -243,6 +324,20 @@ def tune(df: DataFrame, key: str, target: str, model: Model, space: list[Paramet
     return log
 
 
+def evaluated(df: DataFrame, key: str, target: str, model: Model, points: list[dict], cfg: TunerConfig) -> Iterator[tuple[dict, dict, float]]:
+    """Each trial's settings, numbers and seconds: together where the model can, else one by one."""
+    if hasattr(model, "together") and cfg.evaluation != "conformal":
+        start = time.time()
+        found = model.together(df, points, cfg.evaluation, cfg.metric, era=cfg.era) if points else []
+        yield from ((p, got, (time.time() - start) / len(points)) for p, got in zip(points, found))
+        return
+    for params in points:
+        start = time.time()
+        more = {} if cfg.evaluation == "conformal" else {"metric": metric_of(cfg.metric, cfg.era)} | ({"era": cfg.era} if cfg.evaluation == "eras" else {})
+        got = EVALUATIONS[cfg.evaluation](df, key, target, model, params, **more)
+        yield params, got, time.time() - start
+
+
 @dataclass
 class LinearThenTrees:
     linear: Linear
@@ -273,7 +368,7 @@ def tune_linear_then_trees(df: DataFrame, features: list[str], target: str, key:
     share = min(shrinkages, key=lambda s: tried(1, {"lam": lam, "shrinkage": s}, shrunk(s).column()))
     linear = shrunk(share)
     left = train.withColumn("__y", F.col(target) - linear.column())
-    models = {r: LinearThenTrees(linear, 1.0, train_gbdt(left, features, "__y", key, replace(cfg, rate=r))) for r in rates}
+    models = {r: LinearThenTrees(linear, 1.0, m) for r, m in zip(rates, train_many(left, features, "__y", key, [replace(cfg, rate=r) for r in rates]))}
     rate = min(rates, key=lambda r: tried(2, {"lam": lam, "shrinkage": share, "rate": r}, None, models[r].predict(test)))
     damped = {d: replace(models[rate], linear=replace(linear, damping=d)) for d in dampings}
     damping = min(dampings, key=lambda d: tried(3, {"lam": lam, "shrinkage": share, "rate": rate, "damping": d}, None, damped[d].predict(test)))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
 
 from tessella.operators import auto as A
+from tessella.operators import cohorts as C
 from tessella.operators import encoding as N
 from tessella.operators import ensembles as B
 from tessella.operators import evaluation as E
@@ -21,7 +23,7 @@ from tessella.operators import trees as T
 from tessella.operators import tuning as U
 from tessella.operators import windows as W
 from tessella.plans.features import KEYS, LINE, line
-from tessella.plans.models import _BINS, _CUT, FEATURES, rows
+from tessella.plans.models import _BINS, _CUT, _Q, FEATURES, TARGET, classed, rows
 from tessella.plans.preparation import _KINDS
 from tessella.plans.registry import query, r6
 from tessella.sources.tables import csv, shared_folder, table
@@ -240,11 +242,81 @@ def bo01_stump(spark, d):
     return spark.createDataFrame([(top.feature, top.bin, round(left.value, 6), round(right.value, 6), left.rows)], "feature int, bin int, left_value double, right_value double, left_rows long")
 
 
-@query("tu01_grid", "SELECT CAST(i AS INT) AS trial, round(exp(ln(0.01)+i/4.0*ln(50)),6) AS rate FROM range(5) t(i)")
+STUMP = T.TreeConfig(rounds=1, rate=0.5, depth=1, leaves=2, bins=8)
+#: Bin 0 may go either way: ``low`` is the first bin that goes left.
+_BEST_STUMP = """h AS (SELECT k, feature, bin, sum(g) g, sum(h) h, count(*) n FROM long GROUP BY 1,2,3),
+s AS (SELECT k, feature, bin, sum(g) OVER r gl, sum(h) OVER r hl, sum(n) OVER r nl, sum(g) OVER p gt, sum(h) OVER p ht, sum(n) OVER p nt, sum(CASE WHEN bin=0 THEN g ELSE 0 END) OVER p g0, sum(CASE WHEN bin=0 THEN h ELSE 0 END) OVER p h0, sum(CASE WHEN bin=0 THEN n ELSE 0 END) OVER p n0
+FROM h WINDOW p AS (PARTITION BY k, feature), r AS (PARTITION BY k, feature ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+d AS (SELECT k, feature, bin, 0 AS low, gl, hl, nl, gt, ht, nt FROM s UNION ALL SELECT k, feature, bin, 1, gl-g0, hl-h0, nl-n0, gt, ht, nt FROM s WHERE bin > 0 AND n0 > 0),
+x AS (SELECT *, 0.5*(gl*gl/(hl+1)+(gt-gl)*(gt-gl)/(ht-hl+1)-gt*gt/(ht+1)) gain FROM d WHERE nl >= 1 AND nt > nl AND hl >= 1 AND ht-hl >= 1),
+best AS (SELECT k, CAST(feature AS INT) AS feature, CAST(bin AS INT) AS bin, low, -gl/(hl+1)*0.5 lv, -(gt-gl)/(ht-hl+1)*0.5 rv, CAST(nl AS BIGINT) AS left_rows FROM x QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(gain,7) DESC, feature, low, bin) = 1)"""
+_STUMP_ROWS = f"""WITH b AS (SELECT {', '.join(f"list_distinct(quantile_disc({f}, [{_Q}])) b{i}" for i, f in enumerate(FEATURES))} FROM lineitem),
+r AS (SELECT {TARGET} AS y, l_orderkey % 3 AS fold, year(l_shipdate) AS era, {', '.join(f"len(list_filter(b{i}, lambda x: x <= {f})) f{i}" for i, f in enumerate(FEATURES))} FROM lineitem, b)"""
+_LONG = "long AS (" + " UNION ALL ".join(f"SELECT k, {i} AS feature, f{i} AS bin, g, h FROM t" for i in range(3)) + ")"
+_LEAF = "CASE WHEN (CASE feature WHEN 0 THEN f0 WHEN 1 THEN f1 ELSE f2 END) BETWEEN low AND bin THEN lv ELSE rv END"
+_FOLD_STUMPS = f"""{_STUMP_ROWS}, m AS (SELECT k, avg(y) m FROM r, range(3) i(k) WHERE fold <> k GROUP BY k),
+t AS (SELECT k, m-y AS g, 1.0 AS h, f0, f1, f2 FROM r JOIN m ON fold <> k), {_LONG}, {_BEST_STUMP},
+e AS (SELECT k, sqrt(avg((y-m-{_LEAF})*(y-m-{_LEAF}))) AS rmse FROM r JOIN best ON fold = k JOIN m USING (k) GROUP BY k)"""
+
+
+@query("tu04_fold_stumps", _FOLD_STUMPS + " SELECT CAST(k AS INT) AS fold, feature, bin, round(lv,6) AS left_value, round(rv,6) AS right_value, left_rows, round(rmse,6) AS rmse FROM best JOIN e USING (k)")
+def tu04b(spark, d):
+    """A stump for each of three folds from one pass over one binned table, and its error on the fold."""
+    df = rows(spark, d)
+    out, models = C.cross_validated(df, FEATURES, "y", "key", [STUMP], 3, F.col("l_orderkey") % 3)
+    found = [(k, top.feature, top.bin, round(left.value, 6), round(right.value, 6), left.rows) for k, (top, left, right) in enumerate(m.trees[0] for m in models[0])]
+    trees = spark.createDataFrame(found, "fold int, feature int, bin int, left_value double, right_value double, left_rows long")
+    errors = out.groupBy("fold").agg(r6(E.regression_metrics(F.col("y"), F.col("p_0"))["rmse"]).alias("rmse"))
+    return trees.join(errors, "fold")
+
+
+@query("es01_stump_predictions", _FOLD_STUMPS + f" SELECT round(avg(y-m-{_LEAF}),6) AS bias, round(corr(y, m+{_LEAF}),6) AS correlation, count(*) AS n FROM r JOIN best ON fold = k JOIN m USING (k)")
+def es01b(spark, d):
+    """Out-of-fold predictions of one-split models, summed up."""
+    out = B.out_of_fold(rows(spark, d), FEATURES, "y", "key", STUMP, [1], 3, F.col("l_orderkey") % 3, share=1.0)
+    return out.agg(r6(F.avg(F.col("y") - F.col("oof_1"))).alias("bias"), r6(F.corr("y", "oof_1")).alias("correlation"), F.count("*").alias("n"))
+
+
+_CLASS_STUMPS = f"""{_STUMP_ROWS}, c AS (SELECT *, CASE WHEN y < 15 THEN 0 WHEN y < 30 THEN 1 ELSE 2 END AS c FROM r),
+m AS (SELECT k, avg(CAST(c = k AS INT)) p FROM c, range(3) i(k) GROUP BY k), t AS (SELECT k, p-CAST(c = k AS INT) AS g, p*(1-p) AS h, f0, f1, f2 FROM c, m), {_LONG}, {_BEST_STUMP}"""
+
+
+@query("bo02_stumps", _CLASS_STUMPS + " SELECT CAST(k AS INT) AS class, feature, bin, round(lv,6) AS left_value, round(rv,6) AS right_value, left_rows FROM best")
+def bo02b(spark, d):
+    """One round of one split for each of three classes."""
+    model = C.train_multiclass(classed(spark, d), FEATURES, "c", "key", 3, STUMP)
+    found = [(k, top.feature, top.bin, round(left.value, 6), round(right.value, 6), left.rows) for k, (top, left, right) in enumerate(m.trees[0] for m in model.models)]
+    return spark.createDataFrame(found, "class int, feature int, bin int, left_value double, right_value double, left_rows long")
+
+
+@query("bo02_probabilities", _CLASS_STUMPS + f""",
+v AS (SELECT c.c, list(ln(p)+{_LEAF} ORDER BY k) AS l FROM (SELECT *, row_number() OVER () AS id FROM c) c, m JOIN best USING (k) GROUP BY id, c.c)
+SELECT round(avg(-(l[c+1] - ln(exp(l[1])+exp(l[2])+exp(l[3])))),6) AS log_loss, round(avg(CAST(list_position(l, list_max(l)) = c+1 AS INT)),6) AS accuracy FROM v""")
+def bo02c(spark, d):
+    """Loss and accuracy of the classes' probabilities after that round."""
+    df = classed(spark, d)
+    model = C.train_multiclass(df, FEATURES, "c", "key", 3, STUMP)
+    out = model.predict_class(model.predict_proba(df))
+    return out.agg(r6(E.multiclass_log_loss(F.col("c"), [F.col(f"p_{k}") for k in range(3)])).alias("log_loss"), r6(F.avg((F.col("predicted") == F.col("c")).cast("double"))).alias("accuracy"))
+
+
+_TRIALS = f"""{_STUMP_ROWS}, n AS (SELECT era, row_number() OVER (ORDER BY era) i, count(*) OVER () a FROM (SELECT DISTINCT era FROM r)),
+q AS (SELECT r.*, i > a - greatest(1, ceil(a*0.2)) AS held FROM r JOIN n USING (era)), m AS (SELECT 0 AS k, avg(y) m FROM q WHERE NOT held),
+t AS (SELECT k, m-y AS g, 1.0 AS h, f0, f1, f2 FROM q, m WHERE NOT held), {_LONG}, {_BEST_STUMP},
+trial AS (SELECT CAST(i AS INT) AS trial, exp(ln(0.01)+i/4.0*ln(50)) AS rate FROM range(5) o(i)),
+e AS (SELECT trial, rate, sqrt(avg(pow(y-m-2*rate*{_LEAF}, 2))) AS value FROM q, best, m, trial WHERE held GROUP BY ALL)"""
+
+
+def rated_stumps(spark, d):
+    """A cartesian grid of a logarithmic range, each trial by the error on the last years."""
+    df = rows(spark, d).withColumn("era", F.year("l_shipdate"))
+    cfg = U.TunerConfig(steps=1, points=5, kind="cartesian", evaluation="eras", era="era")
+    return U.tune(df, "key", "y", U.tree_model(FEATURES, "y", "key", STUMP), [U.TUNABLE["rate"]], cfg)
+
+
+@query("tu01_grid", _TRIALS + " SELECT trial, round(rate,6) AS rate, round(value,6) AS value FROM e")
 def tu01(spark, d):
-    """A cartesian grid of a logarithmic range."""
-    found = U.grid([U.TUNABLE["rate"]], 5, {}, 1.0, 1, "cartesian")
-    return spark.createDataFrame([(i, round(t["rate"], 6)) for i, t in enumerate(found)], "trial int, rate double")
+    return spark.createDataFrame([(i, round(t.params["rate"], 6), round(t.value, 6)) for i, t in enumerate(rated_stumps(spark, d).trials)], "trial int, rate double, value double")
 
 
 @query("tu04_folds")
@@ -252,7 +324,7 @@ def tu04(spark, d):
     """One setting by holdout, by folds and by conformal width, with the encoding fitted anew on each training part."""
     df = rows(spark, d).select("key", "y", "l_quantity", "l_tax", "l_returnflag").cache()
     model = U.realistic(lambda names: U.tree_model(names, "y", "key", T.TreeConfig(rounds=2, leaves=8, bins=16)), L.Pipeline("y", L.PipelineConfig(bins=16)), ["l_quantity", "l_tax", "l_returnflag"])
-    out = [(k, {n: round(v, 6) for n, v in f(df, "key", "y", model, {"rate": 0.8, "depth": 3}).items()}) for k, f in U.EVALUATIONS.items()]
+    out = [(k, {n: round(v, 6) for n, v in f(df, "key", "y", model, {"rate": 0.8, "depth": 3}).items()}) for k, f in U.EVALUATIONS.items() if k != "eras"]
     df.unpersist()
     return spark.createDataFrame([(k, v["value"], v.get("deviation"), v.get("coverage")) for k, v in out], "evaluation string, value double, deviation double, coverage double")
 
@@ -265,12 +337,14 @@ def tu05(spark, d):
     return log.frame(spark).withColumn("value", r6("value"))
 
 
-@query("io14_trials", "SELECT * FROM (VALUES ('trial,step,spread,value,seconds,rate,rmse'), ('0,0,1.0,2.5,0.0,0.1,2.5'), ('1,1,0.5,2.0,0.0,0.2,2.0')) t(value)")
+@query("io14_trials", _TRIALS + " SELECT trial, 0 AS step, round(rate,6) AS rate, round(value,6) AS value, value = min(value) OVER () AS best FROM e")
 def io14(spark, d):
-    """The log of trials, written and read again."""
+    """The log of those trials, written and read again, with the best one of its summary."""
     path = f"{shared_folder(spark)}/trials-{uuid.uuid4().hex}"
-    U.History([U.Trial(0, {"rate": 0.1}, 2.5, 1.0, metrics={"rmse": 2.5}), U.Trial(1, {"rate": 0.2}, 2.0, 0.5, metrics={"rmse": 2.0})]).write(spark, path)
-    return spark.read.text(f"{path}/trials.csv")
+    rated_stumps(spark, d).write(spark, path)
+    best = json.loads(spark.read.text(f"{path}/summary.json", wholetext=True).first()[0])["best"]["params"]["rate"]
+    log = spark.read.csv(f"{path}/trials.csv", header=True, schema="trial int, step int, spread double, value double, seconds double, rate double")
+    return log.select("trial", "step", r6("rate").alias("rate"), r6("value").alias("value"), (F.col("rate") == best).alias("best"))
 
 
 @query("sc04_pairs", f"SELECT a, b FROM (SELECT 'l_quantity' a, 'l_extendedprice' b, corr(l_quantity, l_extendedprice) r FROM lineitem UNION ALL SELECT 'l_quantity', 'l_tax', corr(l_quantity, l_tax) FROM lineitem UNION ALL SELECT 'l_extendedprice', 'l_tax', corr(l_extendedprice, l_tax) FROM lineitem) WHERE abs(r) >= 0.5")
