@@ -118,11 +118,13 @@ def fit_newton(df: DataFrame, features: list[str], target: str, loss: str = "log
         step = solve(gram(rows, xs, F.col("__eta") - g / h, weight=h)[0], lam, l1_ratio, start=weights, scale=scale, most=np.inf)
         ways = [weights + s * (step - weights) for s in HALVINGS]
         found = losses(ways)
-        k = next((i for i, v in enumerate(found) if v < best), None)
+        # Near the minimum the loss no longer tells steps apart; how far they go does.
+        k = next((i for i, v in enumerate(found) if v <= best + 1e-12 * max(1.0, abs(best))), None)
         if k is None:
             break
-        gained, weights, best = best - found[k], ways[k], found[k]
-        if gained <= tolerance * max(1.0, abs(best)):
+        moved = np.abs(ways[k] - weights).max()
+        weights, best = ways[k], min(best, found[k])
+        if moved <= tolerance * (1 + np.abs(weights).max()):
             break
     return Linear(features, weights.tolist(), float(plain[0, -1] / n))
 

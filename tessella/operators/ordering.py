@@ -16,24 +16,32 @@ from tessella.functions.scalar import at_or_below
 
 #: Ranges of the order; the totals that one task sums are as many at most, for each group.
 RANGES = 1024
+#: Rows that one task orders without ranges.
+FEW = 250_000
+#: Sampled strings for each range, and the characters by which strings are cut.
+SAMPLED, KEY = 32, 256
 
 
-def ranged(df: DataFrame, first: Column) -> DataFrame:
-    """Adds __range, which never falls as ``first`` grows; NULLs come first.
+def ranged(df: DataFrame, first: Column) -> DataFrame | None:
+    """Adds __range, which never falls as ``first`` grows; NULLs come first. None for few rows, which need no ranges.
 
-    Numbers and dates are cut at approximate quantiles, strings by a sample of their first letters.
+    Numbers and dates are cut at approximate quantiles, strings at every SAMPLED-th of a hashed
+    sample of their values, by their first KEY characters.
     """
     kind = df.select(first.alias("x")).schema["x"].dataType.simpleString()
     if kind == "string":
-        x = F.substring(first, 1, 12)
-        found = df.select(x.alias("x")).where("x is not null").distinct().orderBy(F.xxhash64("x")).limit(RANGES - 1).collect()
-        cuts = sorted((r.x for r in found), key=lambda v: v.encode())
+        x = F.substring(first, 1, KEY)
+        found = df.select(x.alias("x")).where("x is not null").distinct().orderBy(F.xxhash64("x")).limit(SAMPLED * RANGES).toArrow()["x"].to_pylist()
+        found.sort(key=lambda v: v.encode())
+        cuts = found[:: max(1, -(-len(found) // RANGES))][1:]
     elif kind in ("binary", "boolean") or kind.startswith(("array", "struct")):
         return df.withColumn("__range", F.lit(0))
     else:
         x = first.cast("timestamp").cast("double") if kind in ("date", "timestamp", "timestamp_ntz") else first.cast("double")
-        found = df.select(F.percentile_approx(x, [i / RANGES for i in range(1, RANGES)], 5_000).alias("c")).first()[0] or []
-        cuts = sorted(set(map(float, found)))
+        row = df.agg(F.percentile_approx(x, [i / RANGES for i in range(1, RANGES)], 5_000).alias("c"), F.count("*").alias("n")).first()
+        if row.n <= FEW:
+            return None
+        cuts = sorted(set(map(float, row.c or [])))
     return df.withColumn("__range", F.when(x.isNull(), F.lit(0)).otherwise(at_or_below(cuts, x) + 1))
 
 
@@ -41,10 +49,15 @@ def before(df: DataFrame, order: list, sums: dict[str, Column], by: str | None =
     """Adds for each name the sum of its column over the rows that come earlier in the order, of the same ``by`` if that is given.
 
     ``order`` must tell rows apart, or rows that tie are taken in any order. Its first
-    column cuts the ranges: rows that share one value of it are ordered in one task.
+    column cuts the ranges: rows that share one value of it are ordered in one task. Up to
+    FEW rows are one range.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    rows = ranged(df, order[0]).withColumns({"__by": F.col(by) if by else F.lit(0)} | {f"__v_{k}": v for k, v in sums.items()})
+    rows = ranged(df, order[0])
+    if rows is None:
+        ahead = Window.partitionBy(*([by] if by else [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({f"__v_{k}": v for k, v in sums.items()}).select(*df.columns, *(F.coalesce(F.sum(f"__v_{k}").over(ahead), F.lit(0)).alias(k) for k in sums))
+    rows = rows.withColumns({"__by": F.col(by) if by else F.lit(0)} | {f"__v_{k}": v for k, v in sums.items()})
     totals = rows.groupBy("__by", "__range").agg(*[F.sum(f"__v_{k}").alias(f"__t_{k}") for k in sums])
     ahead = Window.partitionBy("__by").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(F.col("__by").alias("__by2"), F.col("__range").alias("__range2"), *[F.coalesce(F.sum(f"__t_{k}").over(ahead), F.lit(0)).alias(f"__o_{k}") for k in sums])

@@ -223,6 +223,23 @@ def ln01(spark, d):
     return spark.createDataFrame([(round(m.weights[0], 4), round(m.weights[1], 4))], "intercept double, slope double")
 
 
+@query("ln01_newton", f"""WITH r AS (SELECT CAST(l_discount > 0.05 AS INT) x, CAST({TARGET} > 22 AS INT) y FROM lineitem), p AS (SELECT avg(y) FILTER (WHERE x=0) p0, avg(y) FILTER (WHERE x=1) p1 FROM r)
+SELECT round(ln(p0/(1-p0)),5) AS intercept, round(ln(p1/(1-p1))-ln(p0/(1-p0)),5) AS slope FROM p""")
+def ln01c(spark, d):
+    """A logistic fit of one 0/1 feature: the classes' log-odds."""
+    df = rows(spark, d).select((F.col("l_discount") > 0.05).cast("double").alias("x"), (F.col("y") > 22).cast("double").alias("b"))
+    m = M.fit_newton(df, ["x"], "b", lam=0.0)
+    return spark.createDataFrame([(round(m.weights[0], 5), round(m.weights[1], 5))], "intercept double, slope double")
+
+
+@query("ln01_newton_counts", f"""WITH r AS (SELECT CAST(l_returnflag = 'R' AS INT) x, {TARGET} y FROM lineitem), p AS (SELECT avg(y) FILTER (WHERE x=0) p0, avg(y) FILTER (WHERE x=1) p1 FROM r) SELECT round(ln(p0),5) AS intercept, round(ln(p1/p0),5) AS slope FROM p""")
+def ln01d(spark, d):
+    """The same by the loss of non-negative amounts, whose link is the logarithm."""
+    df = rows(spark, d).select((F.col("l_returnflag") == "R").cast("double").alias("x"), "y")
+    m = M.fit_newton(df, ["x"], "y", loss="tweedie", lam=0.0)
+    return spark.createDataFrame([(round(m.weights[0], 5), round(m.weights[1], 5))], "intercept double, slope double")
+
+
 @query("ln01_elastic_net")
 def ln01b(spark, d):
     m = M.fit_linear(rows(spark, d), FEATURES, "y", lam=1.0, l1_ratio=0.5, damping=0.1)
@@ -235,9 +252,10 @@ def ln03(spark, d):
     return M.train_linear_tree(df, FEATURES, "y", "key", depth=3, leaves=6).predict(df).agg(*[r6(c).alias(n) for n, c in E.regression_metrics(F.col("y"), F.col("prediction")).items()])
 
 
-@query("es02_hill_climb", "SELECT 'p1' AS chosen")
+@query("es02_hill_climb", f"""WITH r AS (SELECT {TARGET} y, l_quantity p1, 40*l_tax + 0.5*l_quantity + 12 p2 FROM lineitem), e AS (SELECT avg((y-p1)*(y-p1)) a, avg((y-p2)*(y-p2)) b, avg((y-(p1+p2)/2)*(y-(p1+p2)/2)) c FROM r)
+SELECT unnest(CASE WHEN c < least(a,b) THEN ['p1','p2'] WHEN a <= b THEN ['p1'] ELSE ['p2'] END) AS chosen FROM e""")
 def es02(spark, d):
-    df = rows(spark, d).select("y", (F.col("y") + 0.01).alias("p1"), (F.col("y") * 2).alias("p2"))
+    df = rows(spark, d).select("y", F.col("l_quantity").alias("p1"), (40 * F.col("l_tax") + 0.5 * F.col("l_quantity") + 12).alias("p2"))
     return spark.createDataFrame([(c,) for c in M.hill_climb(df, ["p1", "p2"], "y")], "chosen string")
 
 

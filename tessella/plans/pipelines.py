@@ -26,8 +26,9 @@ from tessella.plans.features import KEYS, LINE, line
 from tessella.plans.models import _BINS, _CUT, _Q, FEATURES, TARGET, classed, rows
 from tessella.plans.preparation import _KINDS
 from tessella.plans.registry import query, r6
+from tessella.sources import models as S
 from tessella.sources.tables import csv, shared_folder, table
-from tessella.streaming.incremental import IncrementalScaler, run
+from tessella.streaming.incremental import IncrementalCounts, IncrementalScaler, run
 
 CFG = T.TreeConfig(rounds=2, rate=0.5, depth=3, leaves=8, bins=32)
 
@@ -404,10 +405,38 @@ def es01(spark, d):
     return df.agg(r6(E.regression_metrics(F.col("y"), m.column())["r2"]).alias("r2"), F.count("*").alias("n"))
 
 
-@query("un05_gated", f"SELECT {LINE}, CASE WHEN l_tax <= 0.04 THEN l_quantity ELSE l_discount END AS p, round(-(0.5*ln(0.5)+0.5*ln(0.5))/ln(2),6) AS doubt FROM lineitem")
+@query("un05_gated", f"""WITH r AS (SELECT *, 0.5+4*l_discount AS p FROM lineitem), e AS (SELECT *, -(p*ln(p)+(1-p)*ln(1-p))/ln(2) AS doubt FROM r)
+SELECT {LINE}, CASE WHEN doubt <= 0.8 THEN l_quantity ELSE l_tax END AS p, round(doubt,6) AS doubt FROM e""")
 def un05(spark, d):
-    doubt = B.uncertainty([F.lit(0.5), F.lit(0.5)])
-    return line(spark, d).select(*KEYS, B.gated(F.col("l_quantity"), F.col("l_discount"), F.col("l_tax"), 0.04).alias("p"), r6(doubt).alias("doubt"))
+    """The first prediction where a two-class distribution is sure enough."""
+    p = 0.5 + 4 * F.col("l_discount")
+    doubt = B.uncertainty([p, 1 - p])
+    return line(spark, d).select(*KEYS, B.gated(F.col("l_quantity"), F.col("l_tax"), doubt, 0.8).alias("p"), r6(doubt).alias("doubt"))
+
+
+@query("io11_journal", _FOLD_STUMPS.replace("i(k) WHERE fold <> k", "i(k) WHERE k = 0").replace("ON fold <> k", "ON k = 0") + f" SELECT round(avg(m+{_LEAF}),6) AS prediction, round(stddev_pop(m+{_LEAF}),6) AS spread, 1 AS trees, 2 AS versions FROM r, best JOIN m USING (k) WHERE k = 0")
+def io11(spark, d):
+    """A model without trees, and the round that an update adds, from their journal."""
+    df = rows(spark, d)
+    model = C.train_many(df, FEATURES, "y", "key", [STUMP])[0]
+    journal = S.ModelJournal(spark, f"{shared_folder(spark)}/journal-{uuid.uuid4().hex}")
+    journal.save(model.truncated(0), 0)
+    journal.update(model, df.count())
+    held = journal.load()
+    out = held.predict(df).agg(r6(F.avg("prediction")).alias("prediction"), r6(F.stddev_pop("prediction")).alias("spread"))
+    return out.withColumns({"trees": F.lit(len(held.trees)), "versions": F.lit(len(journal.versions()))})
+
+
+@query("st02_stream_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def st02(spark, d):
+    """Counts of a stream whose state is read back for each batch; the whole table comes again as a retried batch."""
+    source = table(spark, d, "events")
+    folder = f"{shared_folder(spark)}/counts-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    run(stream, lambda batch, i: IncrementalCounts("event_type", folder).update(batch, i), f"{folder}-stream").awaitTermination()
+    counts = IncrementalCounts("event_type", folder)
+    counts.update(source, 0)
+    return counts.counts(spark)
 
 
 @query("st01_stream_scaler", "SELECT count(*) AS n, round(avg(value),6) AS mean, round(var_pop(value),4) AS variance FROM events")

@@ -288,9 +288,11 @@ def test_auto_builds_reports_and_updates(spark):
     assert len(model.update(df, 2).model.trees.trees) == 5
 
 
-def test_positions_and_quantiles_from_range_totals(spark):
+@pytest.mark.parametrize("few", [0, 250_000])
+def test_positions_and_quantiles_from_range_totals(spark, monkeypatch, few):
     from tessella.operators import ordering
 
+    monkeypatch.setattr(ordering, "FEW", few)
     values = [((i * 7919) % 1009) / 10 for i in range(3000)] + [float("inf"), 5.0, 5.0, None]
     df = spark.createDataFrame([(i, v, f"g{i % 3}") for i, v in enumerate(values)], "k long, x double, g string")
     by_key = lambda out: {r.k: r.at for r in out.collect()}
@@ -309,6 +311,14 @@ def test_positions_and_quantiles_from_range_totals(spark):
     assert ordering.ranked(df.limit(0), "x", "at").count() == 0
 
 
+def test_strings_with_a_common_beginning_spread_over_ranges(spark):
+    from tessella.operators import ordering
+
+    df = spark.range(40_000).select(F.concat(F.lit("https://one-site.example/articles/"), F.md5(F.col("id").cast("string"))).alias("x"))
+    sizes = [r["count"] for r in ordering.ranged(df, F.col("x")).groupBy("__range").count().collect()]
+    assert len(sizes) > 900 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
 def test_labels_invert_and_refuse_unknown_ones(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("c",)], "c string")
     d = encoding.labels(df.where("c <> 'c'"), "c")
