@@ -11,13 +11,14 @@ from tessella.operators.gram import products
 from tessella.operators.ordering import before, numbered
 
 UNKNOWN = "unknown"
-#: Dictionaries of so many rows at most are broadcast; larger ones are joined by a shuffle.
-SMALL = 50_000
+#: Dictionaries of so many rows and bytes of keys at most are broadcast; larger ones are joined by a shuffle.
+SMALL, SMALL_BYTES = 50_000, 8 << 20
 
 
 def apply_dictionary(df: DataFrame, dictionary: DataFrame, key: str, value: str, out: str, default: Column) -> DataFrame:
     """Joins a fitted (key, value) dictionary; keys that it lacks, and NULLs, get the default."""
-    small = dictionary.limit(SMALL + 1).count() <= SMALL
+    rows, size = dictionary.limit(SMALL + 1).agg(F.count("*"), F.sum(F.octet_length(F.col(key).cast("string")))).first()
+    small = rows <= SMALL and (size or 0) <= SMALL_BYTES
     side = dictionary.select(F.col(key).alias("__key"), F.col(value).alias("__value"))
     joined = df.join(F.broadcast(side) if small else side, F.col(key) == F.col("__key"), "left")
     return joined.withColumn(out, F.coalesce("__value", default)).drop("__key", "__value")

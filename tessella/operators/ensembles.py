@@ -8,11 +8,13 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.losses import LOSSES
 from tessella.functions.scalar import sigmoid
 from tessella.operators.cohorts import cross_validated
 from tessella.operators.encoding import binned, boundaries
 from tessella.operators.linear import Linear, fit_linear
-from tessella.operators.trees import REFRESH, Node, TreeConfig
+from tessella.operators.trees import REFRESH, TIE, Node, TreeConfig
+from tessella.sources.staging import Scratch
 
 
 def vector_histogram(df: DataFrame, bins: dict[str, Column], g: list[Column], h: list[Column], node: Column) -> DataFrame:
@@ -24,14 +26,17 @@ def vector_histogram(df: DataFrame, bins: dict[str, Column], g: list[Column], h:
 
 
 def vector_tree(df: DataFrame, bins: dict[str, Column], g: list[Column], h: list[Column], cfg: TreeConfig) -> list[tuple[Node, list[float]]]:
-    """One tree for all outputs: splits by the sum of their gains, a value for each output in every leaf."""
+    """One tree for all outputs: splits by the sum of their gains, a value for each output in every leaf.
+
+    Missing values (bin 0) go to the side that gains more, to the left if there are none.
+    """
     k, lam = len(g), cfg.lam
     tree: list[tuple[Node, list[float]]] = [(Node(), [0.0] * k)]
     open_nodes = {0}
 
     def place(at: int = 0) -> Column:
         n = tree[at][0]
-        return F.lit(at) if n.left < 0 else F.when(bins[list(bins)[n.feature]] <= n.bin, place(n.left)).otherwise(place(n.right))
+        return F.lit(at) if n.left < 0 else F.when(goes_left(n, bins), place(n.left)).otherwise(place(n.right))
 
     for depth in range(cfg.depth + 1):
         rows = df.withColumn("__node", place()).where(F.col("__node").isin(sorted(open_nodes)))
@@ -48,15 +53,20 @@ def vector_tree(df: DataFrame, bins: dict[str, Column], g: list[Column], h: list
             score = lambda v: sum(v[1 + 2 * i] ** 2 / (v[2 + 2 * i] + lam) for i in range(k))
             best = None
             for f in sorted(by[at]) if depth < cfg.depth else ():
-                left = [0.0] * len(total)
-                for b in sorted(by[at][f])[:-1]:
-                    left = [x + y for x, y in zip(left, by[at][f][b])]
-                    right = [x - y for x, y in zip(total, left)]
-                    gain = 0.5 * (score(left) + score(right) - score(total))
-                    if min(left[0], right[0]) >= cfg.least_rows and gain > max(cfg.least_gain, 1e-12) and (best is None or gain > best[0]):
-                        best = (gain, f, b)
+                for missing_left in (True, False) if 0 in by[at][f] else (True,):
+                    left = [0.0] * len(total)
+                    for b in sorted(by[at][f]):
+                        if not missing_left and b == 0:
+                            continue
+                        left = [x + y for x, y in zip(left, by[at][f][b])]
+                        right = [x - y for x, y in zip(total, left)]
+                        if min(left[0], right[0]) < max(1, cfg.least_rows):
+                            continue
+                        gain = 0.5 * (score(left) + score(right) - score(total))
+                        if gain > max(cfg.least_gain, 1e-12) and (best is None or gain > best[0] * (1 + TIE)):
+                            best = (gain, f, b, missing_left)
             if best:
-                n.gain, n.feature, n.bin = best
+                n.gain, n.feature, n.bin, n.missing_left = best
                 n.left, n.right = len(tree), len(tree) + 1
                 tree += [(Node(), [0.0] * k), (Node(), [0.0] * k)]
                 open_nodes |= {n.left, n.right}
@@ -65,37 +75,43 @@ def vector_tree(df: DataFrame, bins: dict[str, Column], g: list[Column], h: list
     return tree
 
 
+def goes_left(n: Node, bins: dict[str, Column]) -> Column:
+    x = bins[list(bins)[n.feature]]
+    return (x <= n.bin) if n.missing_left else (x <= n.bin) & (x > 0)
+
+
 def vector_value(tree: list, bins: dict[str, Column], output: int, at: int = 0) -> Column:
     n, values = tree[at]
     if n.left < 0:
         return F.lit(float(values[output]))
-    return F.when(bins[list(bins)[n.feature]] <= n.bin, vector_value(tree, bins, output, n.left)).otherwise(vector_value(tree, bins, output, n.right))
+    return F.when(goes_left(n, bins), vector_value(tree, bins, output, n.left)).otherwise(vector_value(tree, bins, output, n.right))
 
 
-def train_multilabel(df: DataFrame, features: list[str], labels: list[str], cfg: TreeConfig, offsets: dict[str, Column] | None = None) -> tuple[dict, list[float], list]:
-    """(bounds, base log-odds, trees) of vector trees on the log-loss of every label.
+def train_multilabel(df: DataFrame, features: list[str], labels: list[str], cfg: TreeConfig, offsets: dict[str, Column] | None = None, loss: str = "log_loss") -> tuple[dict, list[float], list]:
+    """(bounds, base log-odds, trees) of vector trees on every label's loss, ``log_loss`` or ``focal``.
 
-    ``offsets`` are raw scores that the trees add to, in place of the labels' base rates.
-    The binned rows and each round's raw scores are data, so that rounds don't repeat work.
+    ``offsets`` are raw scores that the trees add to, in place of the labels' base rates. A
+    row without one of the labels takes no part in that label. The binned rows and their raw
+    scores are a written table, which ends the lineage every few rounds.
     """
+    of = LOSSES[loss]
     bounds = boundaries(df, features, cfg.bins)
     means = df.agg(*[F.avg(y).alias(y) for y in labels]).first()
     base = [0.0 if offsets else math.log(min(max(means[y] or 0.0, 1e-6), 1 - 1e-6) / (1 - min(max(means[y] or 0.0, 1e-6), 1 - 1e-6))) for y in labels]
     start = [offsets[y] if offsets else F.lit(b) for y, b in zip(labels, base)]
-    scored = df.select(*[F.col(y).cast("double").alias(f"__y{k}") for k, y in enumerate(labels)], *[s.cast("double").alias(f"__r{k}") for k, s in enumerate(start)], *[binned(F.col(f), bounds[f]).cast("short").alias(f"__b_{f}") for f in features]).persist()
+    columns = [*[F.col(y).cast("double").alias(f"__y{k}") for k, y in enumerate(labels)], *[s.cast("double").alias(f"__r{k}") for k, s in enumerate(start)], *[binned(F.col(f), bounds[f]).cast("short").alias(f"__b_{f}") for f in features]]
     bins = {f: F.col(f"__b_{f}") for f in features}
     trees: list = []
-    held = scored
-    for r in range(cfg.rounds):
-        p = [sigmoid(F.col(f"__r{k}")) for k in range(len(labels))]
-        trees.append(vector_tree(scored, bins, [q - F.col(f"__y{k}") for k, q in enumerate(p)], [F.greatest(q * (1 - q), F.lit(1e-7)) for q in p], cfg))
-        scored = scored.withColumns({f"__r{k}": F.col(f"__r{k}") + vector_value(trees[-1], bins, k) for k in range(len(labels))})
-        if (r + 1) % REFRESH == 0:
-            scored = scored.persist()
-            scored.count()
-            held.unpersist()
-            held = scored
-    held.unpersist()
+    with Scratch(df.sparkSession, "labels") as scratch:
+        scored = scratch.put(df.select(*columns))
+        for r in range(cfg.rounds):
+            pairs = [of.pair(F.col(f"__y{k}"), F.col(f"__r{k}")) for k in range(len(labels))]
+            g, h = ([F.coalesce(p[i], F.lit(0.0)) for p in pairs] for i in (0, 1))
+            h = [F.when(F.col(f"__y{k}").isNull(), 0.0).otherwise(x) for k, x in enumerate(h)]
+            trees.append(vector_tree(scored, bins, g, h, cfg))
+            scored = scored.withColumns({f"__r{k}": F.col(f"__r{k}") + vector_value(trees[-1], bins, k) for k in range(len(labels))})
+            if (r + 1) % REFRESH == 0:
+                scored = scratch.replace(scored)
     return bounds, base, trees
 
 

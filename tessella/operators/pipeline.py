@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.scalar import clean
 from tessella.operators.encoding import UNKNOWN, apply_dictionary, binned, boundaries
-from tessella.operators.profile import drop_reason, profile, split_by_type
+from tessella.operators.profile import drop_reason, id_like_name, profile, split_by_type
 
 
 @dataclass
@@ -147,17 +147,24 @@ def eras(df: DataFrame, column: str, order: str) -> DataFrame:
 
 
 def row_id_like(df: DataFrame, column: str, order: str, rows: int = 1000) -> DataFrame:
-    """Whether the first rows count up by one from 0 or 1: the test that finds row ids."""
-    head = df.orderBy(order).limit(rows)
-    n = F.row_number().over(Window.orderBy(order))
-    d = head.select((F.col(column) - n).alias("d"))
-    return d.agg(((F.min("d") == F.max("d")) & F.min("d").isin(-1, 0) & (F.count("*") > 10)).alias("is_row_id"))
+    """Whether the first rows count up by one from 0 or 1: the test that finds row ids. NULLs are passed over; more than ten values must be there."""
+    return row_ids(df, [column], order, rows).select("is_row_id")
+
+
+def row_ids(df: DataFrame, columns: list[str], order: str, rows: int = 1000) -> DataFrame:
+    """(column, is_row_id, id_name) of numeric columns: what their first values tell, and what their names do."""
+    head = df.select(F.col(order).alias("__order"), *columns).orderBy("__order").limit(rows)
+    head = head.withColumn("__n", F.row_number().over(Window.orderBy("__order")))
+    away = lambda c: F.col(c).cast("double") - F.col("__n")
+    steady = lambda c: F.coalesce((F.min(away(c)) == F.max(away(c))) & F.min(away(c)).isin(-1.0, 0.0) & (F.count(c) > 10), F.lit(False))
+    found = head.agg(*[steady(c).alias(f"r{i}") for i, c in enumerate(columns)])
+    return found.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"r{i}").alias("is_row_id"), F.lit(id_like_name(c)).alias("id_name")) for i, c in enumerate(columns)])))
 
 
 def monotonicity(df: DataFrame, x: str, y: str, key: str, sample: int = 400) -> DataFrame:
-    """|concordant - discordant| share of all pairs of a hashed sample of bounded size."""
+    """|concordant - discordant| share of the pairs that tie in neither column, of a hashed sample of bounded size; 0.5 where there are none."""
     rows = df.orderBy(F.xxhash64(key), key).limit(sample).select(F.col(x).alias("x"), F.col(y).alias("y"))
     listed = rows.agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("a"))
     a = F.explode(F.transform("a", lambda p: p)).alias("p")
-    pairs = listed.select("a", a).select(F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.explode("a").alias("q")).where("q.x > x")
-    return pairs.agg(F.try_divide(F.abs(F.sum(F.signum(F.col("q.y") - F.col("y")))), F.count("*")).alias("monotonicity"))
+    pairs = listed.select("a", a).select(F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.explode("a").alias("q")).where("q.x > x and q.y <> y")
+    return pairs.agg(F.coalesce(F.try_divide(F.abs(F.sum(F.signum(F.col("q.y") - F.col("y")))), F.count("*")), F.lit(0.5)).alias("monotonicity"))

@@ -24,10 +24,19 @@ def split_by_type(df: DataFrame, exclude: tuple[str, ...] = ()) -> tuple[list[st
 
 
 def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """A row for each column from one pass: rows, null ratio, distinct values, constant, binary, least, largest, moments."""
+    """A row for each column from one pass: rows, null ratio, distinct values, constant, binary, least, largest, moments.
+
+    Distinct values are counted exactly, which multiplies rows by columns, or else by sketches
+    that are exact up to some thousands of values; then only columns whose estimate lies near
+    a limit that decides on them are counted exactly, so that decisions are the same.
+    """
     columns = columns or df.columns
     numeric = set(numeric_columns(df))
-    distinct = F.count_distinct if exact else F.approx_count_distinct
+    counts = {} if exact else distinct_counts(df, columns)
+
+    def distinct(c: str) -> Column:
+        return F.count_distinct(c) if exact else F.lit(counts[c])
+
     stats: list[Column] = []
     for c in columns:
         d = F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")
@@ -42,6 +51,30 @@ def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = True)
     return row.withColumns({"is_constant": F.col("n_unique") <= 1, "is_binary": F.col("n_unique") == 2, "has_negative": F.coalesce(F.col("min") < 0, F.lit(False)), "kind": inferred_kind()})
 
 
+#: Nominal entries (as a power of two) of a column's distinct sketch, which is exact below them, and how far around a limit an estimate is in doubt.
+ENTRIES, DOUBT = 12, 0.08
+#: Shares of the rows at which distinct values decide: ids and text.
+LIMITS = (0.85, 0.9)
+
+
+def distinct_sketch(df: DataFrame, c: str) -> Column:
+    """The distinct values of a column by a mergeable sketch; partial sketches are merged, rows aren't multiplied."""
+    kind = dict(df.dtypes)[c]
+    value = F.col(c) if kind in ("int", "bigint", "double", "string") else F.col(c).cast("double") if c in numeric_columns(df) else F.col(c).cast("string")
+    return F.coalesce(F.theta_sketch_estimate(F.theta_sketch_agg(value, ENTRIES)), F.lit(0)).cast("long")
+
+
+def distinct_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """Distinct non-NULL values by sketches, and exactly where an estimate is near a share of the rows that decides."""
+    row = df.agg(F.count("*").alias("n"), *[distinct_sketch(df, c).alias(f"d{i}") for i, c in enumerate(columns)]).first()
+    found = {c: row[f"d{i}"] for i, c in enumerate(columns)}
+    near = lambda n: n > 2**ENTRIES // 2 and any(abs(n - x * row.n) <= DOUBT * x * row.n for x in LIMITS)
+    doubtful = [c for c in columns if near(found[c])]
+    for c in doubtful:  # one after another: together they would multiply the rows
+        found[c] = df.agg(F.count_distinct(c)).first()[0]
+    return found
+
+
 def inferred_kind() -> Column:
     """numeric, text or categorical, by distinct values and their mean length."""
     ratio = F.col("n_unique") / F.greatest(F.col("rows"), F.lit(1))
@@ -49,12 +82,23 @@ def inferred_kind() -> Column:
     return F.when(F.col("numeric"), "numeric").when(text, "text").otherwise("categorical")
 
 
+#: Names of row ids, and how names of ids begin and end.
+ID_NAMES = ("id", "index", "idx", "row", "row_id", "rowid", "row_num", "row_number")
+ID_BEGINS, ID_ENDS = ("id_",), ("_id", "id", "_index")
+
+
+def id_like_name(name: str) -> bool:
+    """Whether a column is called like an id, in letters of any case."""
+    low = name.lower()
+    return low in ID_NAMES or low.startswith(ID_BEGINS) or low.endswith(ID_ENDS)
+
+
 def drop_reason(name: str, p: dict) -> str | None:
     """Why a column is of no use as a feature."""
     if p["is_constant"]:
         return "constant"
     # Distinct counts may be estimates.
-    if p["rows"] > 10 and p["n_unique"] >= 0.85 * p["rows"] and (name == "id" or name.endswith(("_id", "id", "key"))):
+    if p["rows"] > 10 and p["n_unique"] >= 0.85 * p["rows"] and (id_like_name(name) or name.endswith("key")):
         return "id"
     return "text" if p["kind"] == "text" else None
 
@@ -62,7 +106,8 @@ def drop_reason(name: str, p: dict) -> str | None:
 def task_of(df: DataFrame, y: str) -> str:
     """binary, multiclass or regression by the target's distinct rounded values."""
     v = F.col(y).cast("double")
-    whole, n = df.agg(F.avg((F.abs(v - F.round(v)) < 0.01).cast("int")), F.count_distinct(F.round(v))).first()
+    rounded = df.select(v.alias("v"), F.round(v).alias("r"))
+    whole, n = rounded.agg(F.avg((F.abs(F.col("v") - F.col("r")) < 0.01).cast("int")), distinct_sketch(rounded, "r")).first()
     if (whole or 0) < 0.9:
         return "regression"
     return "binary" if n == 2 else "multiclass" if 3 <= n <= 20 else "regression"

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessella.functions.losses import LOSSES, Loss, entropy2
 from tessella.operators.encoding import binned, boundaries
 from tessella.operators.ordering import quantiles
+from tessella.sources.staging import Scratch
 
 
 def histogram(df: DataFrame, bins: dict[str, Column], g: Column, h: Column, *keys: Column) -> DataFrame:
@@ -445,17 +446,18 @@ def train_gbdt(df: DataFrame, features: list[str], target: str, key: str, cfg: T
     splits must point the same way in every era. After each round ``on_round(round, loss on
     the validation rows or None)`` is called; training ends where it returns False.
 
-    The binned table is persisted; each round's predictions are an expression of it, and
-    become data again every few rounds so that plans stay short.
+    The binned table is persisted; each round's predictions are an expression of it, and are
+    written every few rounds, which keeps plans short and ends the lineage.
     """
     loss: Loss = LOSSES[cfg.loss]
+    scratch = Scratch(df.sparkSession, "boosting")
     bounds = start.bounds if start else boundaries(df, features, cfg.bins)
     known = lambda t: t.select(F.col(target).cast("double").alias("y"), F.col(key).alias("key"), (F.col(era) if era else F.lit(0)).alias("era"), *[binned(F.col(f), bounds[f]).cast("short").alias(f"__b_{f}") for f in features]).where("y is not null")
     u = uniform(F.col("key"), cfg.seed, 7)
     rows = known(df).withColumn("part", F.when(u < cfg.calibration, "calibration").when(u < cfg.calibration + (0 if validation is not None else cfg.validation), "validation").otherwise("train"))
     if validation is not None:
         rows = rows.unionByName(known(validation).withColumn("part", F.lit("validation")))
-    held = [rows.persist()]
+    rows.persist()
     try:
         bins = {f: F.col(f"__b_{f}") for f in features}
         base = start.base if start else float(rows.where("part = 'train'").agg(loss.start(F.col("y"))).first()[0] or 0.0)
@@ -481,11 +483,7 @@ def train_gbdt(df: DataFrame, features: list[str], target: str, key: str, cfg: T
             if not cfg.forest:
                 scored = scored.withColumn("pred", F.col("pred") + tree_value(tree, bins))
                 if (r + 1) % REFRESH == 0 and r + 1 < cfg.rounds:
-                    scored = scored.persist()
-                    scored.count()
-                    for old in held[1:]:
-                        old.unpersist()
-                    held[1:] = [scored]
+                    scored = scratch.replace(scored)
             value = None
             if watched and (cfg.patience or on_round):
                 now = rows.withColumn("pred", model.raw()) if cfg.forest else scored
@@ -505,8 +503,8 @@ def train_gbdt(df: DataFrame, features: list[str], target: str, key: str, cfg: T
             model.interval = conformal(out, F.abs(F.col("y") - F.col("pred")), cfg.quantile)
         return model
     finally:
-        for old in held:
-            old.unpersist()
+        rows.unpersist()
+        scratch.close()
 
 
 def conformal(df: DataFrame, residual: Column, q: float) -> float | None:

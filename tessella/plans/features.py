@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.functions import scalar as S
+from tessella.operators import spread as Z
 from tessella.operators import windows as W
 from tessella.plans.registry import query, r6
 from tessella.sources.tables import table
@@ -167,6 +168,19 @@ def ts06(spark, d):
     return with_columns(df, ["event_id"], {c: F.col(c) for c in ("value_lag_1", "value_roll_7_mean", "value_momentum_1")})
 
 
+_ONE = "ORDER BY ts, event_id"
+
+
+@query("ts09_one_group", f"""SELECT event_id, round(lag(value,7) OVER w,6) AS lag_7, round(avg(value) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW),6) AS mean_7, round(CASE WHEN abs(lag(value,1) OVER w) > 1e-10 THEN (value - lag(value,1) OVER w)/lag(value,1) OVER w END,6) AS momentum_1,
+round(list_reduce(list(value) OVER (w ROWS BETWEEN 400 PRECEDING AND CURRENT ROW), lambda a, x: 0.3*x+0.7*a),6) AS ewma FROM events WINDOW w AS ({_ONE})""")
+def ts09(spark, d):
+    """All events as one group, which is cut into chunks of 1,000 rows. (In the SQL, what is older than 400 rows weighs below 1e-60.)"""
+    df = table(spark, d, "events").withColumn("all", F.lit(1))
+    config = W.TimeSeriesConfig((7,), (7,), ("mean",), (0.3,), (1,))
+    out = Z.spread_time_series(df, "all", ["ts", "event_id"], ["value"], config, 1000)
+    return with_columns(out, ["event_id"], {"lag_7": F.col("value_lag_7"), "mean_7": F.col("value_roll_7_mean"), "momentum_1": F.col("value_momentum_1"), "ewma": F.col("`value_ewma_0.30`")})
+
+
 def _preset_sql(config) -> str:
     at = lambda k: f"lag(value,{k}) OVER w"
     cols = {f"value_lag_{k}": at(k) for k in config.lags}

@@ -22,6 +22,7 @@ from tessella.operators import sketch as K
 from tessella.operators import trees as T
 from tessella.operators import tuning as U
 from tessella.operators import windows as W
+from tessella.operators.encoding import binned, boundaries
 from tessella.plans.features import KEYS, LINE, line
 from tessella.plans.models import _BINS, _CUT, _Q, FEATURES, TARGET, classed, rows
 from tessella.plans.preparation import _KINDS
@@ -79,14 +80,21 @@ def pr04(spark, d):
     return spark.createDataFrame([(c,) for c in L.useful_columns(df, "o_totalprice")], "feature string")
 
 
-@query("ag05_row_id", "SELECT true AS is_row_id")
+@query("ag05_row_id", """WITH h AS (SELECT event_id-(SELECT min(event_id) FROM events)+1 AS row_id, user_id, value FROM events ORDER BY event_id LIMIT 1000), n AS (SELECT *, row_number() OVER (ORDER BY row_id) n FROM h),
+d AS (SELECT unnest(['row_id','user_id','value']) AS c, unnest([row_id-n, user_id-n, value-n]) AS d FROM n)
+SELECT c AS "column", min(d) = max(d) AND min(d) IN (-1, 0) AND count(d) > 10 AS is_row_id, c <> 'value' AS id_name FROM d GROUP BY c""")
 def ag05(spark, d):
-    return L.row_id_like(table(spark, d, "events").withColumn("n", F.col("event_id") - F.lit(table(spark, d, "events").agg(F.min("event_id")).first()[0])), "n", "event_id")
+    """Of three numeric columns the one that counts rows, and those called like ids."""
+    events = table(spark, d, "events")
+    first = events.agg(F.min("event_id")).first()[0]
+    return L.row_ids(events.select((F.col("event_id") - first + 1).alias("row_id"), "user_id", "value", "event_id"), ["row_id", "user_id", "value"], "event_id")
 
 
-@query("ag11_monotonicity", "SELECT 1.0::DOUBLE AS monotonicity")
+@query("ag11_monotonicity", """WITH p AS (SELECT sign(b.s_nationkey-a.s_nationkey) s FROM supplier a JOIN supplier b ON b.s_acctbal > a.s_acctbal WHERE a.s_nationkey <> b.s_nationkey)
+SELECT round(abs(sum(s))/count(*),6) AS monotonicity FROM p""")
 def ag11(spark, d):
-    return L.monotonicity(table(spark, d, "orders").withColumn("y", F.col("o_totalprice") * 2), "o_totalprice", "y", "o_orderkey")
+    """Over all pairs of suppliers, since there are fewer than the sample takes."""
+    return L.monotonicity(table(spark, d, "supplier"), "s_acctbal", "s_nationkey", "s_suppkey", 1000).select(r6("monotonicity").alias("monotonicity"))
 
 
 @query("ag12_discrete_target", "SELECT count(DISTINCT floor(p_retailprice*1000)) <= 20 AS is_discrete, count(DISTINCT floor(p_retailprice*1000)) AS n FROM part")
@@ -155,11 +163,12 @@ def ag15(spark, d):
 
 @query("ag19_sibling", f"SELECT CAST(floor(l_quantity/10) AS INT) AS bin, count(*) FILTER (WHERE l_tax > 0.04) AS n FROM lineitem GROUP BY 1")
 def ag19(spark, d):
-    df = line(spark, d)
+    """What a parent's bins hold less a child's is the other child's, read nowhere."""
+    df, node = line(spark, d), F.lit(1).alias("node")
     bins = {"l_quantity": F.floor(F.col("l_quantity") / 10).cast("int")}
-    parent, child = T.histogram(df, bins, F.lit(1.0), F.lit(1.0)), T.histogram(df.where("l_tax <= 0.04"), bins, F.lit(1.0), F.lit(1.0))
-    child = child.select("feature", "bin", F.col("n").alias("m"))
-    return parent.join(child, ["feature", "bin"], "left").select("bin", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n"))
+    parent, child = (T.collected(T.histogram(part, bins, F.lit(1.0), F.lit(1.0), node).collect())[1] for part in (df, df.where("l_tax <= 0.04")))
+    other = T.sibling(parent, child)[0]
+    return spark.createDataFrame([(b, int(n)) for b, (_, _, n) in other.items()], "bin int, n long")
 
 
 @query("ag20_vector_histogram", "SELECT CAST(l_linenumber AS INT) AS bin, count(*) AS n, round(sum(l_tax),4) AS g0, round(sum(l_discount),4) AS g1 FROM lineitem GROUP BY 1")
@@ -301,6 +310,22 @@ def bo02c(spark, d):
     return out.agg(r6(E.multiclass_log_loss(F.col("c"), [F.col(f"p_{k}") for k in range(3)])).alias("log_loss"), r6(F.avg((F.col("predicted") == F.col("c")).cast("double"))).alias("accuracy"))
 
 
+_LABEL_STUMP = f"""{_STUMP_ROWS}, m AS (SELECT 0 AS k, avg(CAST(y > 20 AS INT)) p FROM r UNION ALL SELECT 1, avg(CAST(f2 > 4 AND y < 30 AS INT)) FROM r),
+t AS (SELECT k, p-CAST(CASE k WHEN 0 THEN y > 20 ELSE f2 > 4 AND y < 30 END AS INT) AS g, p*(1-p) AS h, f0, f1, f2 FROM r, m), {_LONG}, {_BEST_STUMP},
+w AS (SELECT feature, bin, low FROM d WHERE nl >= 1 AND nt > nl GROUP BY 1,2,3 ORDER BY round(sum(gl*gl/(hl+1)+(gt-gl)*(gt-gl)/(ht-hl+1)-gt*gt/(ht+1)),7) DESC, feature, low, bin LIMIT 1)"""
+
+
+@query("bo03_vector_stump", _LABEL_STUMP + " SELECT CAST(k AS INT) AS label, CAST(d.feature AS INT) AS feature, CAST(d.bin AS INT) AS bin, d.low = 0 AS missing_left, round(-gl/(hl+1)*0.5,6) AS left_value, round(-(gt-gl)/(ht-hl+1)*0.5,6) AS right_value FROM d JOIN w USING (feature, bin, low)")
+def bo03b(spark, d):
+    """One split of a tree for two labels, by the sum of their gains."""
+    bounded = rows(spark, d)
+    cut = boundaries(bounded, ["l_tax"], 8)["l_tax"]
+    df = bounded.withColumns({"u": (F.col("y") > 20).cast("double"), "v": ((binned(F.col("l_tax"), cut) > 4) & (F.col("y") < 30)).cast("double")})
+    (top, _), (_, left), (_, right) = B.train_multilabel(df, FEATURES, ["u", "v"], STUMP)[2][0]
+    found = [(k, top.feature, top.bin, top.missing_left, round(left[k], 6), round(right[k], 6)) for k in (0, 1)]
+    return spark.createDataFrame(found, "label int, feature int, bin int, missing_left boolean, left_value double, right_value double")
+
+
 _TRIALS = f"""{_STUMP_ROWS}, n AS (SELECT era, row_number() OVER (ORDER BY era) i, count(*) OVER () a FROM (SELECT DISTINCT era FROM r)),
 q AS (SELECT r.*, i > a - greatest(1, ceil(a*0.2)) AS held FROM r JOIN n USING (era)), m AS (SELECT 0 AS k, avg(y) m FROM q WHERE NOT held),
 t AS (SELECT k, m-y AS g, 1.0 AS h, f0, f1, f2 FROM q, m WHERE NOT held), {_LONG}, {_BEST_STUMP},

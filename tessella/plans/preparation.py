@@ -216,7 +216,9 @@ def ag01(spark, d):
 
 @query("ag02_moments", "WITH m AS (SELECT avg(o_totalprice) m, stddev_pop(o_totalprice) s FROM orders) SELECT round(avg(pow((o_totalprice-m)/s,3)),6) AS skewness, round(avg(pow((o_totalprice-m)/s,4))-3,6) AS kurtosis, round(corr(o_totalprice,o_custkey),6) AS corr FROM orders, m")
 def ag02(spark, d):
-    return table(spark, d, "orders").agg(r6(F.skewness("o_totalprice")).alias("skewness"), r6(F.kurtosis("o_totalprice")).alias("kurtosis"), r6(F.corr("o_totalprice", "o_custkey")).alias("corr"))
+    df = table(spark, d, "orders")
+    both = R.correlations(df, ["o_totalprice", "o_custkey"]).select(r6("corr").alias("corr"))
+    return R.profile(df, ["o_totalprice"], exact=False).select(r6("skewness").alias("skewness"), r6("kurtosis").alias("kurtosis")).crossJoin(both)
 
 
 _KINDS = " UNION ALL ".join(f"SELECT '{c}' AS c, count(*) n, count(DISTINCT {c}) u, {'NULL' if num else f'avg(length(CAST({c} AS VARCHAR)))'} l, {num} AS num FROM orders" for c, num in (("o_orderkey", True), ("o_custkey", True), ("o_orderstatus", False), ("o_totalprice", True), ("o_orderdate", False), ("o_orderpriority", False)))

@@ -46,4 +46,7 @@ class Scratch:
         return self
 
     def __exit__(self, kind: type[BaseException] | None, value: BaseException | None, trace: TracebackType | None) -> None:
+        self.close()
+
+    def close(self) -> None:
         delete(self.spark, self.root)

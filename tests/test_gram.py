@@ -80,3 +80,22 @@ def test_newton_on_other_losses_and_odd_tables(spark):
     same = df.withColumn("y", F.lit(1.0)).withColumn("b", F.lit(None).cast("double"))
     assert all(map(math.isfinite, linear.fit_newton(same, ["a", "b"], "y", lam=1.0).weights))
     assert linear.fit_newton(df.limit(0), ["a"], "y").weights == [0.0, 0.0]
+
+
+def test_profiles_by_sketches_decide_like_exact_ones(spark):
+    n = 12_000
+    df = spark.range(n).select(
+        F.col("id").alias("row_id"), (F.col("id") % 10_300).alias("nearly_id"), (F.col("id") % 9_000).alias("not_id"), (F.col("id") % 2).alias("two"), F.lit(7).alias("one"), F.lit(None).cast("double").alias("none"),
+        F.concat(F.lit("a rather long text "), F.col("id") % 101).alias("text"), F.concat(F.lit("a rather long text "), F.col("id") % 100).alias("words"), F.when(F.col("id") % 3 == 0, F.col("id") / 7).alias("third"), (F.col("id") % 5 == 0).alias("flag"), F.current_date().alias("day"),
+    )
+    exact = {r.column: r.asDict() for r in profile.profile(df).collect()}
+    quick = {r.column: r.asDict() for r in profile.profile(df, exact=False).collect()}
+    for c, p in exact.items():
+        q = quick[c]
+        assert (q["kind"], q["is_constant"], q["is_binary"], profile.drop_reason(c, q)) == (p["kind"], p["is_constant"], p["is_binary"], profile.drop_reason(c, p))
+        assert q["n_unique"] == p["n_unique"] if p["n_unique"] < 2000 else abs(q["n_unique"] - p["n_unique"]) < 0.06 * p["n_unique"]
+    assert quick["nearly_id"]["n_unique"] == 10_300
+    plan = df.agg(*[profile.distinct_sketch(df, c) for c in df.columns])._jdf.queryExecution().toString()
+    assert "Expand" not in plan
+    assert [profile.task_of(df, c) for c in ("two", "one", "third", "row_id")] == ["binary", "regression", "regression", "regression"]
+    assert profile.profile(df.limit(0), exact=False).count() == len(df.columns)
