@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -310,6 +311,37 @@ def bo02c(spark, d):
     return out.agg(r6(E.multiclass_log_loss(F.col("c"), [F.col(f"p_{k}") for k in range(3)])).alias("log_loss"), r6(F.avg((F.col("predicted") == F.col("c")).cast("double"))).alias("accuracy"))
 
 
+_BINARY_STUMP = f"""{_STUMP_ROWS}, c AS (SELECT *, CAST(y > 25 AS INT) c FROM r), m AS (SELECT 0 AS k, avg(c) p FROM c), t AS (SELECT k, p-c AS g, p*(1-p) AS h, f0, f1, f2 FROM c, m), {_LONG}, {_BEST_STUMP},
+q AS (SELECT c, 1/(1+exp(-(ln(p/(1-p))+{_LEAF}))) AS q FROM c, m JOIN best USING (k))"""
+
+
+@query("bo06_binary_stump", _BINARY_STUMP + " SELECT round(avg(-(c*ln(q)+(1-c)*ln(1-q))),6) AS log_loss, round(avg(CAST((q >= 0.5) = (c = 1) AS INT)),6) AS accuracy, round(coalesce(2.0*sum(CASE WHEN q >= 0.5 THEN c ELSE 0 END)/nullif(sum(CAST(q >= 0.5 AS INT))+sum(c),0),0),6) AS f1 FROM q")
+def bo06b(spark, d):
+    """One split of a two-class model by log-loss, and what its probabilities are worth."""
+    df = rows(spark, d).withColumn("b", (F.col("y") > 25).cast("double"))
+    out = T.train_gbdt(df, FEATURES, "b", "key", replace(STUMP, loss="log_loss")).predict(df)
+    return out.agg(*[r6(c).alias(n) for n, c in E.binary_metrics(F.col("b"), F.col("prediction")).items()])
+
+
+_SHARES = f"""{_STUMP_ROWS}, m AS (SELECT 0 AS k, avg(y) m FROM r), t AS (SELECT k, m-y AS g, 1.0 AS h, f0, f1, f2 FROM r, m), {_LONG}, {_BEST_STUMP},
+w AS (SELECT feature, {_LEAF} AS v FROM r, best), a AS (SELECT feature, avg(abs(v-mean)) AS a FROM w, (SELECT avg(v) AS mean FROM w) GROUP BY feature)"""
+
+
+@query("bo09_stump_attributions", _SHARES + " SELECT " + ", ".join(f"round(CASE WHEN feature = {i} THEN a ELSE 0 END,6) AS attr_{f}" for i, f in enumerate(FEATURES)) + " FROM a")
+def bo09b(spark, d):
+    """What each feature's split moves predictions by, on average."""
+    df = rows(spark, d)
+    out = T.train_gbdt(df, FEATURES, "y", "key", STUMP).attributions(df)
+    return out.agg(*[r6(F.avg(F.abs(f"attr_{f}"))).alias(f"attr_{f}") for f in FEATURES])
+
+
+@query("so02_stump_features", _SHARES + f" SELECT name AS feature, round(CASE WHEN feature = i THEN a ELSE 0 END,6) AS attribution FROM a, (VALUES {', '.join(f'({i}, {f!r})' for i, f in enumerate(FEATURES))}) n(i, name) ORDER BY 2 DESC, 1 LIMIT 2")
+def so02b(spark, d):
+    """The two features that move predictions most."""
+    df = rows(spark, d)
+    return T.train_gbdt(df, FEATURES, "y", "key", STUMP).top_features(df, 2).withColumn("attribution", r6("attribution"))
+
+
 _LABEL_STUMP = f"""{_STUMP_ROWS}, m AS (SELECT 0 AS k, avg(CAST(y > 20 AS INT)) p FROM r UNION ALL SELECT 1, avg(CAST(f2 > 4 AND y < 30 AS INT)) FROM r),
 t AS (SELECT k, p-CAST(CASE k WHEN 0 THEN y > 20 ELSE f2 > 4 AND y < 30 END AS INT) AS g, p*(1-p) AS h, f0, f1, f2 FROM r, m), {_LONG}, {_BEST_STUMP},
 w AS (SELECT feature, bin, low FROM d WHERE nl >= 1 AND nt > nl GROUP BY 1,2,3 ORDER BY round(sum(gl*gl/(hl+1)+(gt-gl)*(gt-gl)/(ht-hl+1)-gt*gt/(ht+1)),7) DESC, feature, low, bin LIMIT 1)"""
