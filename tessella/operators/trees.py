@@ -6,7 +6,7 @@ import heapq
 import json
 import math
 import random
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,6 +104,25 @@ class TreeConfig:
     quantile: float = 0.9
 
 
+#: What each preset changes in a configuration.
+PRESETS: dict[str, dict] = {
+    "standard": {},
+    "speed": {"depth": 4, "goss": (0.2, 0.1)},
+    "accuracy": {"depth": 10, "rate": 0.05, "rounds": 200, "subsample": 0.8, "colsample": 0.8},
+    "small_data": {"subsample": 1.0, "colsample": 1.0, "goss": None},
+    "large_data": {"subsample": 0.8, "goss": (0.2, 0.1)},
+    "robust": {"subsample": 0.8, "colsample": 0.8, "goss": None},
+    "conformal": {"calibration": 0.2, "quantile": 0.9},
+}
+
+
+def preset(name: str, base: TreeConfig | None = None) -> TreeConfig:
+    """A configuration (by default 100 rounds at a rate of 0.1) with a preset's settings; unknown names are an error."""
+    if name not in PRESETS:
+        raise ValueError(f"unknown preset {name}: one of {', '.join(PRESETS)}")
+    return replace(base or TreeConfig(rounds=100), **PRESETS[name])
+
+
 def uniform(key: Column, seed: int, salt: int = 0) -> Column:
     """A number in [0, 1) from a row's key: the same on every run and after every retry."""
     return F.pmod(F.xxhash64(key, F.lit(seed * 1_000_003 + salt)), F.lit(1 << 30)) / float(1 << 30)

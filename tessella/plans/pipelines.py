@@ -49,6 +49,24 @@ def io06(spark, d):
     return p.encode(df, ["p_partkey"]).select("p_partkey", r6("p_brand").alias("p_brand"))
 
 
+@query("io06_rare_and_missing", """WITH n AS (SELECT p_size, count(*) n FROM part GROUP BY 1), r AS (SELECT p_partkey, CASE WHEN n >= 40 THEN CAST(p_size AS VARCHAR) ELSE 'unknown' END c, CASE WHEN p_partkey % 5 <> 0 THEN p_retailprice END x, p_retailprice y FROM part JOIN n USING (p_size)),
+m AS (SELECT avg(y) m, quantile_disc(x, 0.5) h FROM r), g AS (SELECT c, count(*) n, sum(y) s FROM r GROUP BY 1) SELECT p_partkey, round((s+10*m)/(n+10),4) AS size, round(coalesce(x,h),4) AS price FROM r JOIN g USING (c), m""")
+def io06b(spark, d):
+    """Sizes of fewer than 40 parts are one category, and missing prices the median."""
+    df = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("string").alias("size"), F.when(F.col("p_partkey") % 5 != 0, F.col("p_retailprice")).alias("price"), F.col("p_retailprice").alias("y"))
+    out = L.Pipeline("y", L.PipelineConfig(least_count=40)).fit(df, ["size", "price"]).encode(df, ["p_partkey"])
+    return out.withColumns({"size": F.round("size", 4), "price": F.round("price", 4)})
+
+
+@query("pp02_forget", "WITH a AS (SELECT avg(l_tax) m, var_pop(l_tax) v FROM lineitem WHERE l_linenumber <= 3), b AS (SELECT avg(l_tax) m, var_pop(l_tax) v FROM lineitem WHERE l_linenumber > 3) SELECT round(0.7*a.m+0.3*b.m,6) AS mean, round(0.7*a.v+0.3*b.v,9) AS variance FROM a, b")
+def pp02b(spark, d):
+    """A scaler that moves three tenths of the way to a newer batch."""
+    df = line(spark, d)
+    old, new = (P.StandardScaler(["l_tax"]).fit(df.where(c)) for c in ("l_linenumber <= 3", "l_linenumber > 3"))
+    p = old.forget(new, 0.3).params["l_tax"]
+    return spark.createDataFrame([(round(p["mean"], 6), round(p["m2"] / p["n"], 9))], "mean double, variance double")
+
+
 @query("io04_eras", "WITH e AS (SELECT year(o_orderdate) y, min(o_orderkey) a FROM orders GROUP BY 1) SELECT CAST(y AS INT) AS y, CAST(row_number() OVER (ORDER BY a)-1 AS INT) AS era FROM e")
 def io04(spark, d):
     return L.eras(table(spark, d, "orders").withColumn("y", F.year("o_orderdate")), "y", "o_orderkey").select("y", F.col("era").cast("int").alias("era"))

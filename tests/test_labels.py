@@ -1,12 +1,13 @@
 """Vector trees for several labels by direct sums."""
 
 import math
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import losses
-from tessella.operators import ensembles, evaluation
+from tessella.operators import cohorts, ensembles, evaluation, trees
 from tessella.operators.trees import TreeConfig
 
 CFG = TreeConfig(rounds=1, rate=0.5, depth=1, leaves=2, bins=6)
@@ -49,6 +50,20 @@ def test_a_split_by_direct_sums(spark, table, loss):
     assert (top.feature, top.bin, top.missing_left) == want[:3] and left == pytest.approx(want[3]) and right == pytest.approx(want[4])
 
 
+def test_presets_change_what_they_name(table):
+    plain = trees.preset("standard")
+    assert (plain.rounds, plain.rate, plain.depth, plain.subsample, plain.colsample, plain.goss) == (100, 0.1, 6, 1.0, 1.0, None)
+    accuracy, robust = trees.preset("accuracy"), trees.preset("robust", TreeConfig(goss=(0.5, 0.5)))
+    assert (accuracy.depth, accuracy.rate, accuracy.rounds, accuracy.subsample, accuracy.colsample) == (10, 0.05, 200, 0.8, 0.8)
+    assert (robust.goss, robust.subsample, robust.colsample) == (None, 0.8, 0.8) and trees.preset("speed").depth == 4
+    short = TreeConfig(rounds=1, leaves=4, bins=8)
+    models = cohorts.train_many(table, ["x0"], "u", "k", [replace(trees.preset(p, short), rounds=1) for p in trees.PRESETS])
+    assert all(len(m.trees) == 1 for m in models)
+    assert trees.train_gbdt(table, ["x0"], "u", "k", trees.preset("conformal", short)).interval is not None
+    with pytest.raises(ValueError, match="unknown preset"):
+        trees.preset("fast")
+
+
 def test_missing_values_take_their_own_side(table):
     model = ensembles.train_multilabel(table, ["x0", "x1"], ["v"], TreeConfig(rounds=8, rate=0.5, depth=2, leaves=4, bins=12))
     out = ensembles.predict_multilabel(table, model, ["v"]).groupBy(F.col("x1").isNull().alias("m")).agg(F.min("p_v"), F.avg("p_v")).collect()
