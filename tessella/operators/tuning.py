@@ -25,7 +25,7 @@ from tessella.operators.cohorts import Member, boost, fold_of, train_many
 from tessella.operators.linear import Linear, fit_linear
 from tessella.operators.ordering import quantiles
 from tessella.operators.pipeline import Pipeline
-from tessella.operators.trees import GBDT, TreeConfig
+from tessella.operators.trees import GBDT, TreeConfig, train_gbdt
 
 
 @dataclass(frozen=True)
@@ -188,7 +188,7 @@ class TreeTrials:
     base: TreeConfig
 
     def __call__(self, train: DataFrame, params: dict) -> Callable[[DataFrame], DataFrame]:
-        return train_many(train, self.features, self.target, self.key, [known_settings(self.base, params)])[0].predict
+        return train_gbdt(train, self.features, self.target, self.key, known_settings(self.base, params)).predict
 
     def together(self, df: DataFrame, trials: list[dict], evaluation: str, metric: str = "rmse", validation: float = 0.2, folds: int = 3, era: str | None = None) -> list[dict]:
         """Each trial's value on held-out rows, by ``holdout``, ``eras`` (the last ones) or ``folds`` (the mean, and how far folds differ).
