@@ -1,10 +1,13 @@
 """Steps that must stay whole and spread as tables grow."""
 
+import contextlib
+import io
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import ordering, pipeline
+from tessella.operators import evaluation, ordering, pipeline
 from tessella.plans import pipelines
 
 
@@ -23,3 +26,23 @@ def test_monotonicity_counts_every_pair(spark, monkeypatch, tmp_path, few):
     value = lambda t, *more: pipeline.monotonicity(t, "s_acctbal", "s_nationkey", *more).first()[0]
     assert value(df.where("s_nationkey = 4")) == value(df.limit(0)) == 0.5
     assert value(df.withColumn("s_nationkey", F.col("s_acctbal")), "s_suppkey", 50) == 1
+
+
+def plan(df):
+    with contextlib.redirect_stdout(io.StringIO()) as text:
+        df.explain()
+    return text.getvalue()
+
+
+def test_holdout_moves_no_row(spark):
+    df = spark.range(3000).withColumn("x", F.col("id") * 2).repartition(3)
+    out = evaluation.holdout(df, "id", 0.2, 0.1)
+    assert "Exchange hashpartitioning(__r" not in plan(out) and "Window" not in plan(out)
+    order = [r.id for r in df.orderBy(F.xxhash64("id", F.lit(42)), "id").collect()]
+    want = {k: "calibration" if i < 300 else "validation" if i < 900 else "train" for i, k in enumerate(order)}
+    assert {r.id: r.split for r in out.collect()} == want
+    # One key for all rows, and missing keys: shares stay exact.
+    for key in (F.lit(7), F.lit(None).cast("int"), F.col("id") % 3):
+        sizes = {r.split: r["count"] for r in evaluation.holdout(df.withColumn("k", key), "k", 0.2, 0.1).groupBy("split").count().collect()}
+        assert sizes == {"calibration": 300, "validation": 600, "train": 2100}
+    assert evaluation.holdout(df.limit(0), "id", 0.2).count() == 0
