@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.scalar import clean
-from tessella.operators.encoding import UNKNOWN, apply_dictionary, binned, boundaries
+from tessella.operators.encoding import COUNT, UNKNOWN, apply_dictionary, binned, boundaries, counted_boundaries
 from tessella.operators.ordering import before, numbered
 from tessella.operators.profile import drop_reason, id_like_name, profile, split_by_type
 
@@ -50,15 +50,21 @@ class Pipeline:
     features: list[FeatureInfo] = field(default_factory=list)
 
     def fit(self, df: DataFrame, columns: list[str] | None = None, era: str | None = None) -> Pipeline:
-        numeric, text = split_by_type(df, (self.target, *([era] if era else [])))
+        """``df`` may be a table of rows alike with their number ``__n``."""
+        counted = COUNT in df.columns
+        n = F.col(COUNT) if counted else F.lit(1)
+        numeric, text = split_by_type(df, (self.target, COUNT, *([era] if era else [])))
         numeric, text = ([c for c in group if columns is None or c in columns] for group in (numeric, text))
         rows = df.where(F.col(self.target).isNotNull())
-        overall = float(rows.agg(F.avg(self.target)).first()[0] or 0.0)
-        medians = rows.agg(*[F.percentile_approx(clean(F.col(c)), 0.5).alias(c) for c in numeric]).first() if numeric else {}
+        overall = float(rows.agg(F.try_divide(F.sum(F.col(self.target) * n), F.sum(n)) if counted else F.avg(self.target)).first()[0] or 0.0)
+        if counted:
+            medians = {c: v[0] if v else None for c, v in counted_boundaries(rows, {c: clean(F.col(c)) for c in numeric}, 2).items()} if numeric else {}
+        else:
+            medians = rows.agg(*[F.percentile_approx(clean(F.col(c)), 0.5).alias(c) for c in numeric]).first() if numeric else {}
         self.features = [FeatureInfo(c, "numeric", impute=float(medians[c] or 0.0)) for c in numeric]
         c = self.config
         for name in text:
-            by = rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n"), F.sum(self.target).alias("s"))
+            by = rows.where(F.col(name).isNotNull()).groupBy(name).agg((F.sum(n) if counted else F.count("*")).alias("n"), F.sum(F.col(self.target) * n).alias("s"))
             kept = by.select(F.when(F.col("n") >= c.least_count, F.col(name)).otherwise(UNKNOWN).alias("k"), "n", "s").groupBy("k").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
             found = kept.limit(c.most_categories + 1).collect()
             if len(found) > c.most_categories:
@@ -66,7 +72,7 @@ class Pipeline:
             means = {r.k: (r.s + c.smoothing * overall) / (r.n + c.smoothing) for r in found}
             self.features.append(FeatureInfo(name, "categorical", means=means, default=means.get(UNKNOWN, overall)))
         numbers = self.numbers(rows)
-        bounds = boundaries(self.joined(rows).select(*[v.alias(k) for k, v in numbers.items()]), list(numbers), c.bins, c.exact)
+        bounds = boundaries(self.joined(rows).select(*[v.alias(k) for k, v in numbers.items()], *([COUNT] if counted else [])), list(numbers), c.bins, c.exact)
         for f in self.features:
             f.bounds = bounds[f.name]
         return self

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_alike import few_kinds
 
-from tessella.operators import cohorts, encoding, trees
+from tessella.operators import cohorts, encoding, pipeline, trees, tuning
 
 CFG = trees.TreeConfig(rounds=2, rate=0.5, depth=3, leaves=6, bins=8, least_rows=40)
 
@@ -43,3 +43,20 @@ def test_a_forest_sums_its_weights_over_kinds(spark, monkeypatch):
     monkeypatch.setattr(cohorts, "ALIKE", 10**9)
     each = trees.train_gbdt(df, ["x0", "x1"], "y", "k", cfg)
     assert max(read) > 1000 and same(each, few)
+
+
+def test_evaluations_gather_rows_alike(spark, monkeypatch):
+    df = few_kinds(spark, 3000).withColumn("text", F.when(F.col("x1") > 2, "a").when(F.col("x1").isNotNull(), "b"))
+    model = tuning.realistic(lambda names: tuning.tree_model(names, "y", "k", trees.replace(CFG, rounds=1)), pipeline.Pipeline("y", pipeline.PipelineConfig(bins=8)), ["x0", "text"])
+    read = []
+    fit = pipeline.Pipeline.fit
+    monkeypatch.setattr(pipeline.Pipeline, "fit", lambda self, rows, *more: read.append(rows.count()) or fit(self, rows, *more))
+    of = {"holdout": {}, "folds": {"folds": 2}, "conformal": {}}
+    values = lambda: {k: tuning.EVALUATIONS[k](df, "k", "y", model, {}, **more) for k, more in of.items()}
+    few = values()
+    assert max(read) <= 60
+    monkeypatch.setattr(cohorts, "ALIKE", 10**9)
+    each = values()
+    assert max(read) > 1000
+    for k in of:
+        assert few[k] == pytest.approx(each[k])
