@@ -15,16 +15,19 @@ from pyspark.sql.types import DateType, TimestampType
 
 from tessella.functions import scalar as S
 from tessella.functions.scalar import sigmoid
-from tessella.operators.cohorts import Multiclass, train_multiclass
+from tessella.functions.losses import LOSSES
+from tessella.operators.cohorts import KINDS, Multiclass, alike, keyed, train_multiclass
+from tessella.operators.encoding import COUNT
 from tessella.operators.ensembles import predict_multilabel, predict_multilabel_linear, train_multilabel, train_multilabel_linear
 from tessella.operators.evaluation import binary_metrics, holdout, label_thresholds, multiclass_log_loss, regression_metrics
 from tessella.operators.linear import Universal, fit_linear, train_universal
 from tessella.operators.pipeline import Pipeline, PipelineConfig
 from tessella.operators.preprocess import Chain, Imputer, Stage, StandardScaler, YeoJohnson, plan_preprocessing
-from tessella.operators.profile import correlation, correlations, drop_reason, numeric_columns, profile, select_features, target_transform, task_of
+from tessella.operators.profile import correlation, correlations, drop_reason, numeric_columns, profile, select_features, split_by_type, target_transform, task_of
 from tessella.operators.trees import TreeConfig
 from tessella.operators.tuning import TUNABLE, History, TreeTrials, Trial, grid, known_settings
 from tessella.operators.windows import TimeSeriesConfig, grouped_time_series
+from tessella.sources.staging import Scratch
 
 
 def choose_pairs(df: DataFrame, columns: list[str], how: str = "all", least: float = 0.3, most: int = 3, target: str | None = None, explicit: list[tuple[str, str]] = ()) -> list[tuple[str, str]]:
@@ -359,8 +362,14 @@ def build(df: DataFrame, target: str, key: str, cfg: AutoConfig = AutoConfig(),
     the softmax of all for up to 20; targets of text are classes. With ``cfg.budget`` the time
     that each phase took tells what the next ones may do: features are left out, probes and
     stages of trials not begun, rounds shortened. ``validation`` is a table to probe on in
-    place of a share of the rows. After each phase ``on_phase(name, seconds)`` is called.
+    place of a share of the rows. Encodings, and trainings that need no keys, work on rows alike
+    with their number, where a sketch tells few kinds. After each phase ``on_phase(name, seconds)`` is called.
     """
+    with Scratch(df.sparkSession, "auto") as scratch:
+        return built(scratch, df, target, key, cfg, mode, validation, on_phase, clock)
+
+
+def built(scratch: Scratch, df: DataFrame, target: str, key: str, cfg: AutoConfig, mode: str | None, validation: DataFrame | None, on_phase: Callable[[str, float], None] | None, clock: Callable[[], float]) -> AutoModel:
     budget = Budget(cfg.budget, on_phase, clock)
     with budget.phase("profile"):
         answer = Answer.of(df, target, cfg.transform)
@@ -391,20 +400,28 @@ def build(df: DataFrame, target: str, key: str, cfg: AutoConfig = AutoConfig(),
         train, test = rows, validation.withColumn(LEARNT, answer.learnt(target)).where(F.col(LEARNT).isNotNull())
     linear = "linear_then_trees" in ((mode,) if mode else cfg.modes)
 
-    def fitted(part: DataFrame) -> tuple[Pipeline, Chain, DataFrame]:
-        encoding = Pipeline(LEARNT, PipelineConfig(bins=tree.bins)).fit(plan.apply(part), columns)
-        encoded = encoding.encode(plan.apply(part), [key, target, LEARNT])
+    def fitted(part: DataFrame) -> tuple[Pipeline, Chain, DataFrame, DataFrame | None]:
+        """The encoding and stages, the encoded rows, and these as rows alike, if there are few kinds."""
+        whole = plan.apply(part)
+        read = [c for kind in split_by_type(whole, (LEARNT,)) for c in kind if c in columns]
+        few = alike(whole.select(LEARNT, *read), [LEARNT, *read], KINDS) if read else None
+        few = None if few is None else scratch.put(few)
+        encoding = Pipeline(LEARNT, PipelineConfig(bins=tree.bins)).fit(whole if few is None else few, columns)
+        encoded = encoding.encode(whole, [key, target, LEARNT])
         names = [f.name for f in encoding.features]
         stages = Chain(*preprocessing(plan_preprocessing([r.asDict() for r in profile(encoded, names, exact=False).collect()], linear=linear)))
-        return encoding, stages.fit(encoded), stages.transform(encoded)
+        stages.fit(encoded)
+        return encoding, stages, stages.transform(encoded), None if few is None else stages.transform(encoding.encode(few, [LEARNT, COUNT]))
 
-    def trained(m: str, part: DataFrame, names: list[str], config: TreeConfig, on_round=None) -> Universal | Multiclass:
+    def trained(m: str, part: DataFrame, few: DataFrame | None, names: list[str], config: TreeConfig, on_round=None) -> Universal | Multiclass:
         if task == "multiclass":
             return train_multiclass(part, names, LEARNT, key, classes, config, on_round=on_round)
-        return train_universal(part, names, LEARNT, key, m, config, on_round)
+        # Forests sample by keys, and so do Newton fits' trees, which start from each row's score.
+        alone = few is None or m == "forest" or keyed(config) or (m == "linear_then_trees" and LOSSES[config.loss].link != "identity")
+        return train_universal(part if alone else few, names, LEARNT, key, m, config, on_round)
 
     with budget.phase("encode"):
-        encoding, stages, encoded = fitted(train)
+        encoding, stages, encoded, few = fitted(train)
         names = [f.name for f in encoding.features]
         ready = stages.transform(encoding.encode(plan.apply(test), [key, target, LEARNT]))
     short = replace(tree, rounds=min(3, tree.rounds))
@@ -415,7 +432,7 @@ def build(df: DataFrame, target: str, key: str, cfg: AutoConfig = AutoConfig(),
             if probes and not budget.fits("probes", round_seconds * short.rounds):
                 continue
             begun = clock()
-            model = trained(m, encoded, names, short)
+            model = trained(m, encoded, few, names, short)
             round_seconds = max(round_seconds, (clock() - begun) / short.rounds)
             probes[m] = error_of(task, model.predict_proba(ready) if task == "multiclass" else model.predict(ready), classes)
     best, log = min(probes, key=probes.get), History()
@@ -423,18 +440,18 @@ def build(df: DataFrame, target: str, key: str, cfg: AutoConfig = AutoConfig(),
         with budget.phase("tuning"):
             tree = halved(encoded, names, key, task, classes, tree, cfg.tuning, budget, round_seconds, log, cfg.validation)
     with budget.phase("encode"):
-        encoding, stages, encoded = fitted(rows)
+        encoding, stages, encoded, few = fitted(rows)
     with budget.phase("train"):
         fit = max(1, min(tree.rounds, int(SHARE["train"] * budget.left() / round_seconds))) if round_seconds and cfg.budget is not None else tree.rounds
         if fit < tree.rounds:
             budget.notes.append(f"train: {fit} of {tree.rounds} rounds")
         tree = replace(tree, rounds=fit)
         in_time = None if cfg.budget is None else lambda r, v: budget.left() > round_seconds
-        model = trained(best, encoded, names, tree, in_time)
+        model = trained(best, encoded, few, names, tree, in_time)
         others = []
         for k in range(1, cfg.seeds if task != "multiclass" else 1):
             if budget.fits("train", round_seconds * tree.rounds):
-                others.append(trained(best, encoded, names, replace(tree, seed=tree.seed + k, subsample=min(0.8, tree.subsample)), in_time))
+                others.append(trained(best, encoded, few, names, replace(tree, seed=tree.seed + k, subsample=min(0.8, tree.subsample)), in_time))
     return AutoModel(target, key, task, plan, encoding, stages, model, probes, dropped, budget.seconds, answer, others, budget.notes, log)
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_alike import few_kinds
 
-from tessella.operators import cohorts, encoding, pipeline, trees, tuning
+from tessella.operators import auto, cohorts, encoding, pipeline, trees, tuning
 
 CFG = trees.TreeConfig(rounds=2, rate=0.5, depth=3, leaves=6, bins=8, least_rows=40)
 
@@ -60,3 +60,17 @@ def test_evaluations_gather_rows_alike(spark, monkeypatch):
     assert max(read) > 1000
     for k in of:
         assert few[k] == pytest.approx(each[k])
+
+
+def test_automatic_modelling_encodes_and_learns_from_kinds(spark, monkeypatch):
+    df = few_kinds(spark, 3000).select("k", "y", "x0", "x1")
+    read = []
+    fit, cells = pipeline.Pipeline.fit, cohorts.level_cells
+    monkeypatch.setattr(pipeline.Pipeline, "fit", lambda self, rows, *more: read.append(rows.count()) or fit(self, rows, *more))
+    monkeypatch.setattr(cohorts, "level_cells", lambda rows, *more: read.append(rows.count()) or cells(rows, *more))
+    cfg = auto.AutoConfig(engineer=False, tree=trees.replace(CFG, rounds=1, depth=2))
+    few = auto.build(df, "y", "k", cfg, mode="linear_then_trees")
+    assert max(read) <= 60
+    monkeypatch.setattr(cohorts, "ALIKE", 10**9)
+    each = auto.build(df, "y", "k", cfg, mode="linear_then_trees")
+    assert max(read) > 1000 and few.probes == pytest.approx(each.probes) and same(few.model.trees, each.model.trees)
